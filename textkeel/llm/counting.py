@@ -1,0 +1,83 @@
+"""Which of very many hashed features occur more than once, told back to their shard.
+
+Documents are written once as a bucketed table, so every later pass reads a shard
+where it lies, without a shuffle of texts. A shard sends its distinct 40-bit keys
+with counts, packed five bytes apiece and cut by key range; a range sums the
+counts over all shards and returns, to each, one byte a key (the corpus count, at
+most 255) in the order sent. The shard computes its keys again and lines them up.
+Counts are of all documents; a collision of 40 bits can only overstate one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .bytetext import U, pack40, unpack40
+from .scratch import Scratch, partitions_for, prepare_python
+
+MASK = U((1 << 40) - 1)
+
+
+class ShardedDocuments:
+    """(doc_id, text) in a bucketed table; ``shard`` spreads rows by hash."""
+
+    def __init__(self, docs: DataFrame, scratch: Scratch):
+        self.spark, self.scratch = docs.sparkSession, scratch
+        prepare_python(self.spark)
+        self.parts = partitions_for(docs)
+        self.table = f"textkeel_{scratch.tag}"
+        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(2 * self.parts)).cast("int"))
+        rows.repartition(self.parts, "shard").write.bucketBy(self.parts, "shard").saveAsTable(self.table)
+        scratch.release()
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def counted(self, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], work: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+        """``keys_of(shard)``: ascending distinct keys below 2**40 and their counts in
+        the shard. ``work(shard, keys, corpus counts)``: the result rows."""
+        ranges = 2 * self.parts
+
+        def send(rows: pa.Table) -> pa.Table:
+            keys, counts = keys_of(rows)
+            cut = np.searchsorted(keys, (np.arange(1, ranges) * ((1 << 40) / ranges)).astype(U))
+            few = np.minimum(counts, 255).astype(np.uint8)
+            shard = rows.column("shard")[0].as_py()
+            return pa.table(
+                {
+                    "part": pa.array(range(ranges), pa.int32()),
+                    "shard": pa.array([shard] * ranges, pa.int32()),
+                    "keys": pa.array([pack40(x) for x in np.split(keys, cut)], pa.binary()),
+                    "counts": pa.array([x.tobytes() for x in np.split(few, cut)], pa.binary()),
+                }
+            )
+
+        def total(rows: pa.Table) -> pa.Table:
+            keys = [unpack40(x) for x in rows.column("keys").to_pylist()]
+            counts = [np.frombuffer(x, np.uint8) for x in rows.column("counts").to_pylist()]
+            found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.bincount(inverse.ravel(), np.concatenate(counts), found.size) if found.size else np.zeros(0)
+            back = np.minimum(sums, 255).astype(np.uint8)[inverse.ravel()]
+            parts = np.split(back, np.cumsum([x.size for x in keys])[:-1])
+            return pa.table({"shard": rows.column("shard"), "part": rows.column("part"), "counts": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+        def answer(rows: pa.Table, reply: pa.Table) -> pa.Table:
+            if not rows.num_rows:
+                return work(rows, np.zeros(0, U), np.zeros(0, np.uint8))
+            reply = reply.sort_by("part")
+            counts = np.frombuffer(b"".join(reply.column("counts").to_pylist()), np.uint8)
+            keys, _ = keys_of(rows)
+            return work(rows, keys, counts)
+
+        sent = self.read().groupBy("shard").applyInArrow(send, "part int, shard int, keys binary, counts binary")
+        reply = self.scratch.save("reply", sent.groupBy("part").applyInArrow(total, "shard int, part int, counts binary"))
+        return self.read().groupBy("shard").cogroup(reply.groupBy("shard")).applyInArrow(answer, schema)

@@ -7,6 +7,7 @@ stage. A folder of our own is used only where that setting is missing.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,8 +42,14 @@ class Scratch:
     def save(self, name: str, df: DataFrame) -> DataFrame:
         """Write ``df`` and return a reader of what was written."""
         df.write.mode("overwrite").parquet(self.path(name))
+        self.release()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let Spark delete shuffle files of finished jobs, which it does when their handles are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
@@ -51,7 +58,7 @@ class Scratch:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate, for scans the size of the files; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions_for(df: DataFrame, target_bytes: int = 12 << 20) -> int:
