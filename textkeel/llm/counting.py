@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .bytetext import U, pack40, unpack40
 from .scratch import Scratch, partitions_for, prepare_python
 
-MASK = U((1 << 40) - 1)
+SHIFT = U(24)  # a key is the upper 40 bits of a hash, so keys ascend as hashes do
 
 
 class ShardedDocuments:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import LOWER, NOT_SPACE, Prefix, U, mix, pieces, shingles, word_spans
 from .components import components
-from .counting import MASK, ShardedDocuments
+from .counting import SHIFT, ShardedDocuments
 from .scratch import Scratch
 
 WORDS = 5
@@ -64,11 +64,12 @@ def _sets(texts: pa.ChunkedArray) -> Iterator[np.ndarray]:
         h, rows = shingles(Prefix(data).spans(starts, ends), words, WORDS, True)
         cut = np.searchsorted(rows, np.arange(to - at + 1))
         for i in range(to - at):
-            yield np.unique(h[cut[i] : cut[i + 1]])
+            s = np.sort(h[cut[i] : cut[i + 1]])
+            yield s[np.append(True, s[1:] != s[:-1])] if s.size else s
 
 
 def _keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    parts = [x & MASK for x in _sets(rows.column("text"))]
+    parts = [x >> SHIFT for x in _sets(rows.column("text"))]
     return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, U), np.zeros(0, int))
 
 
@@ -86,9 +87,10 @@ def _describe(rows: pa.Table, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
         low, p, t = 0, None, None
         if s.size and name not in seen:
             seen.add(name)
-            c = counts[np.searchsorted(keys, s & MASK)]
-            order = np.lexsort((s, c))[: prefix_length(s.size)]
-            at = np.flatnonzero(c[order] > 1)
+            c = counts[np.searchsorted(keys, s >> SHIFT)]
+            common = c.max() > 1
+            order = np.argsort(c, kind="stable")[: prefix_length(s.size)] if common else None
+            at = np.flatnonzero(c[order] > 1) if common else np.zeros(0, int)
             if at.size:
                 low = int(mix(s + U(77)).min().astype(np.int64))
                 p = s[order[at]].tobytes() + at.astype("<u4").tobytes()
@@ -172,12 +174,14 @@ def _lists(rows: pa.Table) -> list[np.ndarray]:
     return [np.concatenate([np.frombuffer(x, k) for x in rows.column(c).to_pylist()]) for c, k in zip(("token", "node", "leader", "n", "pos", "root"), kinds, strict=True)]
 
 
-def _pairs_in_lists(token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) with equal tokens, by distance; ``token`` ascends."""
-    live, d = np.arange(token.size), 1
+def _pairs_in_lists(token: np.ndarray, lo: np.ndarray, hi: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of blocks of one list, by distance. Blocks ascend by token
+    and least size, so one is done at the first block too large for it, and one
+    whose position leaves too little for a set of its own size or more never starts."""
+    live, d = np.flatnonzero(left >= required(lo, lo)), 1
     while live.size:
         live = live[live + d < token.size]
-        live = live[token[live] == token[live + d]]
+        live = live[(token[live] == token[live + d]) & (NUM * lo[live + d] <= DEN * hi[live])]
         if live.size:
             yield live, live + d
         d += 1
@@ -187,10 +191,12 @@ def _blocks(token, group, n, pos):
     """One block per (token, group): its bounds, and the block of each posting."""
     order = np.lexsort((group, token))
     t, g = token[order], group[order]
-    new = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])])
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])]))
     size, left = n[order].astype(np.int64), (n - pos)[order].astype(np.int64)
-    return order, at, t[at], g[at], np.minimum.reduceat(size, at), np.maximum.reduceat(size, at), np.maximum.reduceat(left, at)
+    lo, hi, rest = np.minimum.reduceat(size, at), np.maximum.reduceat(size, at), np.maximum.reduceat(left, at)
+    end = np.append(at[1:], token.size)
+    by = np.lexsort((lo, t[at]))
+    return order, at[by], end[by], t[at][by], g[at][by], lo[by], hi[by], rest[by]
 
 
 def _possible(lo1, hi1, left1, lo2, hi2, left2) -> np.ndarray:
@@ -202,13 +208,19 @@ def _possible(lo1, hi1, left1, lo2, hi2, left2) -> np.ndarray:
 
 def _leader_pairs(rows: pa.Table) -> pa.Table:
     token, _, leader, n, pos, _ = _lists(rows)
-    found = np.zeros((0, 2), np.int64)
+    found = [np.zeros((0, 2), np.int64)]
+    held = 0
     if token.size:
-        _, _, t, g, lo, hi, left = _blocks(token, leader, n, pos)
-        for i, j in _pairs_in_lists(t):
+        _, _, _, t, g, lo, hi, left = _blocks(token, leader, n, pos)
+        for i, j in _pairs_in_lists(t, lo, hi, left):
             ok = _possible(lo[i], hi[i], left[i], lo[j], hi[j], left[j])
             if ok.any():
-                found = np.unique(np.concatenate([found, np.stack([np.minimum(g[i], g[j])[ok], np.maximum(g[i], g[j])[ok]], 1)]), axis=0)
+                found.append(np.stack([np.minimum(g[i], g[j])[ok], np.maximum(g[i], g[j])[ok]], 1))
+                held += len(found[-1])
+            if held > 1 << 20:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                held = 0
+    found = np.unique(np.concatenate(found), axis=0)
     return pa.table({"x": pa.array(found[:, 0]), "y": pa.array(found[:, 1])})
 
 
@@ -217,10 +229,9 @@ def _member_pairs(rows: pa.Table) -> pa.Table:
     token, node, leader, n, pos, root = _lists(rows)
     found = [np.zeros((0, 4), np.int64)]
     if token.size:
-        order, at, t, _, lo, hi, left = _blocks(token, leader, n, pos)
-        end = np.append(at[1:], token.size)
+        order, at, end, t, _, lo, hi, left = _blocks(token, leader, n, pos)
         comp, names, sizes, rest, lead = root[order], node[order], n[order].astype(np.int64), (n - pos)[order].astype(np.int64), leader[order]
-        for i, j in _pairs_in_lists(t):
+        for i, j in _pairs_in_lists(t, lo, hi, left):
             ok = _possible(lo[i], hi[i], left[i], lo[j], hi[j], left[j]) & (comp[at[i]] != comp[at[j]])
             for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
                 p, q = np.arange(at[a], end[a]), np.arange(at[b], end[b])
@@ -304,8 +315,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         leaders = (F.col("x") == F.col("lx")) & (F.col("y") == F.col("ly"))
         need = f"{DEN} * least(bound, nx, ny) >= {NUM} * (nx + ny - least(bound, nx, ny))"
         asked = scratch.save("asked", members.filter(~leaders).withColumn("bound", bound).filter(need).select("x", "y"))
-        more = scratch.save("members", _compare(asked, sets).filter("linked").select("x", "y"))
-        roots = scratch.save("roots2", components(links.union(more), scratch, "second"))
+        ends = [roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in ("x", "y")]
+        more = _compare(asked, sets).filter("linked").join(ends[0], "x", "left").join(ends[1], "y", "left")
+        more = scratch.save("members", more.select(F.coalesce("rx", "x").alias("a"), F.coalesce("ry", "y").alias("b")))
+        if not more.isEmpty():  # join components, by their roots
+            over = components(more, scratch, "second").select(F.col("node").alias("root"), F.col("root").alias("top"))
+            within = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            alone = over.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti")
+            roots = scratch.save("roots2", within.union(alone))
 
     # least document of each component, told to every document
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))

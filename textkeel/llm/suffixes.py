@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytetext import Prefix, U, mix, pieces
-from .counting import MASK, ShardedDocuments
+from .counting import SHIFT, ShardedDocuments
 from .scratch import Scratch
 
 WIDTH, GRAM = 100, 37
@@ -148,7 +148,7 @@ def _keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             continue
         padded = np.concatenate([np.zeros(SPAN - 1, U), np.where(valid, least, U(0)), np.zeros(SPAN - 1, U)])
         most = _slide(padded, SPAN, np.maximum)[: grams.size]  # of the windows that hold the gram
-        found.append(grams[most == grams] & MASK)
+        found.append(grams[most == grams] >> SHIFT)
     return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, U), np.zeros(0, int))
 
 
@@ -233,7 +233,7 @@ def _work(parts: int):
                     return
                 new = np.concatenate([[True], (np.diff(at) != 1) | (anchor[at[1:]] != anchor[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])])
                 a, z = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, at.size - 1)]
-                part = ((anchor[a] & MASK) >> U(8)).astype(np.int64) * parts >> 32
+                part = (anchor[a] >> U(32)).astype(np.int64) * parts >> 32
                 order = np.argsort(part, kind="stable")
                 a, z, part = a[order], z[order], part[order]
                 length = z - a + WIDTH
@@ -253,9 +253,9 @@ def _work(parts: int):
                 if not least.size:
                     continue
                 change = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])]))
-                place = np.searchsorted(keys, least[change] & MASK)
+                place = np.searchsorted(keys, least[change] >> SHIFT)
                 place[place == keys.size] = 0
-                many = valid[change] & (keys[place] == (least[change] & MASK)) & (counts[place] > 1)
+                many = valid[change] & (keys[place] == (least[change] >> SHIFT)) & (counts[place] > 1)
                 wanted = np.repeat(many, np.diff(np.append(change, least.size)))
                 doc = np.searchsorted(offs, np.arange(least.size), "right") - 1 if wanted.any() else np.zeros(0, int)
                 hit = np.flatnonzero(wanted)
