@@ -30,7 +30,7 @@ _SITES = "path string, ord int, kind string, server string, key string, text str
 def is_config_path(column: str) -> Column:
     """Known file names; ``mcp_config.json`` only below two known folders; a trailing separator is a folder."""
     parts = f"filter(split(replace({column}, '\\\\', '/'), '/', -1), x -> x <> '')"
-    base, parent = f"element_at({parts}, -1)", f"coalesce(try_element_at({parts}, -2), '')"
+    base, parent = f"coalesce(try_element_at({parts}, -1), '')", f"coalesce(try_element_at({parts}, -2), '')"
     named = f"{base} IN ('.mcp.json', 'mcp.json', 'claude_desktop_config.json') OR {base} = 'mcp_config.json' AND {parent} IN ('.windsurf', '.codeium')"
     return F.expr(f"coalesce({column} <> '' AND NOT {column} RLIKE '[\\\\\\\\/]\\\\s*\\\\z' AND size({parts}) > 0 AND ({named}), false)")
 
