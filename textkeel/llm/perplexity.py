@@ -288,7 +288,7 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang"))
     sigma = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(LEAST_SIGMA))
     bands = scratch.save("bands", bands.select("__lang", F.col("q")[1].alias("middle"), sigma.alias("sigma")))
     out = scored.join(bands, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    wide = F.col("sigma") * F.sqrt(1 + F.lit(SHORT) / F.col("n_words"))
+    wide = F.col("sigma") * F.sqrt(1 + F.lit(SHORT) / F.greatest("n_words", F.lit(1)))
     out = out.withColumns({"lower": F.col("middle") - LOWER * wide, "upper": F.col("middle") + UPPER * wide})
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
     return out.select(*carry, *_NUMBERS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.exp("log_ppl").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"))

@@ -62,9 +62,11 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, target_bytes: int = 12 << 20) -> int:
-    """Enough partitions for tasks of a bounded size, at least the session's own number."""
-    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(own, min(1 << 20, plan_bytes(df) // target_bytes))
+    """Enough partitions for tasks of a bounded size, at least the session's own
+    number. Of frames that are no file scans Spark knows no size (the estimate is
+    astronomic); they get the session's number. Bucketed tables allow 100,000."""
+    own, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
+    return max(own, min(100_000, size // target_bytes)) if size < 1 << 50 else own
 
 
 def prepare_python(spark: SparkSession, rows: int = 400) -> None:

@@ -18,6 +18,7 @@ gives an empty result. Columns called ``shard``, ``depth``, ``shard_bytes`` or
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -64,8 +65,9 @@ def extendible_shards(docs: DataFrame, max_bytes: int, id_col: str = "doc_id", t
     rows = docs.select(*keep, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.md5(key).alias("__id_hex"))
     light = scratch.save("sizes", rows.select("n_bytes", "__id_hex").filter(F.col("n_bytes") <= max_bytes).withColumn("__path", F.lit("")))
     done, round_ = [], 0
+    again = F.row_number().over(W.partitionBy("__id_hex").orderBy("n_bytes"))  # over oversized rows only
     large = rows.filter(F.col("n_bytes") > max_bytes).select(
-        *keep, "n_bytes", F.concat(F.lit("x"), "__id_hex").alias("shard"), F.lit(4 * 32).alias("depth"), F.col("n_bytes").alias("shard_bytes")
+        *keep, "n_bytes", F.concat(F.lit("x"), "__id_hex", F.when(again > 1, F.concat(F.lit("."), again.cast("string"))).otherwise("")).alias("shard"), F.lit(4 * 32).alias("depth"), F.col("n_bytes").alias("shard_bytes")
     )
     rows = rows.filter(F.col("n_bytes") <= max_bytes).withColumn("__path", F.lit(""))
     while True:
@@ -124,5 +126,6 @@ leaf AS (SELECT lv.doc_id, lv.n_bytes, lv.prefix, lv.level, s.s,
          FROM lv JOIN s ON lv.level = s.level AND lv.prefix = s.prefix WHERE s.s <= {SHARD_BYTES})
 SELECT doc_id, n_bytes, prefix AS shard, CAST(level AS INTEGER) AS depth, s AS shard_bytes FROM leaf WHERE rn = 1
 UNION ALL
-SELECT doc_id, n_bytes, 'x' || hex, 128, n_bytes FROM d WHERE n_bytes > {SHARD_BYTES}
+SELECT doc_id, n_bytes, 'x' || hex || CASE WHEN row_number() OVER (PARTITION BY hex ORDER BY n_bytes) > 1
+  THEN '.' || row_number() OVER (PARTITION BY hex ORDER BY n_bytes) ELSE '' END, 128, n_bytes FROM d WHERE n_bytes > {SHARD_BYTES}
 """
