@@ -8,14 +8,15 @@ Jaccard similarity of 0.75 or more. Exact, in these steps:
    ``n - ceil(0.75 n) + 1``) that occur more than once are indexed.
 2. Documents with equal sets are one node. Nodes with the same least hash are
    compared with the leaders of their (salted) group, and a node that links to a
-   leader joins its star: a highly similar set whose answers are derived.
+   leader joins its star: a highly similar set whose answers are derived. Leaders
+   are gathered once more by a second hash, so a large group has few of them.
 3. Index lists are cut in blocks, one a star, that keep the least and largest set
    size and the most shingles left after the list's position. Two blocks are
    skipped if even those bounds cannot reach the overlap; for the others the
    leaders' overlap is computed, and linked stars become one component.
 4. What can still link nodes of different components are members of unskipped
    blocks. A member's overlap with another is bounded from its leaders' computed
-   overlap and its own difference from its leader; only pairs that the bound
+   overlap and its differences on the way to its leader; only pairs that the bound
    allows are compared.
 
 Components, not pairs, are the result, so pairs already connected are never
@@ -73,18 +74,18 @@ def _keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, U), np.zeros(0, int))
 
 
-_SETS = "doc_id long, n long, node long, least long, prefix binary, tokens binary"
+_SETS = "doc_id long, n long, node long, least long, least2 long, prefix binary, tokens binary"
 
 
 def _describe(rows: pa.Table, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
     """A row a document; the first of each set in the shard, if it has an indexed
     shingle, carries its prefix (token, position) and all its tokens."""
-    n, node, least, prefix, tokens, seen = [], [], [], [], [], set()
+    n, node, least, least2, prefix, tokens, seen = [], [], [], [], [], [], set()
     for s in _sets(rows.column("text")) if rows.num_rows else ():
         name = int((mix(s).sum(dtype=U) ^ U(s.size)).astype(np.int64))
         n.append(s.size)
         node.append(name)
-        low, p, t = 0, None, None
+        low, low2, p, t = 0, 0, None, None
         if s.size and name not in seen:
             seen.add(name)
             c = counts[np.searchsorted(keys, s >> SHIFT)]
@@ -92,13 +93,14 @@ def _describe(rows: pa.Table, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
             order = np.argsort(c, kind="stable")[: prefix_length(s.size)] if common else None
             at = np.flatnonzero(c[order] > 1) if common else np.zeros(0, int)
             if at.size:
-                low = int(mix(s + U(77)).min().astype(np.int64))
+                low, low2 = (int(mix(s + U(salt)).min().astype(np.int64)) for salt in (77, 7777))
                 p = s[order[at]].tobytes() + at.astype("<u4").tobytes()
                 t = s.tobytes()
         least.append(low)
+        least2.append(low2)
         prefix.append(p)
         tokens.append(t)
-    return pa.table({"doc_id": rows.column("doc_id"), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "least": pa.array(least, pa.int64()), "prefix": pa.array(prefix, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
+    return pa.table({"doc_id": rows.column("doc_id"), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "least": pa.array(least, pa.int64()), "least2": pa.array(least2, pa.int64()), "prefix": pa.array(prefix, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -265,6 +267,15 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out.withColumn("linked", F.expr(f"{DEN} * shared >= {NUM} * (nx + ny - shared)"))
 
 
+def _starred(sets: DataFrame, key: str, parts: int) -> DataFrame:
+    """(node, leader, n, shared) of the nodes that join a star of those with their key."""
+    groups = sets.groupBy(key).agg(F.count("*").alias("k")).filter("k > 1")
+    groups = groups.select(F.col(key).alias("least"), F.ceil(F.col("k") / STAR_SALT_ROWS).alias("salts"))
+    own = sets.select(F.col(key).alias("own"), "node", "n", "tokens")
+    grouped = own.join(groups, own["own"] == groups["least"]).select("least", F.pmod(F.xxhash64("node"), "salts").alias("salt"), "node", "n", "tokens")
+    return grouped.repartition(parts, "least", "salt").mapInArrow(_stars, "node long, leader long, n long, shared long")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -274,23 +285,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = scratch.save("documents", shards.counted(_keys, _describe, _SETS))
     shards.drop()
     scratch.drop("reply")
-    sets = rows.filter("tokens IS NOT NULL").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "least", "prefix", "tokens")))
+    sets = rows.filter("tokens IS NOT NULL").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "least", "least2", "prefix", "tokens")))
     sets = scratch.save("sets", sets)
 
-    # stars of highly similar sets
-    groups = sets.groupBy("least").agg(F.count("*").alias("k")).filter("k > 1")
-    groups = groups.select(F.col("least").alias("g"), F.ceil(F.col("k") / STAR_SALT_ROWS).alias("salts"))
-    grouped = sets.join(groups, sets["least"] == groups["g"]).select("least", F.pmod(F.xxhash64("node"), "salts").alias("salt"), "node", "n", "tokens")
-    stars = scratch.save("stars", grouped.repartition(parts, "least", "salt").mapInArrow(_stars, "node long, leader long, n long, shared long"))
-    star = stars.select(F.col("node").alias("m"), "leader", "shared")
-    led = sets.join(star, sets["node"] == star["m"], "left").select("node", F.coalesce("leader", "node").alias("leader"), "n", F.coalesce("shared", "n").alias("shared"), "prefix")
+    # stars of highly similar sets; then, by a second hash, stars of their leaders
+    stars = scratch.save("stars", _starred(sets, "least", parts))
+    star = stars.select(F.col("node").alias("m"), "leader", (F.col("n") - F.col("shared")).alias("extra"))
+    led = sets.join(star, sets["node"] == star["m"], "left").select("node", F.coalesce("leader", "node").alias("leader"), "n", F.coalesce("extra", F.lit(0)).alias("extra"), "prefix")
+    heads = sets.join(stars.select("node"), "node", "left_anti")
+    stars2 = scratch.save("stars2", _starred(heads, "least2", parts))
+    star2 = stars2.select(F.col("node").alias("m"), F.col("leader").alias("top"), (F.col("n") - F.col("shared")).alias("more"))
+    led = led.join(star2, led["leader"] == star2["m"], "left")
+    led = led.select("node", F.coalesce("top", "leader").alias("leader"), "n", (F.col("extra") + F.coalesce("more", F.lit(0))).alias("extra"), "prefix")
     led = scratch.save("led", led)
 
     # leaders' pairs from unskipped blocks
     post = lambda df: df.select("prefix", "node", "leader", "n", "root").mapInArrow(lambda b: _post(2 * parts, b), _POSTS).groupBy("part")
     pairs = post(led.withColumn("root", F.col("leader"))).applyInArrow(_leader_pairs, "x long, y long")
     compared = scratch.save("leaders", _compare(pairs.distinct(), sets))
-    links = stars.select(F.col("node").alias("a"), F.col("leader").alias("b")).union(compared.filter("linked").select("x", "y"))
+    links = stars.union(stars2).select(F.col("node").alias("a"), F.col("leader").alias("b")).union(compared.filter("linked").select("x", "y"))
     roots = scratch.save("roots", components(links, scratch, "first"))
 
     # members of stars that are not connected yet
@@ -308,9 +321,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         members = post(rest).applyInArrow(_member_pairs, "x long, y long, lx long, ly long").distinct()
         known = some.select(F.col("x").alias("p"), F.col("y").alias("q"), "of_leaders")
         members = members.withColumns({"p": F.least("lx", "ly"), "q": F.greatest("lx", "ly")}).join(known, ["p", "q"])
-        own = led.select("node", "n", "shared")
+        own = led.select("node", "n", "extra")
         for k in ("x", "y"):
-            members = members.join(own.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), (F.col("n") - F.col("shared")).alias(f"extra_{k}")), k)
+            members = members.join(own.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("extra").alias(f"extra_{k}")), k)
         bound = F.col("of_leaders") + F.col("extra_x") + F.col("extra_y")
         leaders = (F.col("x") == F.col("lx")) & (F.col("y") == F.col("ly"))
         need = f"{DEN} * least(bound, nx, ny) >= {NUM} * (nx + ny - least(bound, nx, ny))"
