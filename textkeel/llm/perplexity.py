@@ -45,6 +45,11 @@ _PIECE = 4 << 20
 # ------------------------------------------------------------------ base rules
 
 
+def _within(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Hashes that are equal only within a text."""
+    return mix(h + rows.astype(U) * U(0x9E3779B97F4A7C15))
+
+
 def base_columns(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     """Per text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     n = len(offs) - 1
@@ -64,14 +69,16 @@ def base_columns(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     holds[holds] = starts[first[holds]] < stop[holds]
     begin, stop, line_row = begin[holds], stop[holds], line_row[holds]
     h = prefix.spans(begin, stop)
-    out["n_dup_lines"] = np.bincount(line_row, minlength=n) - np.bincount(np.unique(np.stack([line_row.astype(U), h], 1), axis=0)[:, 0].astype(int) if h.size else np.zeros(0, int), minlength=n)
+    _, one = np.unique(_within(h, line_row), return_index=True)
+    out["n_dup_lines"] = np.bincount(line_row, minlength=n) - np.bincount(line_row[one], minlength=n)
     w = prefix.spans(starts, ends)
     h, _ = shingles(w, words, 3, False)
     at = np.flatnonzero(rows[: max(w.size - 2, 0)] == rows[2:]) if w.size > 2 else np.zeros(0, int)
-    order = np.lexsort((h, rows[at]))
+    h = _within(h, rows[at])
+    order = np.argsort(h)
     same = np.zeros(at.size, bool)
     if at.size > 1:
-        twin = (h[order][1:] == h[order][:-1]) & (rows[at][order][1:] == rows[at][order][:-1])
+        twin = h[order][1:] == h[order][:-1]
         same[1:] |= twin
         same[:-1] |= twin
     hit = at[order[same]]
@@ -228,7 +235,10 @@ def _look(model: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_probability(model: dict, language: int, unseen: float, length: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    """Of the last byte of each packed n-gram, by the longest one that is known."""
+    """Of the last byte of each packed n-gram, by the longest one that is known.
+    Distinct n-grams are looked up once, in ascending order."""
+    distinct, inverse = np.unique(length << 36 | packed, return_inverse=True)
+    length, packed = distinct >> 36, distinct & ((1 << 36) - 1)
     p = np.full(packed.size, unseen)
     for n in range(1, model["order"] + 1):
         use = np.flatnonzero(length >= n)
@@ -239,7 +249,7 @@ def log_probability(model: dict, language: int, unseen: float, length: np.ndarra
         if lost.size and n > 1:
             _, weight = _look(model, _key(language, 8 + n, gram[~found] >> 8))
             p[lost] += weight
-    return p
+    return p[inverse.ravel()]
 
 
 _NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
