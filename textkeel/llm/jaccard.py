@@ -16,8 +16,9 @@ Jaccard similarity of 0.75 or more. Exact, in these steps:
    leaders' overlap is computed, and linked stars become one component.
 4. What can still link nodes of different components are members of unskipped
    blocks. A member's overlap with another is bounded from its leaders' computed
-   overlap and its differences on the way to its leader; only pairs that the bound
-   allows are compared.
+   overlap and its differences on the way to its leader. The bound is a sum of one
+   term a leader pair and one a member, so the greatest term of a star rules out
+   star pairs, then members; only pairs that the bound allows are compared.
 
 Components, not pairs, are the result, so pairs already connected are never
 enumerated. Shingles are 64-bit hashes.
@@ -45,6 +46,7 @@ WORDS = 5
 NUM, DEN = 75, 100
 STAR_SALT_ROWS = 400
 SALT = 32
+BLOCK = 256
 
 
 def required(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -226,30 +228,29 @@ def _leader_pairs(rows: pa.Table) -> pa.Table:
     return pa.table({"x": pa.array(found[:, 0]), "y": pa.array(found[:, 1])})
 
 
-def _member_pairs(rows: pa.Table) -> pa.Table:
-    """Pairs of nodes of different components in unskipped blocks."""
-    token, node, leader, n, pos, root = _lists(rows)
-    found = [np.zeros((0, 4), np.int64)]
-    if token.size:
-        order, at, end, t, _, lo, hi, left = _blocks(token, leader, n, pos)
-        comp, names, sizes, rest, lead = root[order], node[order], n[order].astype(np.int64), (n - pos)[order].astype(np.int64), leader[order]
-        for i, j in _pairs_in_lists(t, lo, hi, left):
-            ok = _possible(lo[i], hi[i], left[i], lo[j], hi[j], left[j]) & (comp[at[i]] != comp[at[j]])
-            for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                p, q = np.arange(at[a], end[a]), np.arange(at[b], end[b])
-                for k in p.tolist():
-                    need = required(sizes[k], sizes[q])
-                    hit = q[(np.minimum(rest[k], rest[q]) >= need) & (np.minimum(sizes[k], sizes[q]) >= need)]
-                    if hit.size:
-                        same = np.full(hit.size, names[k]), names[hit], np.full(hit.size, lead[k]), lead[hit]
-                        found.append(np.stack(same, 1))
-            if len(found) > 200:
-                found = [np.unique(np.concatenate(found), axis=0)]
-    pairs = np.unique(np.concatenate(found), axis=0)
-    swap = pairs[:, 0] > pairs[:, 1]
-    pairs[swap] = pairs[swap][:, [1, 0, 3, 2]]
-    pairs = np.unique(pairs, axis=0)
-    return pa.table({k: pa.array(pairs[:, i]) for i, k in enumerate(("x", "y", "lx", "ly"))})
+def _star_links(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+    """Links of members of one star (of one component) with sets of other stars;
+    one link of each other component is enough."""
+    out: list[tuple] = []
+    if ours.num_rows and theirs.num_rows:
+        sets = [_as_set(t) for t in ours.column("tokens").to_pylist()]
+        size, root = np.array([s.size for s in sets]), ours.column("root")[0].as_py()
+        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        joined: set[int] = {root}
+        for blob, other in zip(theirs.column("tokens"), theirs.column("root").to_pylist(), strict=True):
+            if other in joined:
+                continue
+            s = _as_set(blob.as_py())
+            lo, many = np.searchsorted(token, s), np.searchsorted(token, s, "right")
+            many -= lo
+            at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+            if (np.bincount(owner[at], minlength=len(sets)) >= required(size, s.size)).any():
+                joined.add(other)
+                out.append((root, other))
+    columns = list(zip(*out, strict=True)) if out else [[], []]
+    return pa.table({k: pa.array(c, pa.int64()) for k, c in zip("ab", columns, strict=True)})
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,26 +312,28 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     apart = compared.filter("NOT linked").join(x, "x", "left").join(y, "y", "left")
     apart = apart.filter(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y", F.col("shared").alias("of_leaders"))
     apart = scratch.save("apart", apart)
-    sizes = led.groupBy("leader").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("leader").alias("big"))
-    some = apart.join(sizes, apart["x"] == sizes["big"], "left_semi").union(apart.join(sizes, apart["y"] == sizes["big"], "left_semi"))
-    some = scratch.save("open", some.distinct())
-    open_ = some.select("x").union(some.select("y")).distinct().withColumnRenamed("x", "open")
+    gain = F.expr(f"{NUM + DEN} * extra - {NUM} * n")
+    stat = led.groupBy(F.col("leader").alias("star")).agg(F.max(gain).alias("most"), F.count("*").alias("k"))
+    for k in ("x", "y"):
+        apart = apart.join(stat.select(F.col("star").alias(k), F.struct(F.col("k"), F.col("star"), F.col("most")).alias(f"s{k}")), k)
+    shared = ((NUM + DEN) * F.col("of_leaders")).alias("shared")
+    some = apart.filter(shared + F.col("sx.most") + F.col("sy.most") >= 0).select(shared, F.greatest("sx", "sy").alias("big"), F.least("sx", "sy").alias("small"))
+    some = scratch.save("open", some.select("shared", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("big", "small") for c in ("star", "k", "most")]).distinct())
     if not some.isEmpty():
+        # members of the larger star of a pair meet those of the smaller ones, in blocks
         r = roots.select(F.col("node").alias("m"), "root")
-        rest = led.join(open_, led["leader"] == open_["open"], "left_semi").join(r, F.col("node") == F.col("m"), "left").withColumn("root", F.coalesce("root", "node"))
-        members = post(rest).applyInArrow(_member_pairs, "x long, y long, lx long, ly long").distinct()
-        known = some.select(F.col("x").alias("p"), F.col("y").alias("q"), "of_leaders")
-        members = members.withColumns({"p": F.least("lx", "ly"), "q": F.greatest("lx", "ly")}).join(known, ["p", "q"])
-        own = led.select("node", "n", "extra")
-        for k in ("x", "y"):
-            members = members.join(own.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("extra").alias(f"extra_{k}")), k)
-        bound = F.col("of_leaders") + F.col("extra_x") + F.col("extra_y")
-        leaders = (F.col("x") == F.col("lx")) & (F.col("y") == F.col("ly"))
-        need = f"{DEN} * least(bound, nx, ny) >= {NUM} * (nx + ny - least(bound, nx, ny))"
-        asked = scratch.save("asked", members.filter(~leaders).withColumn("bound", bound).filter(need).select("x", "y"))
-        ends = [roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")) for k in ("x", "y")]
-        more = _compare(asked, sets).filter("linked").join(ends[0], "x", "left").join(ends[1], "y", "left")
-        more = scratch.save("members", more.select(F.coalesce("rx", "x").alias("a"), F.coalesce("ry", "y").alias("b")))
+        own = led.select("node", "leader", gain.alias("gain")).join(r, F.col("node") == F.col("m"), "left").select("node", "leader", "gain", F.coalesce("root", "node").alias("root"))
+        blocks = some.groupBy("big_star").agg(
+            F.ceil(F.first("big_k") / BLOCK).alias("rows"), F.ceil(F.sum("small_k") / BLOCK).alias("columns"), F.max(F.col("shared") + F.col("small_most")).alias("lent")
+        )
+        ours = own.join(blocks, own["leader"] == blocks["big_star"]).filter("gain + lent >= 0")
+        ours = ours.withColumn("row", F.pmod(F.xxhash64("node"), "rows")).withColumn("column", F.explode(F.expr("sequence(0L, columns - 1)")))
+        theirs = own.join(some, own["leader"] == some["small_star"]).filter("gain + shared + big_most >= 0").join(blocks.drop("lent"), "big_star")
+        theirs = theirs.withColumn("column", F.pmod(F.xxhash64("node"), "columns")).withColumn("row", F.explode(F.expr("sequence(0L, rows - 1)")))
+        key, tokens = ["big_star", "row", "column"], sets.select("node", "tokens")
+        # fresh column ids, as both sides come from the same tables
+        ours, theirs = (d.select(*key, "node", "root").join(tokens, "node").select(*[F.col(c).alias(c) for c in (*key, "root", "tokens")]).groupBy(*key) for d in (ours, theirs))
+        more = scratch.save("members", ours.cogroup(theirs).applyInArrow(_star_links, "a long, b long").distinct())
         if not more.isEmpty():  # join components, by their roots
             over = components(more, scratch, "second").select(F.col("node").alias("root"), F.col("root").alias("top"))
             within = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
