@@ -40,7 +40,7 @@ from .scratch import Scratch
 
 WIDTH, GRAM = 100, 37
 SPAN = WIDTH - GRAM + 1  # 64 grams in a window
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 _SECOND = mix(np.arange(1, 257, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 
 
@@ -50,55 +50,57 @@ _SECOND = mix(np.arange(1, 257, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 def suffix_array(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Suffix array of several strings laid end to end (``cuts``: offsets). A
     suffix ends where its string does; ended ones come first, by string."""
-    n = data.size
+    n, strings = data.size, len(cuts)
+    cuts = cuts.astype(np.int32)
     end = np.repeat(cuts[1:], np.diff(cuts))
-    owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    left = np.minimum(end - np.arange(n), 7)
-    key = np.zeros(n, U)
-    for k in range(7):
-        byte = np.append(data[k:], np.zeros(min(k, n), np.uint8)).astype(U)
-        key |= np.where(left > k, byte, U(0)) << U(56 - 8 * k)
-    key |= left.astype(U)
-    sa = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[sa] = first
-    h, strings = 7, len(cuts)
+    owner = np.repeat(np.arange(strings - 1, dtype=np.int32), np.diff(cuts))
+    left = np.minimum(end - np.arange(n, dtype=np.int32), 7)
+    key = left.astype(U)
+    for k in range(min(7, n)):
+        key[: n - k] |= np.where(left[: n - k] > k, data[k:], np.uint8(0)).astype(U) << U(56 - 8 * k)
+    sa = np.argsort(key).astype(np.int32)
+    key = key[sa]
+    new = np.ones(n, bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    del key, left
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
+    h = 7
     while True:
         again = ~new
         again[:-1] |= ~new[1:]
-        at = np.flatnonzero(again)  # places of unsorted groups
+        at = np.flatnonzero(again).astype(np.int32)  # places of unsorted groups
         if not at.size:
             return sa
         p = sa[at]
-        q = p + h
-        inside = q < end[p]
-        second = np.where(inside, rank[np.minimum(q, n - 1)] + strings, owner[p])
-        group = rank[p]
-        order = np.lexsort((second, group))
-        p, second, group = p[order], second[order], group[order]
+        q = p + np.int32(h)
+        # one key of a suffix's group and of what follows it; the order of equal keys is settled later
+        both = rank[p].astype(np.int64) * (n + strings)
+        both += np.where(q < end[p], rank[np.minimum(q, n - 1)] + np.int32(strings), owner[p])
+        order = np.argsort(both)
+        p, both = p[order], both[order]
         sa[at] = p
-        fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
+        fresh = np.ones(at.size, bool)
+        np.not_equal(both[1:], both[:-1], out=fresh[1:])
         new[at] = fresh
-        rank[p] = np.maximum.accumulate(np.where(fresh, at, 0))
+        rank[p] = np.maximum.accumulate(np.where(fresh, at, np.int32(0)))
         h *= 2
 
 
 def common_prefixes(data: np.ndarray, cuts: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """Kasai's array, per place in ``sa``: the prefix it shares with the place before."""
     n = data.size
-    end = np.repeat(cuts[1:], np.diff(cuts))
-    before = np.full(n, -1, np.int64)
+    end = np.repeat(cuts[1:].astype(np.int32), np.diff(cuts))
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     starts = np.zeros(n + 1, bool)
     starts[cuts] = True
-    i = np.arange(n)
+    i = np.arange(n, dtype=np.int32)
     carried = (before > 0) & ~starts[:n]
     carried[carried] &= ~starts[before[carried]]
     carried[carried] &= data[i[carried] - 1] == data[before[carried] - 1]
-    todo = np.flatnonzero(~carried & (before >= 0))
-    shared = np.zeros(n, np.int64)
+    todo = np.flatnonzero(~carried & (before >= 0)).astype(np.int32)
+    shared = np.zeros(n, np.int32)
     a, b = todo.copy(), before[todo]
     room = np.minimum(end[a] - a, end[b] - b)
     step = 0
@@ -112,7 +114,7 @@ def common_prefixes(data: np.ndarray, cuts: np.ndarray, sa: np.ndarray) -> np.nd
         on = (same == 8) & (step + 8 < room)
         todo, a, b, room = todo[on], a[on], b[on], room[on]
         step += 8
-    source = np.maximum.accumulate(np.where(carried, 0, i))
+    source = np.maximum.accumulate(np.where(carried, np.int32(0), i))
     return (shared[source] - (i - source))[sa] * (before[sa] >= 0)
 
 
@@ -140,6 +142,11 @@ def _window_anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
     return least, np.arange(least.size) + WIDTH <= end, grams
 
 
+def _spread(anchors: np.ndarray) -> np.ndarray:
+    """Anchors are least hashes, so all are small; these fill the whole range evenly."""
+    return mix(anchors ^ U(0x5851F42D4C957F2D))
+
+
 def _keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     found = []
     for _, _, data, offs in pieces(rows.column("text")):
@@ -148,7 +155,7 @@ def _keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             continue
         padded = np.concatenate([np.zeros(SPAN - 1, U), np.where(valid, least, U(0)), np.zeros(SPAN - 1, U)])
         most = _slide(padded, SPAN, np.maximum)[: grams.size]  # of the windows that hold the gram
-        found.append(grams[most == grams] >> SHIFT)
+        found.append(_spread(grams[most == grams]) >> SHIFT)
     return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, U), np.zeros(0, int))
 
 
@@ -233,7 +240,7 @@ def _work(parts: int):
                     return
                 new = np.concatenate([[True], (np.diff(at) != 1) | (anchor[at[1:]] != anchor[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])])
                 a, z = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, at.size - 1)]
-                part = (anchor[a] >> U(32)).astype(np.int64) * parts >> 32
+                part = (_spread(anchor[a]) >> U(32)).astype(np.int64) * parts >> 32
                 order = np.argsort(part, kind="stable")
                 a, z, part = a[order], z[order], part[order]
                 length = z - a + WIDTH
@@ -253,9 +260,10 @@ def _work(parts: int):
                 if not least.size:
                     continue
                 change = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])]))
-                place = np.searchsorted(keys, least[change] >> SHIFT)
+                key = _spread(least[change]) >> SHIFT
+                place = np.searchsorted(keys, key)
                 place[place == keys.size] = 0
-                many = valid[change] & (keys[place] == (least[change] >> SHIFT)) & (counts[place] > 1)
+                many = valid[change] & (keys[place] == key) & (counts[place] > 1) if keys.size else np.zeros(change.size, bool)
                 wanted = np.repeat(many, np.diff(np.append(change, least.size)))
                 doc = np.searchsorted(offs, np.arange(least.size), "right") - 1 if wanted.any() else np.zeros(0, int)
                 hit = np.flatnonzero(wanted)
