@@ -40,7 +40,7 @@ from .scratch import Scratch
 
 WIDTH, GRAM = 100, 37
 SPAN = WIDTH - GRAM + 1  # 64 grams in a window
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _SECOND = mix(np.arange(1, 257, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 
 
@@ -261,7 +261,7 @@ def _work(parts: int):
                     continue
                 change = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])]))
                 key = _spread(least[change]) >> SHIFT
-                place = np.searchsorted(keys, key)
+                place = _search(keys, key)
                 place[place == keys.size] = 0
                 many = valid[change] & (keys[place] == key) & (counts[place] > 1) if keys.size else np.zeros(change.size, bool)
                 wanted = np.repeat(many, np.diff(np.append(change, least.size)))
@@ -289,6 +289,14 @@ def _work(parts: int):
 # ----------------------------------------------------------------------- merge
 
 
+def _search(every: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Binary search of ``own`` in ``every``; in ascending order, which keeps to the cache."""
+    order = np.argsort(own)
+    at = np.empty(own.size, np.int64)
+    at[order] = np.searchsorted(every, own[order])
+    return at
+
+
 def _merge(rows: pa.Table) -> pa.Table:
     """Among first windows of all shards, the later ones are repeats."""
     heads = [np.frombuffer(x, "<i8").reshape(-1, 5) for x in rows.column("head").to_pylist()]
@@ -312,13 +320,12 @@ def _merge(rows: pa.Table) -> pa.Table:
         done += len(own)
     every, code = np.unique(np.concatenate(window_keys), return_index=True)
     second = np.concatenate(checks)[code]
-    for i, own in enumerate(window_keys):
-        if (second[np.searchsorted(every, own)] != checks[i]).any():  # equal first hashes of unequal windows: tell them apart
-            window_keys = [mix(x ^ mix(y)) for x, y in zip(window_keys, checks, strict=True)]
-            every = np.unique(np.concatenate(window_keys))
-            break
+    found = [_search(every, own) for own in window_keys]
+    if any((second[at] != own).any() for at, own in zip(found, checks, strict=True)):  # equal first hashes of unequal windows: tell them apart
+        window_keys = [mix(x ^ mix(y)) for x, y in zip(window_keys, checks, strict=True)]
+        every = np.unique(np.concatenate(window_keys))
+        found = [_search(every, own) for own in window_keys]
     best = np.full(every.size, np.iinfo(np.int64).max)
-    found = [np.searchsorted(every, own) for own in window_keys]
     for at, order in zip(found, orders, strict=True):
         np.minimum.at(best, at, order)
     spans: dict[int, _Spans] = {}
