@@ -1,8 +1,9 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
-Texts are reduced to their words (A-Z lower-cased, one space between), and only
-texts that a cheap gate lets through are searched. Rules are grouped by keyword;
-a group's regexes run only where its keyword stands in the words. Detections are
+Texts are reduced to their words (A-Z lower-cased, one space between). Rules are
+grouped by keyword, words that every match of the group holds; a group's regexes
+run only where its keyword stands in the words, and nothing else keeps a text from
+them. Detections are
 word intervals with a rank; one is suppressed if an interval of a better rank
 contains it (better: lower priority number, then longer, then earlier rule).
 Overlaps without containment stay.
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # as before lower-casing A-Z
-#: True wherever a rule or a base phrase can match; cheap on the raw text.
-GATE = r"[lL][iI][cC][eE][nN][sScC]|[cC][cC][^0-9A-Za-z\x80-\x{10FFFF}]+[bB][yY]|[pP][uU][bB][lL][iI][cC] [dD][oO][mM][aA][iI][nN]|[wW][tT][fF][pP][lL]"
 #: The phrases of the base and their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
@@ -164,20 +163,20 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, NON_WORD, " ")), F.lit(" "))
-    df = docs.select(*keep, F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.when(text.rlike(GATE), words).alias("__words"))
+    df = docs.select(*keep, F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), words.alias("__words"))
     base = [(f" {p} ", label) for p, label in BASE]
-    once = lambda p: f"regexp_count(__words, '(?<= ){p.strip()}(?= )')"
+    once = lambda p: f"CASE WHEN contains(__words, '{p}') THEN regexp_count(__words, '(?<= ){p.strip()}(?= )') ELSE 0 END"
     first = lambda p: f"CASE WHEN contains(__words, '{p}') THEN {_SPACES.format(f'''substring_index(__words, '{p}', 1)''')} END"
     last = lambda p: f"CASE WHEN contains(__words, '{p}') THEN n_words - {len(p.split())} - ({_SPACES.format(f'''substring_index(__words, '{p}', -1)''')}) END"
     df = df.withColumns(
         {
-            "n_base": F.expr("CAST(coalesce(CASE WHEN __words IS NOT NULL THEN " + " + ".join(once(p) for p, _ in base) + " END, 0) AS BIGINT)"),
+            "n_base": F.expr("CAST(" + " + ".join(once(p) for p, _ in base) + " AS BIGINT)"),
             "first_word": F.expr("CAST(least(" + ", ".join(first(p) for p, _ in base) + ") AS BIGINT)"),
             "last_word": F.expr("CAST(greatest(" + ", ".join(last(p) for p, _ in base) + ") AS BIGINT)"),
             "__base": F.expr("array_compact(array(" + ", ".join(f"CASE WHEN contains(__words, '{p}') THEN '{label}' END" for p, label in base) + "))"),
         }
     )
-    df = df.withColumn("__groups", F.when(F.col("__words").isNotNull(), _rule_groups()))
+    df = df.withColumn("__groups", _rule_groups())
     df = df.withColumn("__found", F.expr(_DETECTIONS)).drop("__words", "__groups")
     df = df.withColumn("detections", F.expr(_KEPT)).drop("__found")
     return df.withColumns(
