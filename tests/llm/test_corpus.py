@@ -148,6 +148,21 @@ def test_perplexity_base_columns(docs):
     assert perplexity.quality_rules(empty(docs)).count() == 0
 
 
+def prose(rng, words):
+    """Invented words of syllables."""
+    syllables = [a + b for a in "bdklmnprst" for b in ("a", "e", "i", "on", "er", "al")]
+    return ["".join(rng.choices(syllables, range(60, 0, -1), k=rng.randint(1, 4))) for _ in range(words)]
+
+
+def test_perplexity_rejects_planted_junk(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(prose(rng, 150)), "en") for i in range(400)]
+    rows += [(1000 + i, " | ".join(prose(rng, 150)), "en") for i in range(5)]
+    rows += [(2000 + i, " ".join("%08x" % rng.getrandbits(32) for _ in range(150)), "en") for i in range(5)]
+    kept = {r.doc_id for r in perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("kept").collect()}
+    assert len(kept) >= 380 and max(kept) < 1000
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(3)
     text = np.frombuffer(bytes(rng.choice(list(b"abc "), 4000).astype(np.uint8)), np.uint8)

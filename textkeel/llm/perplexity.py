@@ -36,7 +36,8 @@ from .scratch import Scratch, prepare_python
 
 ORDER = 4
 MAX_ENTRIES = 4_000_000
-LOWER, UPPER, LEAST_SIGMA, SHORT = 3.0, 8.0, 0.015, 300
+#: UPPER is set from the documents of sf0.1 (README): 3 rejects 96 % of texts spaced out with bars and 0.9 % of good ones.
+LOWER, UPPER, LEAST_SIGMA, SHORT = 3.0, 3.0, 0.015, 300
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
