@@ -163,6 +163,40 @@ def test_perplexity_rejects_planted_junk(spark):
     assert len(kept) >= 380 and max(kept) < 1000
 
 
+def test_word_order(spark):
+    """Word salad: same words, so the byte model's figure is the same, yet rejected."""
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choices("abdeiklmnorst", k=rng.randint(2, 7))) for _ in range(400)})
+    after = {w: rng.sample(words, 6) for w in words}
+    rows = []
+    for i in range(300):
+        text = [rng.choice(words)]
+        while len(text) < 200:
+            text.append(rng.choice(after[text[-1]]))
+        rows.append((i, " ".join(text), "en"))
+        if i < 6:
+            rows.append((1000 + i, " ".join(rng.sample(text, len(text))), "en"))
+    got = {r.doc_id: r for r in perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].perplexity == pytest.approx(got[1000 + i].perplexity) for i in range(6))
+    assert not any(r.kept for i, r in got.items() if i >= 1000)
+    assert sum(r.kept for i, r in got.items() if i < 1000) >= 285
+
+
+def test_gram_scores(spark, docs):
+    """The joined tables hold what the model in memory does, whatever their size."""
+    scratch = Scratch(spark, "test")
+    counts = scratch.save("counts", perplexity.count_ngrams(docs.withColumn("lang", F.expr("if(doc_id % 3 = 0, NULL, 'en')"))))
+    got = {(r.lang, r.n, r.gram): r.p for r in perplexity.gram_scores(counts, scratch).collect()}
+    rows = [r for r in counts.collect()]
+    assert len({r.lang for r in rows}) == 2
+    for lang in {r.lang for r in rows}:
+        grams = {n: tuple(np.array(x) for x in zip(*[(r.gram, r.c) for r in rows if r.lang == lang and r.n == n])) for n in (2, 3, 4)}
+        probability, _, _ = perplexity.kneser_ney(grams, perplexity.ORDER)
+        want = {(lang, n, g): p for n, (gs, ps) in probability.items() for g, p in zip(gs.tolist(), np.log(ps).tolist())}
+        own = {k: v for k, v in got.items() if k[0] == lang}
+        assert own == pytest.approx(want, rel=1e-5, abs=1e-5)
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(3)
     text = np.frombuffer(bytes(rng.choice(list(b"abc "), 4000).astype(np.uint8)), np.uint8)

@@ -1,19 +1,25 @@
-"""Quality rules: word statistics, and perplexity bands of an n-gram model.
+"""Quality rules: word statistics, perplexity bands of an n-gram model, word order.
 
-The model is a modified Kneser-Ney model of the bytes of words (each word padded
-with a space on both sides), one per language. Tasks count n-grams over whole
-texts, Spark sums the counts over the corpus, and the model (probabilities of
-n-grams and back-off weights of contexts) is stored as sorted arrays of 64-bit
-key hashes that workers search by bisection. The summed counts have at most
-``MAX_ENTRIES`` rows, checked before they are fetched; a corpus with more n-grams
-of order ``ORDER`` gets a model of the next lower order (order 2 has at most
-65,536 a language).
+The byte model is a modified Kneser-Ney model of the bytes of words (each word
+padded with a space on both sides), one per language, of order ``ORDER`` whatever
+the size. Tasks count n-grams over whole texts, Spark sums the counts, and the
+probabilities are made by aggregations and joins (``gram_scores``). The word model
+spans two words: a word after its predecessor, smoothed to the word alone and that
+to the byte model (Dirichlet priors ``WORD_PRIOR`` and ``PAIR_PRIOR``), a document's own
+occurrences left out of every count, as each document is part of the corpus.
+
+No model is broadcast or fetched: documents lie in shards of ``SHARD`` bytes, each packed in
+one row, so no text is shuffled but packed; a shard sends its distinct n-grams, words and word pairs as sorted arrays cut in ranges; a range
+joins the n-grams with the table of their scores, sums the counts of words and
+pairs over all shards (48-bit keys), and answers each shard in the order sent.
 
 A document's perplexity is the mean over all bytes of all its words. Per language
 the band is the median of the log-perplexity minus ``LOWER`` and plus ``UPPER`` robust standard
 deviations (quartiles), over the documents that pass the base rules, widened for short texts (by the square root
 of 1 + SHORT / words, as a mean of few words varies more); outside it, above or
-below, a document is rejected.
+below, a document is rejected. ``word_gain`` is what the words before tell of the
+words, in nats a word: about 0 where words stand in any order. A document is
+rejected below ``least_gain``, the median less ``LOWER`` deviations, made as the band is.
 
 Defined results: null, empty and wordless texts have no words and fail the base;
 a null language is a language of its own; where a language's quartiles meet, the
@@ -23,25 +29,28 @@ gives an empty result. Extra columns are not carried.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import NOT_SPACE, Prefix, U, mix, pieces, row_of, shingles, word_spans
+from .bytetext import NOT_SPACE, Prefix, U, column_bytes, mix, pieces, row_of, shingles, word_spans
 from .scratch import Scratch, prepare_python
 
 ORDER = 4
-MAX_ENTRIES = 4_000_000
+WORD_PRIOR, PAIR_PRIOR = 1000.0, 10.0
 #: UPPER is set from the documents of sf0.1 (README): 3 rejects 96 % of texts spaced out with bars and 0.9 % of good ones.
 LOWER, UPPER, LEAST_SIGMA, SHORT = 3.0, 3.0, 0.015, 300
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 _PIECE = 4 << 20
+SHARD = 8 << 20
 
 # ------------------------------------------------------------------ base rules
 
@@ -124,17 +133,25 @@ def _language_codes(column: pa.Array) -> tuple[np.ndarray, list]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
 
 
+def _language_ids(column: pa.Array) -> np.ndarray:
+    """A 63-bit hash of each row's language; null is 0."""
+    codes, known = _language_codes(column)
+    own = [0 if x is None else int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") >> 1 for x in known]
+    return np.array(own or [0], np.int64)[codes]
+
+
 def _count(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-gram counts of a whole task, so each n-gram leaves it once."""
-    names: list = []
+    names = np.zeros(0, np.int64)
     keys, sums = np.zeros(0, U), np.zeros(0, np.int64)
     for batch in batches:
-        codes, known = _language_codes(batch.column("lang"))
-        names += [x for x in known if x not in names]
-        local = np.array([names.index(x) for x in known] or [0])
+        ids = _language_ids(batch.column("lang"))
+        names = np.concatenate([names, np.setdiff1d(ids, names)])
+        place = np.argsort(names)
+        local = place[np.searchsorted(names[place], ids)]
         for at, to, data, offs in pieces(batch.column("text"), _PIECE):
             starts, ends, words = word_spans(data, offs, NOT_SPACE)
-            group = local[codes[at:to]][row_of(words)]
+            group = local[at:to][row_of(words)]
             first, _, counts = _distinct_words(data, starts, ends, group)
             word, length, packed = ngrams(data, starts[first], ends[first], order)
             key = (group[first][word].astype(U) << U(40)) | (length.astype(U) << U(36)) | packed.astype(U)
@@ -143,26 +160,22 @@ def _count(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             keys = new
     for i in range(0, keys.size, 50_000):
         k = keys[i : i + 50_000]
-        language = [names[j] for j in (k >> U(40)).astype(int).tolist()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(language, pa.string()), pa.array(((k >> U(36)) & U(15)).astype(np.int32)), pa.array((k & U((1 << 36) - 1)).astype(np.int64)), pa.array(sums[i : i + 50_000])],
+            [pa.array(names[(k >> U(40)).astype(int)]), pa.array(((k >> U(36)) & U(15)).astype(np.int32)), pa.array((k & U((1 << 36) - 1)).astype(np.int64)), pa.array(sums[i : i + 50_000])],
             names=["lang", "n", "gram", "c"],
         )
 
 
 def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Counts by language id (``_language_ids``)."""
     prepare_python(docs.sparkSession)
-    tasks = docs.select("lang", "text").mapInArrow(lambda b: _count(order, b), "lang string, n int, gram long, c long")
+    tasks = docs.select("lang", "text").mapInArrow(lambda b: _count(order, b), "lang long, n int, gram long, c long")
     return tasks.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
 
 
 # ----------------------------------------------------------------------- model
 
 
-def _key(language: int, n: int, gram: np.ndarray) -> np.ndarray:
-    return mix(gram.astype(U) + U((language << 44) | (n << 40)))
-
-
 def _discounts(c: np.ndarray) -> np.ndarray:
     n1, n2, n3, n4 = (max(int((c == k).sum()), 1) for k in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2)
@@ -205,104 +218,261 @@ def kneser_ney(grams: dict[int, tuple[np.ndarray, np.ndarray]], order: int) -> t
     return probability, backoff, unseen
 
 
-def build_model(docs: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> dict:
-    scratch = Scratch(docs.sparkSession, "ngrams")
-    counts = scratch.save("counts", count_ngrams(docs, order))
-    while counts.count() > max_entries and order > 2:
-        order -= 1  # n-grams of the top order become the longest at their place
-        shorter = counts.withColumn("gram", F.expr(f"gram & {(1 << (8 * order)) - 1}")).withColumn("n", F.least("n", F.lit(order)))
-        counts = scratch.save(f"counts{order}", shorter.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")))
-    table = counts.toArrow()
-    codes, names = _language_codes(table.column("lang").combine_chunks()) if table.num_rows else (np.zeros(0, int), [])
-    n, gram, c = (table.column(k).to_numpy() for k in ("n", "gram", "c"))
-    keys, values, unseen = [], [], {}
-    for code, name in enumerate(names):
-        grams = {k: (gram[m], c[m]) for k in range(1, order + 1) if (m := (codes == code) & (n == k)).any()}
-        probability, backoff, unseen[name] = kneser_ney(grams, order)
-        for k in range(1, order + 1):
-            keys += [_key(code, k, probability[k][0]), _key(code, 8 + k, backoff[k][0])]
-            values += [np.log(probability[k][1]), np.log(np.maximum(backoff[k][1], 1e-12))]
-    key = np.concatenate(keys) if keys else np.zeros(0, U)
-    order_ = np.argsort(key)
-    value = (np.concatenate(values) if values else np.zeros(0))[order_].astype(np.float32)
-    return {"order": order, "keys": key[order_], "values": value, "names": names, "unseen": {k: float(np.log(v)) for k, v in unseen.items()}}
-
-
-def _look(model: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(model["keys"], keys)
-    at[at == model["keys"].size] = 0
-    found = model["keys"][at] == keys if model["keys"].size else np.zeros(keys.size, bool)
-    return found, np.where(found, model["values"][at] if model["keys"].size else 0, 0.0)
-
-
-def log_probability(model: dict, language: int, unseen: float, length: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    """Of the last byte of each packed n-gram, by the longest one that is known.
-    Distinct n-grams are looked up once, in ascending order."""
-    distinct, inverse = np.unique(length << 36 | packed, return_inverse=True)
-    length, packed = distinct >> 36, distinct & ((1 << 36) - 1)
-    p = np.full(packed.size, unseen)
-    for n in range(1, model["order"] + 1):
-        use = np.flatnonzero(length >= n)
-        gram = packed[use] & ((1 << (8 * n)) - 1)
-        found, value = _look(model, _key(language, n, gram))
-        p[use[found]] = value[found]
-        lost = use[~found]
-        if lost.size and n > 1:
-            _, weight = _look(model, _key(language, 8 + n, gram[~found] >> 8))
-            p[lost] += weight
-    return p[inverse.ravel()]
+def gram_scores(counts: DataFrame, scratch: Scratch, order: int = ORDER) -> DataFrame:
+    """Table of (lang, n, gram, p): ``kneser_ney``'s log-probability of the last byte
+    of every counted n-gram, by joins instead of in memory."""
+    tables, above = {}, None
+    for n in range(order, 0, -1):
+        t = counts.filter(F.col("n") == n).select("lang", "gram", "c")
+        if above is not None:
+            t = t.unionByName(above.groupBy("lang", F.expr(f"gram & {(1 << (8 * n)) - 1}L").alias("gram")).agg(F.count("*").alias("c")))
+            t = t.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+        tables[n] = above = scratch.save(f"order{n}", t)
+    done, lower = None, None
+    for n in range(1, order + 1):
+        t = tables[n]
+        n1, n2, n3, n4 = (F.greatest(F.count_if(F.col("c") == k), F.lit(1)) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        clip = lambda x, low, high: F.least(F.greatest(x, F.lit(low)), F.lit(high))
+        cut = t.groupBy("lang").agg(clip(1 - 2 * y * n2 / n1, 0.05, 0.95).alias("d1"), clip(2 - 3 * y * n3 / n2, 0.1, 1.9).alias("d2"), clip(3 - 4 * y * n4 / n3, 0.15, 2.85).alias("d3"))
+        t = t.join(cut, "lang").withColumn("d", F.expr("CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END"))
+        t = t.select("lang", "gram", "c", "d", F.expr("gram >> 8").alias("context"))
+        sums = t.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum(F.least("d", "c")).alias("mass"))
+        t = t.join(sums, ["lang", "context"])
+        base = F.lit(1 / 257)
+        if lower is not None:
+            t = t.withColumn("suffix", F.expr(f"gram & {(1 << (8 * (n - 1))) - 1}L"))
+            t = t.join(lower.select("lang", F.col("gram").alias("suffix"), F.col("q").alias("base")), ["lang", "suffix"])
+            base = F.col("base")
+        q = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("mass") / F.col("total") * base
+        lower = scratch.save(f"scores{n}", t.select("lang", F.lit(n).alias("n"), "gram", q.alias("q")))
+        done = lower if done is None else done.unionByName(lower)
+    return done.select("lang", "n", "gram", F.log("q").cast("float").alias("p"))
+
+
+# --------------------------------------------------- what a shard asks and is told
+
+_ASKED = "part int, shard long, lang long, keys binary, counts binary"
+_TOLD = "part int, shard long, lang long, told binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a task in shards, a row each: its number and the rows as compressed Arrow."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def packed() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_batches(held).combine_chunks()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["shard", "rows"])
 
+    for batch in batches:
+        _, offs = column_bytes(batch.column("text"))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offs, offs[at] + SHARD - size, "right")) - 1)
+            held.append(batch.slice(at, to - at))
+            size += int(offs[to] - offs[at])
+            at = to
+            if size >= SHARD or at < batch.num_rows:
+                yield packed()
+                number, held, size = number + 1, [], 0
+    if held:
+        yield packed()
+
+
+def _unpack(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all().combine_chunks()
+
+
+def _pack48(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack48(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _tokens(rows: pa.Table):
+    """Of a shard: row, 48-bit word key and pair key (with the word before; 0 at the start of a text)
+    of every token, and (first row, last row + 1, bytes, offsets, ...) of its pieces."""
+    ids = _language_ids(rows.column("lang").combine_chunks())
+    at_row, word, pair, parts = [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, U)], []
+    for at, to, data, offs in pieces(rows.column("text"), _PIECE):
+        starts, ends, words = word_spans(data, offs, NOT_SPACE)
+        r = row_of(words)
+        h = mix(Prefix(data).spans(starts, ends) + ids[at:to][r].astype(U) * U(0x9E3779B97F4A7C15))
+        two = np.zeros(h.size, U)
+        if h.size > 1:
+            two[1:] = np.where(r[1:] == r[:-1], (mix(h[:-1] * U(0xD6E8FEB86659FD93) + h[1:]) >> U(16)) | U(1), U(0))
+        at_row.append(r + at)
+        word.append(h >> U(16) & ~U(1))
+        pair.append(two)
+        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        parts.append((at, to, data, offs, starts, ends, ids[at:to][r[first]], first, inverse.ravel()))
+    return np.concatenate(at_row), np.concatenate(word), np.concatenate(pair), parts
+
+
+def _asked_grams(parts, order: int):
+    """{language id: ascending (length, n-gram) keys} of a shard's distinct words."""
+    out: dict[int, np.ndarray] = {}
+    for _, _, data, _, starts, ends, lang, first, _ in parts:
+        for x in np.unique(lang).tolist():
+            pick = first[lang == x]
+            _, length, packed = ngrams(data, starts[pick], ends[pick], order)
+            out[x] = np.union1d(out.get(x, np.zeros(0, np.int64)), length << 36 | packed)
+    return out
 
-_NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
+def _asked_counts(word: np.ndarray, pair: np.ndarray):
+    """Ascending distinct keys of words (even) and pairs (odd), and their counts."""
+    return np.unique(np.concatenate([word, pair[pair > 0]]), return_counts=True)
 
-def _score(sent, carried, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model = sent.value
+
+def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return np.searchsorted(keys, (np.arange(1, ranges) * ((1 << 48) / ranges)).astype(U))
+
+
+def _ask(batches: Iterator[pa.RecordBatch], ranges: int, gram_ranges: int, order: int) -> Iterator[pa.RecordBatch]:
+    """What shards ask: counts of ranges of words and pairs (the first ``ranges`` parts), and scores of n-grams."""
     for batch in batches:
-        codes, known = _language_codes(batch.column("lang"))
-        index = {x: i for i, x in enumerate(model["names"])}
-        for at, to, data, offs in pieces(batch.column("text"), _PIECE):
-            base = base_columns(data, offs)
-            starts, ends, words = word_spans(data, offs, NOT_SPACE)
-            rows = row_of(words)
-            group = codes[at:to][rows]
-            first, inverse, _ = _distinct_words(data, starts, ends, group)
-            own = group[first]
-            total = np.zeros(first.size)
-            for g, name in enumerate(known):
-                pick = np.flatnonzero(own == g)
-                if pick.size:
-                    word, length, packed = ngrams(data, starts[first[pick]], ends[first[pick]], model["order"])
-                    p = log_probability(model, index.get(name, len(index)), model["unseen"].get(name, -5.6), length, packed)
-                    total[pick] = np.bincount(word, p, pick.size)
-            logs = np.bincount(rows, total[inverse], to - at)
-            scored = np.bincount(rows, ends - starts + 1, to - at)
-            ppl = np.where(scored > 0, -logs / np.maximum(scored, 1), np.nan)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).slice(at, to - at) for k in carried), *(pa.array(base[k].astype(np.int64)) for k in _NUMBERS), pa.array(ppl, from_pandas=True)],
-                names=[*carried, *_NUMBERS, "log_ppl"],
-            )
-
-
-def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """Per document: the base columns, perplexity, lower, upper, base_failed, kept,
-    and the columns named in ``carry`` (``lang`` among them)."""
+        for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("rows")):
+            _, word, pair, parts = _tokens(_unpack(blob.as_buffer()))
+            keys, counts = _asked_counts(word, pair)
+            cut = _cuts(keys, ranges)
+            out = [(part, shard, 0, _pack48(k), c.tobytes()) for part, (k, c) in enumerate(zip(np.split(keys, cut), np.split(counts.astype(np.uint32), cut)))]
+            for lang, keys in _asked_grams(parts, order).items():
+                where = _gram_range(keys, gram_ranges)
+                out += [(ranges + part, shard, lang, keys[where == part].tobytes(), None) for part in np.unique(where).tolist()]
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=["part", "shard", "lang", "keys", "counts"])
+
+
+def _gram_range(keys: np.ndarray, gram_ranges: int) -> np.ndarray:
+    return (keys & ((1 << 36) - 1)) % gram_ranges
+
+
+def _sum_counts(asked: pa.Table) -> list[bytes]:
+    """The corpus counts of a range's keys, to each shard in the order sent."""
+    keys = [_unpack48(x) for x in asked.column("keys").to_pylist()]
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in asked.column("counts").to_pylist()])
+    found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    back = np.bincount(inverse.ravel(), counts, found.size)[inverse.ravel()]
+    return [x.tobytes() for x in np.split(np.minimum(back, (1 << 32) - 1).astype(np.uint32), np.cumsum([x.size for x in keys])[:-1])]
+
+
+def _find_scores(asked: pa.Table, scores: pa.Table) -> list[bytes]:
+    """The scores of a range's n-grams, to each shard in the order sent."""
+    lang, key = scores.column("lang").to_numpy(), scores.column("n").to_numpy().astype(np.int64) << 36 | scores.column("gram").to_numpy()
+    p, own = scores.column("p").to_numpy().astype(np.float32), {}
+    for x in np.unique(lang).tolist():
+        at = np.flatnonzero(lang == x)
+        at = at[np.argsort(key[at])]
+        own[x] = key[at], p[at]
+    told = zip(asked.column("lang").to_pylist(), asked.column("keys").to_pylist())
+    return [own[x][1][np.searchsorted(own[x][0], np.frombuffer(keys, np.int64))].tobytes() for x, keys in told]
+
+
+def _tell(asked: pa.Table, scores: pa.Table, ranges: int) -> pa.Table:
+    told: list[bytes] = []
+    if asked.num_rows:
+        told = _sum_counts(asked) if asked.column("part")[0].as_py() < ranges else _find_scores(asked, scores)
+    return pa.table([*(asked.column(c) for c in ("part", "shard", "lang")), pa.array(told, pa.binary())], names=["part", "shard", "lang", "told"])
+
+
+_NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _own(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often each token's key occurs in its text."""
+    _, inverse, counts = np.unique(_within(keys, rows), return_inverse=True, return_counts=True)
+    return counts[inverse.ravel()]
+
+
+def _score(shard: pa.Table, reply: pa.Table, totals: dict[int, int], carried, ranges: int, gram_ranges: int, order: int) -> pa.Table:
+    rows = _unpack(shard.column("rows")[0].as_buffer())
+    r, word, pair, parts = _tokens(rows)
+    keys, _ = _asked_counts(word, pair)
+    told: dict[int | None, list] = {}
+    reply = reply.sort_by("part")
+    for part, lang, blob in zip(*(reply.column(c).to_pylist() for c in ("part", "lang", "told"))):
+        told.setdefault(None if part < ranges else lang, []).append(blob)
+    sums = np.frombuffer(b"".join(told[None]), np.uint32)
+    table = {}
+    for x, k in _asked_grams(parts, order).items():
+        p = np.zeros(k.size)
+        p[np.argsort(_gram_range(k, gram_ranges), kind="stable")] = np.frombuffer(b"".join(told[x]), np.float32)
+        table[x] = k, p
+    base = {c: [] for c in _NUMBERS}
+    logs, sizes, tokens = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at, to, data, offs, starts, ends, lang, first, inverse in parts:
+        for c, v in base_columns(data, offs).items():
+            base[c].append(v)
+        total = np.zeros(first.size)
+        for x in np.unique(lang).tolist():
+            pick = np.flatnonzero(lang == x)
+            at_word, length, packed = ngrams(data, starts[first[pick]], ends[first[pick]], order)
+            k, p = table[x]
+            total[pick] = np.bincount(at_word, p[np.searchsorted(k, length << 36 | packed)], pick.size)
+        logs.append(total[inverse])
+        sizes.append(ends - starts + 1)
+        tokens.append(np.array([totals.get(x, 0) for x in lang.tolist()], np.int64)[inverse])
+    logs, sizes, tokens = np.concatenate(logs), np.concatenate(sizes), np.concatenate(tokens)
+    n = rows.num_rows
+    many = np.bincount(r, minlength=n)
+    # words alone, then after the word before, less the document's own occurrences
+    c = sums[np.searchsorted(keys, word)].astype(np.int64) - _own(r, word) if word.size else np.zeros(0, np.int64)
+    alone = (c + WORD_PRIOR * np.exp(logs)) / (np.maximum(tokens - many[r], 0) + WORD_PRIOR)
+    two = np.flatnonzero(pair)
+    both = sums[np.searchsorted(keys, pair[two])].astype(np.int64) - _own(r[two], pair[two]) if two.size else np.zeros(0, np.int64)
+    after = (both + PAIR_PRIOR * alone[two]) / (c[two - 1] + PAIR_PRIOR)
+    gain = np.bincount(r[two], np.log(after / alone[two]), n) / np.maximum(many, 1)
+    scored = np.bincount(r, sizes, n)
+    ppl = np.where(scored > 0, -np.bincount(r, logs, n) / np.maximum(scored, 1), np.nan)
+    return pa.table(
+        [*(rows.column(k) for k in carried), *(pa.array(np.concatenate(base[k]).astype(np.int64)) for k in _NUMBERS), pa.array(ppl, from_pandas=True), pa.array(np.where(many > 0, gain, np.nan), from_pandas=True)],
+        names=[*carried, *_NUMBERS, "log_ppl", "word_gain"],
+    )
+
+
+def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang"), order: int = ORDER) -> DataFrame:
+    """Per document: the base columns, perplexity, lower, upper, word_gain, least_gain,
+    base_failed, kept, and the columns named in ``carry`` (``lang`` among them)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality_rules")
-    sent = spark.sparkContext.broadcast(build_model(docs))
-    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(c, T.LongType()) for c in _NUMBERS] + [T.StructField("log_ppl", T.DoubleType())])
-    scored = docs.select(*dict.fromkeys((*carry, "text"))).mapInArrow(lambda b: _score(sent, carry, b), schema)
+    prepare_python(spark)
+    counts = scratch.save("counts", count_ngrams(docs, order))
+    totals = {r.lang: r.c for r in counts.filter("n = 2").groupBy("lang").agg(F.sum("c").alias("c")).collect()}
+    packed = docs.select(*dict.fromkeys((*carry, "lang", "text"))).mapInArrow(_pack, "shard long, rows binary")
+    packed.write.options(compression="uncompressed", **{"parquet.block.size": str(2 * SHARD)}).parquet(scratch.path("packed"))
+    packed = spark.read.schema(packed.schema).parquet(scratch.path("packed"))
+    prepare_python(spark, 2)  # rows are shards
+    shards = packed.select("shard").count()
+    ranges, gram_ranges = max(shards // 2, 8), max(shards // 16, 8) | 1
+    scores = gram_scores(counts, scratch, order).withColumn("part", F.lit(ranges) + F.pmod("gram", F.lit(gram_ranges)).cast("int"))
+    asked = packed.mapInArrow(lambda x: _ask(x, ranges, gram_ranges, order), _ASKED)
+    reply = scratch.save("reply", asked.groupBy("part").cogroup(scores.groupBy("part")).applyInArrow(lambda x, y: _tell(x, y, ranges), _TOLD))
+    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(c, T.LongType()) for c in _NUMBERS] + [T.StructField(c, T.DoubleType()) for c in ("log_ppl", "word_gain")])
+    scored = packed.groupBy("shard").cogroup(reply.groupBy("shard")).applyInArrow(lambda x, y: _score(x, y, totals, carry, ranges, gram_ranges, order), schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     scored = scratch.save("scored", scored.withColumn("base_failed", failed))
-    q = F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10_000)
-    bands = scored.filter("NOT base_failed").groupBy(F.col("lang").alias("__lang")).agg(q.alias("q"))
-    sigma = F.greatest((F.col("q")[2] - F.col("q")[0]) / 1.349, F.lit(LEAST_SIGMA))
-    bands = scratch.save("bands", bands.select("__lang", F.col("q")[1].alias("middle"), sigma.alias("sigma")))
+    scratch.drop("packed")
+    scratch.drop("reply")
+    prepare_python(spark)
+    q, g = (F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000) for c in ("log_ppl", "word_gain"))
+    bands = scored.filter("NOT base_failed").groupBy(F.col("lang").alias("__lang")).agg(q.alias("q"), g.alias("g"))
+    sigma = lambda c: F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(LEAST_SIGMA))
+    bands = scratch.save("bands", bands.select("__lang", F.col("q")[1].alias("middle"), sigma("q").alias("sigma"), F.col("g")[1].alias("middle_gain"), sigma("g").alias("sigma_gain")))
     out = scored.join(bands, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    wide = F.col("sigma") * F.sqrt(1 + F.lit(SHORT) / F.greatest("n_words", F.lit(1)))
-    out = out.withColumns({"lower": F.col("middle") - LOWER * wide, "upper": F.col("middle") + UPPER * wide})
-    inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return out.select(*carry, *_NUMBERS, "base_failed", (~F.col("base_failed") & inside).alias("kept"), F.exp("log_ppl").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"))
+    short = F.sqrt(1 + F.lit(SHORT) / F.greatest("n_words", F.lit(1)))
+    wide = F.col("sigma") * short
+    out = out.withColumns({"lower": F.col("middle") - LOWER * wide, "upper": F.col("middle") + UPPER * wide, "least_gain": F.col("middle_gain") - LOWER * F.col("sigma_gain") * short})
+    inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")) & (F.col("word_gain") >= F.col("least_gain")), F.lit(False))
+    made = [(~F.col("base_failed") & inside).alias("kept"), F.exp("log_ppl").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"), "word_gain", "least_gain"]
+    return out.select(*carry, *_NUMBERS, "base_failed", *made)
 
 
 def op5_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
