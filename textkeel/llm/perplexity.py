@@ -19,7 +19,8 @@ deviations (quartiles), over the documents that pass the base rules, widened for
 of 1 + SHORT / words, as a mean of few words varies more); outside it, above or
 below, a document is rejected. ``word_gain`` is what the words before tell of the
 words, in nats a word: about 0 where words stand in any order. A document is
-rejected below ``least_gain``, the median less ``LOWER`` deviations, made as the band is.
+rejected below ``least_gain``, the median less ``LOWER`` deviations, not widened and
+of the lower half (median less lower quartile), as near copies only raise the upper one.
 
 Defined results: null, empty and wordless texts have no words and fail the base;
 a null language is a language of its own; where a language's quartiles meet, the
@@ -286,14 +287,27 @@ def _unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all().combine_chunks()
 
 
-def _pack48(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _squeeze(x: np.ndarray) -> bytes:
+    """Byte planes of an array, compressed."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return x.size.to_bytes(8, "little") + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if x.size else b"")
 
 
-def _unpack48(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _expand(blob: bytes, kind) -> np.ndarray:
+    size, width = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
+    if not size:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(blob[8:], size * width, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).ravel()
+
+
+def _squeeze_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys, by their differences."""
+    return _squeeze(np.diff(keys.astype(U), prepend=U(0)))
+
+
+def _expand_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(_expand(blob, U), dtype=U)
 
 
 def _tokens(rows: pa.Table):
@@ -343,10 +357,10 @@ def _ask(batches: Iterator[pa.RecordBatch], ranges: int, gram_ranges: int, order
             _, word, pair, parts = _tokens(_unpack(blob.as_buffer()))
             keys, counts = _asked_counts(word, pair)
             cut = _cuts(keys, ranges)
-            out = [(part, shard, 0, _pack48(k), c.tobytes()) for part, (k, c) in enumerate(zip(np.split(keys, cut), np.split(counts.astype(np.uint32), cut)))]
+            out = [(part, shard, 0, _squeeze_keys(k), _squeeze(c)) for part, (k, c) in enumerate(zip(np.split(keys, cut), np.split(counts.astype(np.uint32), cut)))]
             for lang, keys in _asked_grams(parts, order).items():
                 where = _gram_range(keys, gram_ranges)
-                out += [(ranges + part, shard, lang, keys[where == part].tobytes(), None) for part in np.unique(where).tolist()]
+                out += [(ranges + part, shard, lang, _squeeze_keys(keys[where == part]), None) for part in np.unique(where).tolist()]
             types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=["part", "shard", "lang", "keys", "counts"])
 
@@ -357,11 +371,11 @@ def _gram_range(keys: np.ndarray, gram_ranges: int) -> np.ndarray:
 
 def _sum_counts(asked: pa.Table) -> list[bytes]:
     """The corpus counts of a range's keys, to each shard in the order sent."""
-    keys = [_unpack48(x) for x in asked.column("keys").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in asked.column("counts").to_pylist()])
+    keys = [_expand_keys(x) for x in asked.column("keys").to_pylist()]
+    counts = np.concatenate([_expand(x, np.uint32) for x in asked.column("counts").to_pylist()])
     found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     back = np.bincount(inverse.ravel(), counts, found.size)[inverse.ravel()]
-    return [x.tobytes() for x in np.split(np.minimum(back, (1 << 32) - 1).astype(np.uint32), np.cumsum([x.size for x in keys])[:-1])]
+    return [_squeeze(x) for x in np.split(np.minimum(back, (1 << 32) - 1).astype(np.uint32), np.cumsum([x.size for x in keys])[:-1])]
 
 
 def _find_scores(asked: pa.Table, scores: pa.Table) -> list[bytes]:
@@ -373,7 +387,7 @@ def _find_scores(asked: pa.Table, scores: pa.Table) -> list[bytes]:
         at = at[np.argsort(key[at])]
         own[x] = key[at], p[at]
     told = zip(asked.column("lang").to_pylist(), asked.column("keys").to_pylist())
-    return [own[x][1][np.searchsorted(own[x][0], np.frombuffer(keys, np.int64))].tobytes() for x, keys in told]
+    return [_squeeze(own[x][1][np.searchsorted(own[x][0], _expand_keys(keys).astype(np.int64))]) for x, keys in told]
 
 
 def _tell(asked: pa.Table, scores: pa.Table, ranges: int) -> pa.Table:
@@ -399,12 +413,12 @@ def _score(shard: pa.Table, reply: pa.Table, totals: dict[int, int], carried, ra
     told: dict[int | None, list] = {}
     reply = reply.sort_by("part")
     for part, lang, blob in zip(*(reply.column(c).to_pylist() for c in ("part", "lang", "told"))):
-        told.setdefault(None if part < ranges else lang, []).append(blob)
-    sums = np.frombuffer(b"".join(told[None]), np.uint32)
+        told.setdefault(None if part < ranges else lang, []).append(_expand(blob, np.uint32 if part < ranges else np.float32))
+    sums = np.concatenate(told[None])
     table = {}
     for x, k in _asked_grams(parts, order).items():
         p = np.zeros(k.size)
-        p[np.argsort(_gram_range(k, gram_ranges), kind="stable")] = np.frombuffer(b"".join(told[x]), np.float32)
+        p[np.argsort(_gram_range(k, gram_ranges), kind="stable")] = np.concatenate(told[x])
         table[x] = k, p
     base = {c: [] for c in _NUMBERS}
     logs, sizes, tokens = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -465,11 +479,10 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang"),
     q, g = (F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000) for c in ("log_ppl", "word_gain"))
     bands = scored.filter("NOT base_failed").groupBy(F.col("lang").alias("__lang")).agg(q.alias("q"), g.alias("g"))
     sigma = lambda c: F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(LEAST_SIGMA))
-    bands = scratch.save("bands", bands.select("__lang", F.col("q")[1].alias("middle"), sigma("q").alias("sigma"), F.col("g")[1].alias("middle_gain"), sigma("g").alias("sigma_gain")))
+    bands = scratch.save("bands", bands.select("__lang", F.col("q")[1].alias("middle"), sigma("q").alias("sigma"), F.col("g")[1].alias("middle_gain"), F.greatest((F.col("g")[1] - F.col("g")[0]) / 0.6745, F.lit(LEAST_SIGMA)).alias("sigma_gain")))
     out = scored.join(bands, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    short = F.sqrt(1 + F.lit(SHORT) / F.greatest("n_words", F.lit(1)))
-    wide = F.col("sigma") * short
-    out = out.withColumns({"lower": F.col("middle") - LOWER * wide, "upper": F.col("middle") + UPPER * wide, "least_gain": F.col("middle_gain") - LOWER * F.col("sigma_gain") * short})
+    wide = F.col("sigma") * F.sqrt(1 + F.lit(SHORT) / F.greatest("n_words", F.lit(1)))
+    out = out.withColumns({"lower": F.col("middle") - LOWER * wide, "upper": F.col("middle") + UPPER * wide, "least_gain": F.col("middle_gain") - LOWER * F.col("sigma_gain")})
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")) & (F.col("word_gain") >= F.col("least_gain")), F.lit(False))
     made = [(~F.col("base_failed") & inside).alias("kept"), F.exp("log_ppl").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"), "word_gain", "least_gain"]
     return out.select(*carry, *_NUMBERS, "base_failed", *made)
