@@ -29,8 +29,12 @@ TURNS = f"turns AS (SELECT conv_id, turn, role, conv_id * 7 + turn AS k, coalesc
 # ------------------------------------------------------------------- injection
 
 
+#: Counts are of all findings; a text has fewer than this.
+EVERY = (1 << 31) - 1
+
+
 def _found(spark, sf, **options) -> DataFrame:
-    return injection.long_form(injection.scan_injection(_turns(spark, sf), "text", injection.ScanConfig(**options)), "conv_id", "turn", "role")
+    return injection.long_form(injection.scan_injection(_turns(spark, sf), "text", injection.ScanConfig(max_findings=EVERY, **options)), "conv_id", "turn", "role")
 
 
 def injection_report(spark, sf):
