@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textkeel.llm import decontam, jaccard, licenses, mixing, perplexity, quality, secrets, sharding, suffixes, warc
 from textkeel.llm.scratch import Scratch
+from textkeel.llm.shards import Shards
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -185,7 +186,8 @@ def test_word_order(spark):
 def test_gram_scores(spark, docs):
     """The joined tables hold what the model in memory does, whatever their size."""
     scratch = Scratch(spark, "test")
-    counts = scratch.save("counts", perplexity.count_ngrams(docs.withColumn("lang", F.expr("if(doc_id % 3 = 0, NULL, 'en')"))))
+    shards = Shards(docs.withColumn("lang", F.expr("if(doc_id % 3 = 0, NULL, 'en')")), scratch)
+    counts = scratch.save("counts", perplexity.count_ngrams(shards))
     got = {(r.lang, r.n, r.gram): r.p for r in perplexity.gram_scores(counts, scratch).collect()}
     rows = [r for r in counts.collect()]
     assert len({r.lang for r in rows}) == 2

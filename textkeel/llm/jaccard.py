@@ -3,7 +3,7 @@
 A document's set is its distinct five-word shingles; two documents link at a
 Jaccard similarity of 0.75 or more. Exact, in these steps:
 
-1. Shards count every shingle over the corpus. Shingles are ordered rarest first
+1. Every shingle is counted over the corpus, exactly. Shingles are ordered rarest first
    (count, then hash), and only those of a set's prefix (the first
    ``n - ceil(0.75 n) + 1``) that occur more than once are indexed.
 2. Documents with equal sets are one node. Nodes with the same least hash are
@@ -39,13 +39,12 @@ from pyspark.sql import functions as F
 
 from .bytetext import LOWER, NOT_SPACE, Prefix, U, mix, pieces, shingles, word_spans
 from .components import components
-from .counting import SHIFT, ShardedDocuments
-from .scratch import Scratch
+from .scratch import Scratch, partitions_for, prepare_python
+from .shards import Shards, told_counts
 
 WORDS = 5
 NUM, DEN = 75, 100
 STAR_SALT_ROWS = 400
-SALT = 32
 BLOCK = 256
 
 
@@ -71,26 +70,28 @@ def _sets(texts: pa.ChunkedArray) -> Iterator[np.ndarray]:
             yield s[np.append(True, s[1:] != s[:-1])] if s.size else s
 
 
-def _keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    parts = [x >> SHIFT for x in _sets(rows.column("text"))]
+def _keys(rows: pa.Table, shift: U) -> tuple[np.ndarray, np.ndarray]:
+    """Keys are the upper bits of hashes, so they ascend as hashes do."""
+    parts = [x >> shift for x in _sets(rows.column("text"))]
     return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, U), np.zeros(0, int))
 
 
-_SETS = "doc_id long, n long, node long, least long, least2 long, prefix binary, tokens binary"
+_SETS = "shard long, pos long, doc_id long, n long, node long, least long, least2 long, prefix binary, tokens binary"
 
 
-def _describe(rows: pa.Table, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+def _describe(rows: pa.Table, reply: pa.Table, shard: int, shift: U) -> pa.Table:
     """A row a document; the first of each set in the shard, if it has an indexed
     shingle, carries its prefix (token, position) and all its tokens."""
+    (keys, _), counts = _keys(rows, shift), told_counts(reply)
     n, node, least, least2, prefix, tokens, seen = [], [], [], [], [], [], set()
-    for s in _sets(rows.column("text")) if rows.num_rows else ():
+    for s in _sets(rows.column("text")):
         name = int((mix(s).sum(dtype=U) ^ U(s.size)).astype(np.int64))
         n.append(s.size)
         node.append(name)
         low, low2, p, t = 0, 0, None, None
         if s.size and name not in seen:
             seen.add(name)
-            c = counts[np.searchsorted(keys, s >> SHIFT)]
+            c = counts[np.searchsorted(keys, s >> shift)]
             common = c.max() > 1
             order = np.argsort(c, kind="stable")[: prefix_length(s.size)] if common else None
             at = np.flatnonzero(c[order] > 1) if common else np.zeros(0, int)
@@ -102,7 +103,8 @@ def _describe(rows: pa.Table, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
         least2.append(low2)
         prefix.append(p)
         tokens.append(t)
-    return pa.table({"doc_id": rows.column("doc_id"), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "least": pa.array(least, pa.int64()), "least2": pa.array(least2, pa.int64()), "prefix": pa.array(prefix, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
+    made = (pa.array(x, pa.int64()) for x in (np.full(len(n), shard), np.arange(len(n))))
+    return pa.table([*made, rows.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, node, least, least2)), *(pa.array(x, pa.binary()) for x in (prefix, tokens))], names=[x.split()[0] for x in _SETS.split(", ")])
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -277,17 +279,17 @@ def _starred(sets: DataFrame, key: str, parts: int) -> DataFrame:
     return grouped.repartition(parts, "least", "salt").mapInArrow(_stars, "node long, leader long, n long, shared long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    shards = ShardedDocuments(docs, scratch)
-    parts = shards.parts
-    rows = scratch.save("documents", shards.counted(_keys, _describe, _SETS))
-    shards.drop()
-    scratch.drop("reply")
+def jaccard_classes(shards: Shards, scratch: Scratch, parts: int) -> DataFrame:
+    """(shard, pos, doc_id, n_shingles, root) of every row; ``root`` names its class, null without shingles."""
+    shift = U(64 - shards.key_bits)
+    reply = shards.count_keys(lambda rows: _keys(rows, shift), "reply")
+    rows = shards.answer(reply, lambda rows, told, shard: _describe(rows, told, shard, shift), _SETS, "documents")
+    scratch.drop("reply0")
+    prepare_python(shards.spark)
     sets = rows.filter("tokens IS NOT NULL").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "least", "least2", "prefix", "tokens")))
     sets = scratch.save("sets", sets)
+    rows = scratch.save("light", rows.select("shard", "pos", "doc_id", "n", "node"))
+    scratch.drop("documents0")
 
     # stars of highly similar sets; then, by a second hash, stars of their leaders
     stars = scratch.save("stars", _starred(sets, "least", parts))
@@ -340,16 +342,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             alone = over.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti")
             roots = scratch.save("roots2", within.union(alone))
 
-    # least document of each component, told to every document
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc"))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = scratch.save("named", named)
-    least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    told = named.join(least, "root").select("node", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    light = rows.select("doc_id", "n", "node").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = light.join(told, ["node", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
-    return scratch.save("result", out)
+    # the class of every row; a node of very many copies is a skewed key, which AQE splits
+    named = roots.select(F.col("node").alias("of"), "root")
+    own = F.when(F.col("n") > 0, F.coalesce("root", "node"))
+    out = rows.join(named, F.col("node") == F.col("of"), "left").select("shard", "pos", "doc_id", F.col("n").alias("n_shingles"), own.alias("root"))
+    out = scratch.save("classes", out)
+    for name in ("light", "sets", "stars", "stars2", "led", "leaders", "apart", "open", "members", "roots", "roots2"):
+        scratch.drop(name)
+    return out
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of ``docs`` (doc_id, text)."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    parts = partitions_for(docs)
+    shards = Shards(docs.select("doc_id", "text"), scratch)
+    rows = jaccard_classes(shards, scratch, parts)
+    shards.drop()
+    least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "of")
+    own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return rows.join(least, F.col("root") == F.col("of"), "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,10 @@ spans two words: a word after its predecessor, smoothed to the word alone and th
 to the byte model (Dirichlet priors ``WORD_PRIOR`` and ``PAIR_PRIOR``), a document's own
 occurrences left out of every count, as each document is part of the corpus.
 
-No model is broadcast or fetched: documents lie in shards of ``SHARD`` bytes, each packed in
-one row, so no text is shuffled but packed; a shard sends its distinct n-grams, words and word pairs as sorted arrays cut in ranges; a range
-joins the n-grams with the table of their scores, sums the counts of words and
-pairs over all shards (48-bit keys), and answers each shard in the order sent.
+No model is broadcast or fetched: documents lie in packed shards (``shards``). A shard
+asks for the corpus counts of its distinct words and word pairs and for the scores of
+its distinct n-grams, as sorted hash arrays cut in ranges; a range sums the counts or
+looks the n-grams up in its part of the score table, and answers in the order sent.
 
 A document's perplexity is the mean over all bytes of all its words. Per language
 the band is the median of the log-perplexity minus ``LOWER`` and plus ``UPPER`` robust standard
@@ -31,17 +31,17 @@ gives an empty result. Extra columns are not carried.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import NOT_SPACE, Prefix, U, column_bytes, mix, pieces, row_of, shingles, word_spans
+from .bytetext import NOT_SPACE, Prefix, U, column_bytes, mix, row_of, shingles, word_spans
 from .scratch import Scratch, prepare_python
+from .shards import Shards, distinct, expand, expand_keys, squeeze, squeeze_keys, told_counts
 
 ORDER = 4
 WORD_PRIOR, PAIR_PRIOR = 1000.0, 10.0
@@ -50,8 +50,7 @@ LOWER, UPPER, LEAST_SIGMA, SHORT = 3.0, 3.0, 0.015, 300
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-_PIECE = 4 << 20
-SHARD = 8 << 20
+ASK_ROUNDS, SCORE_ROUNDS = 2, 4
 
 # ------------------------------------------------------------------ base rules
 
@@ -61,11 +60,12 @@ def _within(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return mix(h + rows.astype(U) * U(0x9E3779B97F4A7C15))
 
 
-def base_columns(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
-    """Per text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+def base_columns(data: np.ndarray, offs: np.ndarray, known: tuple | None = None) -> dict[str, np.ndarray]:
+    """Per text (``known``: its prefix hashes and word spans): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     n = len(offs) - 1
-    prefix = Prefix(data)
-    starts, ends, words = word_spans(data, offs, NOT_SPACE)
+    if known is None:
+        known = (Prefix(data), *word_spans(data, offs, NOT_SPACE))
+    prefix, starts, ends, words = known
     rows = row_of(words)
     per = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offs])
     out = {"n_words": np.diff(words), "word_chars": per(NOT_SPACE[data] & ((data & 0xC0) != 0x80)), "n_symbols": per(SYMBOLS[data])}
@@ -103,13 +103,6 @@ def base_columns(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
 # ---------------------------------------------------------------------- counts
 
 
-def _distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, group: np.ndarray):
-    """Distinct (group, word): index of one of each, inverse, counts."""
-    h = mix(Prefix(data).spans(starts, ends) + group.astype(U) * U(0x9E3779B97F4A7C15))
-    _, first, inverse, counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    return first, inverse.ravel(), counts
-
-
 def ngrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each byte of each padded word, but the leading space: the word, the
     length of the longest n-gram that ends there, and its bytes packed."""
@@ -129,49 +122,61 @@ def ngrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: int) -
     return word[keep], length[keep], packed[keep]
 
 
-def _language_codes(column: pa.Array) -> tuple[np.ndarray, list]:
+def _language_ids(column: pa.Array) -> np.ndarray:
+    """A 63-bit hash of each row's language; null is 0."""
     coded = column.dictionary_encode(null_encoding="encode")
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    own = [0 if x is None else int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") >> 1 for x in coded.dictionary.to_pylist()]
+    return np.array(own or [0], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-def _language_ids(column: pa.Array) -> np.ndarray:
-    """A 63-bit hash of each row's language; null is 0."""
-    codes, known = _language_codes(column)
-    own = [0 if x is None else int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") >> 1 for x in known]
-    return np.array(own or [0], np.int64)[codes]
-
-
-def _count(order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-gram counts of a whole task, so each n-gram leaves it once."""
-    names = np.zeros(0, np.int64)
-    keys, sums = np.zeros(0, U), np.zeros(0, np.int64)
-    for batch in batches:
-        ids = _language_ids(batch.column("lang"))
-        names = np.concatenate([names, np.setdiff1d(ids, names)])
-        place = np.argsort(names)
-        local = place[np.searchsorted(names[place], ids)]
-        for at, to, data, offs in pieces(batch.column("text"), _PIECE):
-            starts, ends, words = word_spans(data, offs, NOT_SPACE)
-            group = local[at:to][row_of(words)]
-            first, _, counts = _distinct_words(data, starts, ends, group)
-            word, length, packed = ngrams(data, starts[first], ends[first], order)
-            key = (group[first][word].astype(U) << U(40)) | (length.astype(U) << U(36)) | packed.astype(U)
-            new, inverse = np.unique(np.concatenate([keys, key]), return_inverse=True)
-            sums = np.bincount(inverse.ravel(), np.concatenate([sums, counts[word]]).astype(float), new.size).astype(np.int64)
-            keys = new
-    for i in range(0, keys.size, 50_000):
-        k = keys[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names[(k >> U(40)).astype(int)]), pa.array(((k >> U(36)) & U(15)).astype(np.int32)), pa.array((k & U((1 << 36) - 1)).astype(np.int64)), pa.array(sums[i : i + 50_000])],
-            names=["lang", "n", "gram", "c"],
-        )
-
-
-def count_ngrams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Counts by language id (``_language_ids``)."""
-    prepare_python(docs.sparkSession)
-    tasks = docs.select("lang", "text").mapInArrow(lambda b: _count(order, b), "lang long, n int, gram long, c long")
-    return tasks.groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+class _Tokens:
+    """The words of a shard: ``row`` of each token, its distinct ``word`` keys (even),
+    and the distinct keys (odd) of ``pair``s with the word before in the same text."""
+
+    def __init__(self, rows: pa.Table, key_bits: int):
+        self.data, self.offs = column_bytes(rows.column("text"))
+        self.prefix = Prefix(self.data)
+        self.starts, self.ends, self.words = word_spans(self.data, self.offs, NOT_SPACE)
+        self.row = row_of(self.words)
+        self.ids = _language_ids(rows.column("lang").combine_chunks())
+        self.shift = U(64 - key_bits)
+        salt = self.ids.astype(U) * U(0x9E3779B97F4A7C15)
+        self.h = mix(self.prefix.spans(self.starts, self.ends) + salt[self.row])
+        self.word, self.first, self.of_word, self.word_count = distinct((self.h >> self.shift) & ~U(1))
+        self.lang = self.ids[self.row[self.first]]
+
+    def pairs(self):
+        """Tokens with a word before, the distinct keys, each token's index among them, counts."""
+        at = np.flatnonzero(self.row[1:] == self.row[:-1]) + 1
+        return at, *distinct((mix(self.h[at - 1] * U(0xD6E8FEB86659FD93) + self.h[at]) >> self.shift) | U(1))
+
+    def languages(self):
+        """Keys (even) that stand for all words of a language, the language of each, counts."""
+        known, inverse = np.unique(self.ids, return_inverse=True)
+        key = (mix(known.astype(U) ^ U(0x1234567F4A7C15)) >> self.shift) & ~U(1)
+        return key, known, np.bincount(inverse.ravel(), np.diff(self.words), known.size).astype(np.int64)
+
+    def grams(self, order: int):
+        """(language id, distinct words of it, word and key of each of their n-grams)."""
+        for x in np.unique(self.lang).tolist():
+            pick = np.flatnonzero(self.lang == x)
+            word, length, packed = ngrams(self.data, self.starts[self.first[pick]], self.ends[self.first[pick]], order)
+            yield x, pick, word, length << 36 | packed
+
+
+def count_ngrams(shards: Shards, order: int = ORDER) -> DataFrame:
+    """Counts of (language id, length, n-gram) over all tokens; a shard sends each of its n-grams once."""
+
+    bits = shards.key_bits
+
+    def work(_, rows: pa.Table):
+        tokens = _Tokens(rows, bits)
+        for x, pick, word, key in tokens.grams(order):
+            keys, _, inverse, _ = distinct(key)
+            sums = np.bincount(inverse, tokens.word_count[pick][word], keys.size).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, x)), pa.array((keys >> 36).astype(np.int32)), pa.array(keys & ((1 << 36) - 1)), pa.array(sums)], names=["lang", "n", "gram", "c"])
+
+    return shards.map(work, "lang long, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
 
 
 # ----------------------------------------------------------------------- model
@@ -253,148 +258,44 @@ def gram_scores(counts: DataFrame, scratch: Scratch, order: int = ORDER) -> Data
 
 # --------------------------------------------------- what a shard asks and is told
 
-_ASKED = "part int, shard long, lang long, keys binary, counts binary"
-_TOLD = "part int, shard long, lang long, told binary"
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a task in shards, a row each: its number and the rows as compressed Arrow."""
-    number, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-    def packed() -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        table = pa.Table.from_batches(held).combine_chunks()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(table)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["shard", "rows"])
-
-    for batch in batches:
-        _, offs = column_bytes(batch.column("text"))
-        at = 0
-        while at < batch.num_rows:
-            to = max(at + 1, int(np.searchsorted(offs, offs[at] + SHARD - size, "right")) - 1)
-            held.append(batch.slice(at, to - at))
-            size += int(offs[to] - offs[at])
-            at = to
-            if size >= SHARD or at < batch.num_rows:
-                yield packed()
-                number, held, size = number + 1, [], 0
-    if held:
-        yield packed()
-
-
-def _unpack(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all().combine_chunks()
-
-
-def _squeeze(x: np.ndarray) -> bytes:
-    """Byte planes of an array, compressed."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
-    return x.size.to_bytes(8, "little") + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if x.size else b"")
-
-
-def _expand(blob: bytes, kind) -> np.ndarray:
-    size, width = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
-    if not size:
-        return np.zeros(0, kind)
-    planes = np.frombuffer(pa.decompress(blob[8:], size * width, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).ravel()
-
-
-def _squeeze_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys, by their differences."""
-    return _squeeze(np.diff(keys.astype(U), prepend=U(0)))
-
-
-def _expand_keys(blob: bytes) -> np.ndarray:
-    return np.cumsum(_expand(blob, U), dtype=U)
-
-
-def _tokens(rows: pa.Table):
-    """Of a shard: row, 48-bit word key and pair key (with the word before; 0 at the start of a text)
-    of every token, and (first row, last row + 1, bytes, offsets, ...) of its pieces."""
-    ids = _language_ids(rows.column("lang").combine_chunks())
-    at_row, word, pair, parts = [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, U)], []
-    for at, to, data, offs in pieces(rows.column("text"), _PIECE):
-        starts, ends, words = word_spans(data, offs, NOT_SPACE)
-        r = row_of(words)
-        h = mix(Prefix(data).spans(starts, ends) + ids[at:to][r].astype(U) * U(0x9E3779B97F4A7C15))
-        two = np.zeros(h.size, U)
-        if h.size > 1:
-            two[1:] = np.where(r[1:] == r[:-1], (mix(h[:-1] * U(0xD6E8FEB86659FD93) + h[1:]) >> U(16)) | U(1), U(0))
-        at_row.append(r + at)
-        word.append(h >> U(16) & ~U(1))
-        pair.append(two)
-        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        parts.append((at, to, data, offs, starts, ends, ids[at:to][r[first]], first, inverse.ravel()))
-    return np.concatenate(at_row), np.concatenate(word), np.concatenate(pair), parts
-
-
-def _asked_grams(parts, order: int):
-    """{language id: ascending (length, n-gram) keys} of a shard's distinct words."""
-    out: dict[int, np.ndarray] = {}
-    for _, _, data, _, starts, ends, lang, first, _ in parts:
-        for x in np.unique(lang).tolist():
-            pick = first[lang == x]
-            _, length, packed = ngrams(data, starts[pick], ends[pick], order)
-            out[x] = np.union1d(out.get(x, np.zeros(0, np.int64)), length << 36 | packed)
-    return out
-
-
-def _asked_counts(word: np.ndarray, pair: np.ndarray):
-    """Ascending distinct keys of words (even) and pairs (odd), and their counts."""
-    return np.unique(np.concatenate([word, pair[pair > 0]]), return_counts=True)
-
-
-def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return np.searchsorted(keys, (np.arange(1, ranges) * ((1 << 48) / ranges)).astype(U))
 
+def _count_keys(rows: pa.Table, key_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys of languages, words and pairs, and their counts."""
+    tokens = _Tokens(rows, key_bits)
+    _, pair, _, _, many = tokens.pairs()
+    lang, _, words = tokens.languages()
+    keys, _, inverse, _ = distinct(np.concatenate([tokens.word, pair, lang]))
+    return keys, np.bincount(inverse, np.concatenate([tokens.word_count, many, words]), keys.size).astype(np.int64)
 
-def _ask(batches: Iterator[pa.RecordBatch], ranges: int, gram_ranges: int, order: int) -> Iterator[pa.RecordBatch]:
-    """What shards ask: counts of ranges of words and pairs (the first ``ranges`` parts), and scores of n-grams."""
-    for batch in batches:
-        for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("rows")):
-            _, word, pair, parts = _tokens(_unpack(blob.as_buffer()))
-            keys, counts = _asked_counts(word, pair)
-            cut = _cuts(keys, ranges)
-            out = [(part, shard, 0, _squeeze_keys(k), _squeeze(c)) for part, (k, c) in enumerate(zip(np.split(keys, cut), np.split(counts.astype(np.uint32), cut)))]
-            for lang, keys in _asked_grams(parts, order).items():
-                where = _gram_range(keys, gram_ranges)
-                out += [(ranges + part, shard, lang, _squeeze_keys(keys[where == part]), None) for part in np.unique(where).tolist()]
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names=["part", "shard", "lang", "keys", "counts"])
 
+def _gram_part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (keys & ((1 << 36) - 1)) % parts
 
-def _gram_range(keys: np.ndarray, gram_ranges: int) -> np.ndarray:
-    return (keys & ((1 << 36) - 1)) % gram_ranges
 
+def _ask_scores(parts: int, order: int, key_bits: int):
+    def work(shard: int, rows: pa.Table):
+        out = []
+        for lang, _, _, key in _Tokens(rows, key_bits).grams(order):
+            keys = np.unique(key)
+            where = _gram_part(keys, parts)
+            out += [(part, shard, lang, squeeze_keys(keys[where == part])) for part in np.unique(where).tolist()]
+        if out:
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names=["part", "shard", "lang", "keys"])
 
-def _sum_counts(asked: pa.Table) -> list[bytes]:
-    """The corpus counts of a range's keys, to each shard in the order sent."""
-    keys = [_expand_keys(x) for x in asked.column("keys").to_pylist()]
-    counts = np.concatenate([_expand(x, np.uint32) for x in asked.column("counts").to_pylist()])
-    found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    back = np.bincount(inverse.ravel(), counts, found.size)[inverse.ravel()]
-    return [_squeeze(x) for x in np.split(np.minimum(back, (1 << 32) - 1).astype(np.uint32), np.cumsum([x.size for x in keys])[:-1])]
+    return work
 
 
-def _find_scores(asked: pa.Table, scores: pa.Table) -> list[bytes]:
-    """The scores of a range's n-grams, to each shard in the order sent."""
+def _find_scores(asked: pa.Table, scores: pa.Table) -> pa.Table:
+    """The scores of a part's n-grams, to each shard in the order sent."""
     lang, key = scores.column("lang").to_numpy(), scores.column("n").to_numpy().astype(np.int64) << 36 | scores.column("gram").to_numpy()
     p, own = scores.column("p").to_numpy().astype(np.float32), {}
     for x in np.unique(lang).tolist():
         at = np.flatnonzero(lang == x)
         at = at[np.argsort(key[at])]
         own[x] = key[at], p[at]
-    told = zip(asked.column("lang").to_pylist(), asked.column("keys").to_pylist())
-    return [_squeeze(own[x][1][np.searchsorted(own[x][0], _expand_keys(keys).astype(np.int64))]) for x, keys in told]
-
-
-def _tell(asked: pa.Table, scores: pa.Table, ranges: int) -> pa.Table:
-    told: list[bytes] = []
-    if asked.num_rows:
-        told = _sum_counts(asked) if asked.column("part")[0].as_py() < ranges else _find_scores(asked, scores)
-    return pa.table([*(asked.column(c) for c in ("part", "shard", "lang")), pa.array(told, pa.binary())], names=["part", "shard", "lang", "told"])
+    told = [squeeze(own[x][1][np.searchsorted(own[x][0], expand_keys(keys).astype(np.int64))]) for x, keys in zip(asked.column("lang").to_pylist(), asked.column("keys").to_pylist())]
+    return pa.table([*(asked.column(c) for c in ("shard", "part", "lang")), pa.array(told, pa.binary())], names=["shard", "part", "lang", "told"])
 
 
 _NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -402,80 +303,68 @@ _NUMBERS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def _own(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """How often each token's key occurs in its text."""
-    _, inverse, counts = np.unique(_within(keys, rows), return_inverse=True, return_counts=True)
-    return counts[inverse.ravel()]
-
-
-def _score(shard: pa.Table, reply: pa.Table, totals: dict[int, int], carried, ranges: int, gram_ranges: int, order: int) -> pa.Table:
-    rows = _unpack(shard.column("rows")[0].as_buffer())
-    r, word, pair, parts = _tokens(rows)
-    keys, _ = _asked_counts(word, pair)
-    told: dict[int | None, list] = {}
-    reply = reply.sort_by("part")
-    for part, lang, blob in zip(*(reply.column(c).to_pylist() for c in ("part", "lang", "told"))):
-        told.setdefault(None if part < ranges else lang, []).append(_expand(blob, np.uint32 if part < ranges else np.float32))
-    sums = np.concatenate(told[None])
-    table = {}
-    for x, k in _asked_grams(parts, order).items():
-        p = np.zeros(k.size)
-        p[np.argsort(_gram_range(k, gram_ranges), kind="stable")] = np.concatenate(told[x])
-        table[x] = k, p
-    base = {c: [] for c in _NUMBERS}
-    logs, sizes, tokens = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at, to, data, offs, starts, ends, lang, first, inverse in parts:
-        for c, v in base_columns(data, offs).items():
-            base[c].append(v)
-        total = np.zeros(first.size)
-        for x in np.unique(lang).tolist():
-            pick = np.flatnonzero(lang == x)
-            at_word, length, packed = ngrams(data, starts[first[pick]], ends[first[pick]], order)
-            k, p = table[x]
-            total[pick] = np.bincount(at_word, p[np.searchsorted(k, length << 36 | packed)], pick.size)
-        logs.append(total[inverse])
-        sizes.append(ends - starts + 1)
-        tokens.append(np.array([totals.get(x, 0) for x in lang.tolist()], np.int64)[inverse])
-    logs, sizes, tokens = np.concatenate(logs), np.concatenate(sizes), np.concatenate(tokens)
-    n = rows.num_rows
-    many = np.bincount(r, minlength=n)
+    _, _, inverse, counts = distinct(_within(keys, rows))
+    return counts[inverse]
+
+
+def _score(rows: pa.Table, reply: pa.Table, carried, parts: int, order: int, key_bits: int) -> list[pa.Array]:
+    tokens = _Tokens(rows, key_bits)
+    r, n = tokens.row, rows.num_rows
+    base = base_columns(tokens.data, tokens.offs, (tokens.prefix, tokens.starts, tokens.ends, tokens.words))
+    counted = reply.filter(pc.is_null(reply.column("lang")))
+    two, pair, _, of_pair, _ = tokens.pairs()
+    lang, known, _ = tokens.languages()
+    _, _, inverse, _ = distinct(np.concatenate([tokens.word, pair, lang]))
+    sums = told_counts(counted)[inverse].astype(np.int64)
+    c_word, c_pair, c_lang = np.split(sums, [tokens.word.size, tokens.word.size + pair.size])
+    # log-probability of each distinct word by its bytes
+    told: dict[int, list] = {}
+    scored = reply.filter(pc.is_valid(reply.column("lang"))).sort_by("part")
+    for x, blob in zip(scored.column("lang").to_pylist(), scored.column("told").to_pylist()):
+        told.setdefault(x, []).append(expand(blob, np.float32))
+    log_word = np.zeros(tokens.word.size)
+    for x, pick, word, key in tokens.grams(order):
+        keys, _, of_key, _ = distinct(key)
+        p = np.zeros(keys.size)
+        p[np.argsort(_gram_part(keys, parts), kind="stable")] = np.concatenate(told[x])
+        log_word[pick] = np.bincount(word, p[of_key], pick.size)
+    logs, sizes = log_word[tokens.of_word], tokens.ends - tokens.starts + 1
+    many = np.diff(tokens.words)
     # words alone, then after the word before, less the document's own occurrences
-    c = sums[np.searchsorted(keys, word)].astype(np.int64) - _own(r, word) if word.size else np.zeros(0, np.int64)
-    alone = (c + WORD_PRIOR * np.exp(logs)) / (np.maximum(tokens - many[r], 0) + WORD_PRIOR)
-    two = np.flatnonzero(pair)
-    both = sums[np.searchsorted(keys, pair[two])].astype(np.int64) - _own(r[two], pair[two]) if two.size else np.zeros(0, np.int64)
+    c = c_word[tokens.of_word] - _own(r, tokens.h)
+    total = np.maximum(c_lang[np.searchsorted(known, tokens.ids)] - many, 0)[r]
+    alone = (c + WORD_PRIOR * np.exp(logs)) / (total + WORD_PRIOR)
+    both = c_pair[of_pair] - _own(r[two], pair[of_pair])
     after = (both + PAIR_PRIOR * alone[two]) / (c[two - 1] + PAIR_PRIOR)
     gain = np.bincount(r[two], np.log(after / alone[two]), n) / np.maximum(many, 1)
-    scored = np.bincount(r, sizes, n)
-    ppl = np.where(scored > 0, -np.bincount(r, logs, n) / np.maximum(scored, 1), np.nan)
-    return pa.table(
-        [*(rows.column(k) for k in carried), *(pa.array(np.concatenate(base[k]).astype(np.int64)) for k in _NUMBERS), pa.array(ppl, from_pandas=True), pa.array(np.where(many > 0, gain, np.nan), from_pandas=True)],
-        names=[*carried, *_NUMBERS, "log_ppl", "word_gain"],
-    )
-
-
-def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang"), order: int = ORDER) -> DataFrame:
-    """Per document: the base columns, perplexity, lower, upper, word_gain, least_gain,
-    base_failed, kept, and the columns named in ``carry`` (``lang`` among them)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality_rules")
+    size = np.bincount(r, sizes, n)
+    ppl = np.where(size > 0, -np.bincount(r, logs, n) / np.maximum(size, 1), np.nan)
+    return [*(rows.column(k) for k in carried), *(pa.array(base[k].astype(np.int64)) for k in _NUMBERS), pa.array(ppl, from_pandas=True), pa.array(np.where(many > 0, gain, np.nan), from_pandas=True)]
+
+
+def score_shards(shards: Shards, scratch: Scratch, carry: tuple[str, ...] = ("doc_id", "lang"), order: int = ORDER) -> DataFrame:
+    """Per row: shard, pos, and the columns of ``quality_rules``."""
+    spark, bits = shards.spark, shards.key_bits
+    counts = scratch.save("counts", count_ngrams(shards, order))
+    parts = max(shards.count // 16, 8) | 1
+    scores = gram_scores(counts, scratch, order).withColumn("part", F.pmod("gram", F.lit(parts)).cast("int"))
+    asked = shards.map(_ask_scores(parts, order, bits), "part int, shard long, lang long, keys binary")
+    told = scratch.save("scores", asked.groupBy("part").cogroup(scores.groupBy("part")).applyInArrow(_find_scores, "shard long, part int, lang long, told binary"))
+    counted = shards.count_keys(lambda rows: _count_keys(rows, bits), "counted", ASK_ROUNDS)
+    reply = counted.withColumn("lang", F.lit(None).cast("long")).unionByName(told)
+    carried = [shards.schema[c] for c in carry]
+    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("pos", T.LongType()), *carried] + [T.StructField(c, T.LongType()) for c in _NUMBERS] + [T.StructField(c, T.DoubleType()) for c in ("log_ppl", "word_gain")])
+
+    def work(rows: pa.Table, reply: pa.Table, shard: int) -> pa.Table:
+        place = (pa.array(np.full(rows.num_rows, shard, np.int64)), pa.array(np.arange(rows.num_rows)))
+        return pa.table([*place, *_score(rows, reply, carry, parts, order, bits)], names=schema.fieldNames())
+
+    scored = shards.answer(reply, work, schema, "scored", SCORE_ROUNDS)
+    for name in ("counts", "scores", *(f"counted{k}" for k in range(ASK_ROUNDS)), *(f"{x}{n}" for x in ("order", "scores") for n in range(1, order + 1))):
+        scratch.drop(name)
     prepare_python(spark)
-    counts = scratch.save("counts", count_ngrams(docs, order))
-    totals = {r.lang: r.c for r in counts.filter("n = 2").groupBy("lang").agg(F.sum("c").alias("c")).collect()}
-    packed = docs.select(*dict.fromkeys((*carry, "lang", "text"))).mapInArrow(_pack, "shard long, rows binary")
-    packed.write.options(compression="uncompressed", **{"parquet.block.size": str(2 * SHARD)}).parquet(scratch.path("packed"))
-    packed = spark.read.schema(packed.schema).parquet(scratch.path("packed"))
-    prepare_python(spark, 2)  # rows are shards
-    shards = packed.select("shard").count()
-    ranges, gram_ranges = max(shards // 2, 8), max(shards // 16, 8) | 1
-    scores = gram_scores(counts, scratch, order).withColumn("part", F.lit(ranges) + F.pmod("gram", F.lit(gram_ranges)).cast("int"))
-    asked = packed.mapInArrow(lambda x: _ask(x, ranges, gram_ranges, order), _ASKED)
-    reply = scratch.save("reply", asked.groupBy("part").cogroup(scores.groupBy("part")).applyInArrow(lambda x, y: _tell(x, y, ranges), _TOLD))
-    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(c, T.LongType()) for c in _NUMBERS] + [T.StructField(c, T.DoubleType()) for c in ("log_ppl", "word_gain")])
-    scored = packed.groupBy("shard").cogroup(reply.groupBy("shard")).applyInArrow(lambda x, y: _score(x, y, totals, carry, ranges, gram_ranges, order), schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    scored = scratch.save("scored", scored.withColumn("base_failed", failed))
-    scratch.drop("packed")
-    scratch.drop("reply")
-    prepare_python(spark)
+    scored = scored.withColumn("base_failed", failed)
     q, g = (F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000) for c in ("log_ppl", "word_gain"))
     bands = scored.filter("NOT base_failed").groupBy(F.col("lang").alias("__lang")).agg(q.alias("q"), g.alias("g"))
     sigma = lambda c: F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(LEAST_SIGMA))
@@ -485,7 +374,17 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang"),
     out = out.withColumns({"lower": F.col("middle") - LOWER * wide, "upper": F.col("middle") + UPPER * wide, "least_gain": F.col("middle_gain") - LOWER * F.col("sigma_gain")})
     inside = F.coalesce(F.col("log_ppl").between(F.col("lower"), F.col("upper")) & (F.col("word_gain") >= F.col("least_gain")), F.lit(False))
     made = [(~F.col("base_failed") & inside).alias("kept"), F.exp("log_ppl").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper"), "word_gain", "least_gain"]
-    return out.select(*carry, *_NUMBERS, "base_failed", *made)
+    return out.select("shard", "pos", *carry, *_NUMBERS, "base_failed", *made)
+
+
+def quality_rules(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Per document of ``docs`` (doc_id, lang, text): doc_id, lang, the base columns, perplexity,
+    lower, upper, word_gain, least_gain, base_failed and kept."""
+    scratch = Scratch(docs.sparkSession, "quality_rules")
+    shards = Shards(docs.select("doc_id", "lang", "text"), scratch)
+    out = score_shards(shards, scratch, order=order).drop("shard", "pos")
+    shards.drop()
+    return out
 
 
 def op5_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

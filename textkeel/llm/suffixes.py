@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytetext import Prefix, U, mix, pieces
-from .counting import SHIFT, ShardedDocuments
-from .scratch import Scratch
+from .scratch import Scratch, prepare_python
+from .shards import Shards, told_counts, unpack_rows
 
 WIDTH, GRAM = 100, 37
 SPAN = WIDTH - GRAM + 1  # 64 grams in a window
@@ -147,7 +147,7 @@ def _spread(anchors: np.ndarray) -> np.ndarray:
     return mix(anchors ^ U(0x5851F42D4C957F2D))
 
 
-def _keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _keys(rows: pa.Table, shift: U) -> tuple[np.ndarray, np.ndarray]:
     found = []
     for _, _, data, offs in pieces(rows.column("text")):
         least, valid, grams = _window_anchors(data, offs)
@@ -155,7 +155,7 @@ def _keys(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             continue
         padded = np.concatenate([np.zeros(SPAN - 1, U), np.where(valid, least, U(0)), np.zeros(SPAN - 1, U)])
         most = _slide(padded, SPAN, np.maximum)[: grams.size]  # of the windows that hold the gram
-        found.append(_spread(grams[most == grams]) >> SHIFT)
+        found.append(_spread(grams[most == grams]) >> shift)
     return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, U), np.zeros(0, int))
 
 
@@ -185,7 +185,7 @@ class _Spans:
         return np.concatenate(self.parts).astype("<i8").tobytes() if self.parts else b""
 
 
-_OUT = "part int, shard int, head binary, body binary"
+_OUT = "part int, shard long, head binary, body binary"
 
 
 def _repeats_in_chunk(data, cuts, row, begin, spans: _Spans):
@@ -216,11 +216,11 @@ def _repeats_in_chunk(data, cuts, row, begin, spans: _Spans):
     return window & ~repeat, owner, inside
 
 
-def _work(parts: int):
-    def work(rows: pa.Table, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
+def _work(parts: int, shift: U):
+    def work(rows: pa.Table, reply: pa.Table, shard: int) -> pa.Table:
         out = {"part": [], "shard": [], "head": [], "body": []}
+        (keys, _), counts = _keys(rows, shift), told_counts(reply)
         if rows.num_rows:
-            shard = rows.column("shard")[0].as_py()
             rows = _in_order(rows)
             ids = np.asarray(rows.column("doc_id").fill_null(np.iinfo(np.int64).max), np.int64)
             spans = _Spans()
@@ -260,7 +260,7 @@ def _work(parts: int):
                 if not least.size:
                     continue
                 change = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])]))
-                key = _spread(least[change]) >> SHIFT
+                key = _spread(least[change]) >> shift
                 place = _search(keys, key)
                 place[place == keys.size] = 0
                 many = valid[change] & (keys[place] == key) & (counts[place] > 1) if keys.size else np.zeros(change.size, bool)
@@ -281,7 +281,7 @@ def _work(parts: int):
             out["shard"].append(shard)
             out["head"].append(spans.blob())
             out["body"].append(b"")
-        return pa.table({"part": pa.array(out["part"], pa.int32()), "shard": pa.array(out["shard"], pa.int32()), "head": pa.array(out["head"], pa.binary()), "body": pa.array(out["body"], pa.binary())})
+        return pa.table({"part": pa.array(out["part"], pa.int32()), "shard": pa.array(out["shard"], pa.int64()), "head": pa.array(out["head"], pa.binary()), "body": pa.array(out["body"], pa.binary())})
 
     return work
 
@@ -335,15 +335,15 @@ def _merge(rows: pa.Table) -> pa.Table:
             joined = np.concatenate([[False], seg[1:] == seg[:-1]])
             where = spans.setdefault(int(head[seg[0], 1]), _Spans())
             where.add(head[seg, 2], order & 0xFFFFFFFF, hit, joined)
-    return pa.table({"shard": pa.array(list(spans), pa.int32()), "head": pa.array([x.blob() for x in spans.values()], pa.binary())})
+    return pa.table({"shard": pa.array(list(spans), pa.int64()), "head": pa.array([x.blob() for x in spans.values()], pa.binary())})
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def _cut(with_text: bool):
-    def cut(rows: pa.Table, spans: pa.Table) -> pa.Table:
-        rows = _in_order(rows)
+    def cut(ours: pa.Table, spans: pa.Table) -> pa.Table:
+        rows = _in_order(unpack_rows(ours))
         got = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(x, "<i8").reshape(-1, 3) for x in spans.column("head").to_pylist())])
         got = got[np.argsort(got[:, 0], kind="stable")]
         removed, runs, digest, sizes, kept = [], [], [], [], []
@@ -377,14 +377,16 @@ def cut_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of ``docs`` (doc_id,
     text); ``kept``, the remaining bytes, only ``with_text``."""
     scratch = Scratch(docs.sparkSession, "suffixes")
-    shards = ShardedDocuments(docs, scratch)
-    found = scratch.save("segments", shards.counted(_keys, _work(2 * shards.parts), _OUT))
-    scratch.drop("reply")
-    merged = found.filter("part >= 0").groupBy("part").applyInArrow(_merge, "shard int, head binary")
+    shards = Shards(docs.select("doc_id", "text"), scratch)
+    shift = U(64 - shards.key_bits)
+    reply = shards.count_keys(lambda rows: _keys(rows, shift))
+    found = shards.answer(reply, _work(2 * shards.count + 1, shift), _OUT, "segments")
+    scratch.drop("reply0")
+    merged = found.filter("part >= 0").groupBy("part").applyInArrow(_merge, "shard long, head binary")
     spans = scratch.save("spans", found.filter("part < 0").select("shard", "head").union(merged))
-    scratch.drop("segments")
-    out = shards.read().groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(_cut(with_text), _RESULT)
-    out = scratch.save("result", out)
+    scratch.drop("segments0")
+    prepare_python(shards.spark)
+    out = scratch.save("result", shards.read().groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(_cut(with_text), _RESULT))
     shards.drop()
     return out
 
