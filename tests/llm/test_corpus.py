@@ -127,10 +127,17 @@ def test_decontamination(spark, docs):
     for block in (decontam.BLOCK_BYTES, 60):
         rows = decontam.find_benchmark_words(docs, frame, block).collect()
         assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in rows) == want
-    near = spark.createDataFrame([(1, "w1 w2 w3 x w4 w5 w6 w7 w8")], "doc_id long, text string")
+    near = spark.createDataFrame([(1, "w1 w2 w3 x w4 w5 w6 w7 w8"), (2, "W1 w2 w3 w4 w5 w6 w7 w8 w1"), (3, "w8 w7 w6 w5 w4 w3 w2 w1"), (None, None)], "doc_id long, text string")
     query = spark.createDataFrame([(9, "w1 w2 w3 w4 w5 w6 w7 w8")], "item_id long, text string")
-    assert decontam.phrase_matches(near, query).count() == 0
-    assert decontam.phrase_matches(near, query, slack=1).count() == 1
+    scratch = Scratch(spark, "test")
+    index = decontam.build_index(Shards(near, scratch), scratch)
+    assert [tuple(r) for r in decontam.phrase_matches(index, query).collect()] == [(2, 9, 0)]
+    assert sorted(r.doc_id for r in decontam.phrase_matches(index, query, slack=1).collect()) == [1, 2]
+    found = {r.doc_id: (r.n_items, r.n_near) for r in decontam.search_index(index, query, scratch, slack=1).collect()}
+    assert found == {1: (0, 1), 2: (1, 1), 3: (0, 0), None: (0, 0)}
+    # the same index answers another benchmark
+    other = spark.createDataFrame([(1, "w3 x"), (2, "x y")], "item_id long, text string")
+    assert {r.doc_id: r["items"] for r in decontam.search_index(index, other, scratch).collect() if r.n_items} == {1: ["1"]}
     assert decontam.find_benchmark_words(empty(docs), frame).count() == 0
 
 
