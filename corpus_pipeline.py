@@ -2,9 +2,9 @@
 
 Stages take (spark, docs, sf_dir). All but the last return the columns of
 ``documents``; the last adds the shard of each. What a stage returns is written as
-Parquet and read again as the next one's input. Rows are told apart by a row
-number given in a written table, so null and repeated ids are safe; the columns a
-stage does not look at travel in a struct, so their names cannot clash.
+Parquet and read again as the next one's input. The first stages tell rows apart by
+their place in packed shards, so null and repeated ids are safe, and the columns a
+stage does not look at travel inside the shards, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textkeel.llm.decontam import find_benchmark_words
-from textkeel.llm.jaccard import jaccard_components
+from textkeel.llm.decontam import build_index, search_index
+from textkeel.llm.jaccard import jaccard_classes
 from textkeel.llm.mixing import mixed_copies
-from textkeel.llm.perplexity import quality_rules
-from textkeel.llm.scratch import Scratch
+from textkeel.llm.perplexity import score_shards
+from textkeel.llm.scratch import Scratch, partitions_for
 from textkeel.llm.sharding import extendible_shards
+from textkeel.llm.shards import Shards
 
 SHARD_BYTES = 1 << 20
 USED = ("doc_id", "text", "lang", "source")
@@ -36,33 +37,31 @@ def _unpack(packed: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; there are none without words left."""
-    return _unpack(quality_rules(_pack(docs), (*USED, "__rest")).filter("kept"), docs.columns)
-
-
-def _numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    return scratch.save("numbered", _pack(docs).withColumn("__row", F.monotonically_increasing_id()))
+    scratch = Scratch(spark, "quality")
+    shards = Shards(docs, scratch)
+    verdicts = score_shards(shards, scratch, ("lang",))
+    return shards.take(verdicts.filter("kept").select("shard", "pos"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by Jaccard similarity the smallest doc_id stays (of repeats of it, one)."""
+    """Of each group linked by Jaccard similarity the smallest doc_id stays (of repeats of
+    it, one; null comes last); documents without words are in no group and stay."""
     scratch = Scratch(spark, "near_duplicates")
-    rows = _numbered(scratch, docs)
-    groups = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"))
-    named = groups.select(F.col("doc_id").alias("__r"), "component_id").join(rows.select("__row", "doc_id"), F.col("__r") == F.col("__row"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))
-    stay = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
-    return _unpack(rows.join(stay, "__row", "left_semi"), docs.columns)
+    shards = Shards(docs, scratch)
+    rows = jaccard_classes(shards, scratch, partitions_for(docs))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "shard", "pos")).alias("first")
+    stay = rows.filter("root IS NOT NULL").groupBy("root").agg(first).select("first.shard", "first.pos")
+    return shards.take(stay.unionAll(rows.filter("root IS NULL").select("shard", "pos")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of any benchmark item go: one whole item in a
     training text is a leak, though the operator's own verdict asks for two."""
     scratch = Scratch(spark, "decontaminate")
-    rows = _numbered(scratch, docs)
+    shards = Shards(docs, scratch)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = find_benchmark_words(rows.select(F.col("__row").alias("doc_id"), "text"), items)
-    found = scratch.save("found", found.filter("n_items > 0").select(F.col("doc_id").alias("__row")))
-    return _unpack(rows.join(found, "__row", "left_anti"), docs.columns)
+    found = search_index(build_index(shards, scratch), items, scratch)
+    return shards.take(found.filter("n_items = 0").select("shard", "pos"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
