@@ -39,17 +39,17 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.ones(256, bool)
 ALNUM[:0x80] = False
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = True
-_powers: dict[int, np.ndarray] = {}
+_BLOCK = 1 << 16
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or have.size < n:
-        size = max(n, 1 << 16)
-        steps = np.full(size, U(base), U)
-        steps[0] = U(1)
-        have = _powers[base] = np.cumprod(steps, dtype=U)
-    return have[:n]
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, U(base), U)
+    steps[:1] = U(1)
+    return np.cumprod(steps, dtype=U)
+
+
+_POWERS = {base: _powers(base, _BLOCK) for base in (_BASE, _INV)}
+_FAR = {base: pow(base, _BLOCK, 1 << 64) for base in (_BASE, _INV)}
 
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,20 +79,46 @@ def pieces(col: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.n
 
 
 class Prefix:
-    """Prefix hashes of a byte array: the hash of any [start, end) in O(1)."""
+    """Prefix hashes of a byte array: the hash of any [start, end) in O(1).
+    Powers are made of those within a block and those of blocks, so none are kept for the whole array."""
 
     def __init__(self, data: np.ndarray, table: np.ndarray = _BYTE):
         n = data.size
         self.c = np.zeros(n + 1, U)
-        np.cumsum(table[data] * _power(_BASE, n), out=self.c[1:], dtype=U)
-        self.inv = _power(_INV, n + 1)
+        near, far, total = _POWERS[_BASE], 1, U(0)
+        for at in range(0, n, _BLOCK):
+            own = self.c[at + 1 : at + 1 + _BLOCK]
+            np.take(table, data[at : at + _BLOCK], out=own)
+            own *= near[: own.size]
+            own *= U(far)
+            own[:1] += total
+            np.cumsum(own, out=own)
+            total, far = own[-1], far * _FAR[_BASE] & 0xFFFFFFFFFFFFFFFF
+        self.near, self.far = _POWERS[_INV], _powers(_FAR[_INV], n // _BLOCK + 1)
+
+    def _back(self, at: np.ndarray) -> np.ndarray:
+        return self.near[at & (_BLOCK - 1)] * self.far[at >> 16]
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.c[ends] - self.c[starts]) * self.inv[starts])
+        return mix((self.c[ends] - self.c[starts]) * self._back(starts))
 
     def windows(self, width: int) -> np.ndarray:
-        n = self.c.size - width
-        return mix((self.c[width:] - self.c[:n]) * self.inv[:n]) if n > 0 else np.zeros(0, U)
+        n = max(self.c.size - width, 0)
+        out = self.c[width:] - self.c[:n]
+        for k, at in enumerate(range(0, n, _BLOCK)):
+            own = out[at : at + _BLOCK]
+            own *= self.near[: own.size]
+            own *= self.far[k]
+        return mix(out)
+
+
+def sums_by_text(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How many flags are set in each text."""
+    out = np.zeros(len(offs) - 1, np.int64)
+    full = np.flatnonzero(np.diff(offs))
+    if full.size:
+        out[full] = np.add.reduceat(flags, offs[:-1][full], dtype=np.int64)
+    return out
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

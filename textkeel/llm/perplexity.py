@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import NOT_SPACE, Prefix, U, column_bytes, mix, row_of, shingles, word_spans
+from .bytetext import NOT_SPACE, Prefix, U, column_bytes, mix, row_of, shingles, sums_by_text, word_spans
 from .scratch import Scratch, prepare_python
 from .shards import Shards, distinct, expand, expand_keys, squeeze, squeeze_keys, told_counts
 
@@ -50,7 +50,9 @@ LOWER, UPPER, LEAST_SIGMA, SHORT = 3.0, 3.0, 0.015, 300
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-ASK_ROUNDS, SCORE_ROUNDS = 2, 4
+#: First bytes of the code points of words.
+_BEGINS_WORD_CHAR = NOT_SPACE & ((np.arange(256) & 0xC0) != 0x80)
+ASK_ROUNDS, SCORE_ROUNDS = 3, 4
 
 # ------------------------------------------------------------------ base rules
 
@@ -67,8 +69,7 @@ def base_columns(data: np.ndarray, offs: np.ndarray, known: tuple | None = None)
         known = (Prefix(data), *word_spans(data, offs, NOT_SPACE))
     prefix, starts, ends, words = known
     rows = row_of(words)
-    per = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offs])
-    out = {"n_words": np.diff(words), "word_chars": per(NOT_SPACE[data] & ((data & 0xC0) != 0x80)), "n_symbols": per(SYMBOLS[data])}
+    out = {"n_words": np.diff(words), "word_chars": sums_by_text(_BEGINS_WORD_CHAR[data], offs), "n_symbols": sums_by_text(SYMBOLS[data], offs)}
     # lines: between newlines and the ends of texts
     newline = np.flatnonzero(data == 10)
     begin = np.sort(np.concatenate([offs[:-1], newline + 1]))

@@ -2,13 +2,15 @@
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir`` and reading it
 back, so a lost executor costs the tasks that were running, never a finished
-stage. A folder of our own is used only where that setting is missing.
+stage.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +21,12 @@ _OWN: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder of a local
+    session, whose tasks share one machine, and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="textkeel-"))
         root = _OWN[0]
@@ -49,6 +54,7 @@ class Scratch:
         """Let Spark delete shuffle files of finished jobs, which it does when their handles are collected."""
         gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(0.2)  # deletion follows collection a little later
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
@@ -64,9 +70,9 @@ def plan_bytes(df: DataFrame) -> int:
 def partitions_for(df: DataFrame, target_bytes: int = 12 << 20) -> int:
     """Enough partitions for tasks of a bounded size, at least the session's own
     number. Of frames that are no file scans Spark knows no size (the estimate is
-    astronomic); they get the session's number. Bucketed tables allow 100,000."""
+    astronomic); they get the session's number."""
     own, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plan_bytes(df)
-    return max(own, min(100_000, size // target_bytes)) if size < 1 << 50 else own
+    return max(own, size // target_bytes) if size < 1 << 50 else own
 
 
 def prepare_python(spark: SparkSession, rows: int = 400) -> None:

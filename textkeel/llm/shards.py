@@ -30,7 +30,7 @@ from .bytetext import U, column_bytes
 from .scratch import Scratch, prepare_python
 
 SHARD = 8 << 20
-RANGE = 4  # shards to a range of keys
+RANGE = 2  # shards to a range of keys
 _LEVEL = 6
 
 
