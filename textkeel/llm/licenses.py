@@ -1,191 +1,120 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
-Texts are reduced to their words (A-Z lower-cased, one space between). Rules are
-grouped by keyword, words that every match of the group holds; a group's regexes
-run only where its keyword stands in the words, and nothing else keeps a text from
-them. Detections are
-word intervals with a rank; one is suppressed if an interval of a better rank
-contains it (better: lower priority number, then longer, then earlier rule).
-Overlaps without containment stay.
+Texts are reduced to their words (lower-cased, one space between). A rule's regex
+runs only where its keyword stands in the words: words that every match of the rule
+holds, derived from the regex itself, behind a still shorter ``STEM`` that many
+keywords share. Nothing else keeps a text from a rule.
+
+Matches are word intervals with a priority and a rank. Of equal intervals the better
+stays (lower priority number, then lower rank); an interval is suppressed if a longer
+one of the same or a better priority contains it. Overlaps without containment stay.
+Places of matches and suppression are running sums and running maxima over the rows
+of a text's matches, so the work is in proportion to text and matches.
 
 Defined results: a null text counts as empty, an empty text has no words and no
 detections; repeated rows give repeated results; rows with a null id are scanned
-like any other; columns named like a result are replaced.
+like any other; of the caller's columns all but the text are carried, and those
+named like a result are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .license_rules import BASE, rules
+from .scratch import Scratch
+
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # as before lower-casing A-Z
-#: The phrases of the base and their labels.
-BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-
-#: Families: label, keyword, regex of the name, regex of the identifier, versions.
-FAMILIES = (
-    ("gpl", "gpl", "(?:gnu )?gpl", "gpl", ("1", "2", "3")),
-    ("gpl", "general public", "gnu general public license(?: gpl)?", "gpl", ("1", "2", "3")),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", "lgpl", ("2", "2 1", "3")),
-    ("lgpl", "lesser general", "(?:gnu )?lesser general public license(?: lgpl)?", "lgpl", ("2 1", "3")),
-    ("agpl", "agpl", "(?:gnu )?agpl", "agpl", ("1", "3")),
-    ("agpl", "affero", "(?:gnu )?affero general public license(?: agpl)?", "agpl", ("1", "3")),
-    ("gfdl", "free documentation", "gnu free documentation license(?: gfdl)?", "gfdl", ("1 1", "1 2", "1 3")),
-    ("apache", "apache", "apache(?: software)? license", "apache", ("1 0", "1 1", "2 0", "2")),
-    ("mpl", "mozilla", "mozilla public license(?: mpl)?", "mpl", ("1 0", "1 1", "2 0")),
-    ("mpl", "mpl", "mpl", "mpl", ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse", "eclipse public license(?: epl)?", "epl", ("1 0", "2 0")),
-    ("cddl", "common development", "common development and distribution license(?: cddl)?", "cddl", ("1 0", "1 1")),
-    ("cpl", "common public", "common public license(?: cpl)?", "cpl", ("1 0",)),
-    ("eupl", "european union", "european union public licen[cs]e(?: eupl)?", "eupl", ("1 0", "1 1", "1 2")),
-    ("artistic", "artistic", "(?:perl )?artistic license", "artistic", ("1 0", "2 0")),
-    ("bsl", "boost", "boost software license(?: bsl)?", "bsl", ("1 0",)),
-    ("osl", "open software", "open software license(?: osl)?", "osl", ("1 0", "2 0", "2 1", "3 0")),
-    ("afl", "academic free", "academic free license(?: afl)?", "afl", ("1 1", "2 0", "2 1", "3 0")),
-    ("ofl", "open font", "(?:sil )?open font license(?: ofl)?", "ofl", ("1 0", "1 1")),
-    ("psf", "python software", "python software foundation license(?: psf)?", "psf", ("2",)),
-    ("php", "php", "php license", "php", ("3 0", "3 01")),
-    ("zpl", "zope", "zope public license(?: zpl)?", "zpl", ("1 1", "2 0", "2 1")),
-    ("lppl", "latex", "latex project public license(?: lppl)?", "lppl", ("1 0", "1 2", "1 3", "1 3c")),
-    ("ms-pl", "microsoft public", "microsoft public license(?: ms pl)?", "ms pl", ()),
-    ("ms-rl", "microsoft reciprocal", "microsoft reciprocal license(?: ms rl)?", "ms rl", ()),
-    ("odbl", "open database", "open database license(?: odbl)?", "odbl", ("1 0",)),
-    ("cc0", "cc0", "cc0", "cc0", ("1 0",)),
-    ("cc-by-nc-nd", "nc nd", "cc by nc nd", "cc by nc nd", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", "nc sa", "cc by nc sa", "cc by nc sa", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", "by nc", "cc by nc", "cc by nc", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", "by nd", "cc by nd", "cc by nd", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", "by sa", "cc by sa", "cc by sa", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by", "cc by", "cc by", "cc by", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("mit", "mit", "(?:the )?mit license", "mit", ()),
-    ("isc", "isc", "(?:the )?isc license", "isc", ()),
-    ("zlib", "zlib", "(?:the )?zlib(?: libpng)? license", "zlib", ()),
-    ("bsd-2-clause", "bsd", "(?:simplified|freebsd|2 clause|two clause) bsd license|bsd 2 clause(?: license)?", "bsd 2 clause", ()),
-    ("bsd-3-clause", "bsd", "(?:revised|modified|new|3 clause|three clause) bsd license|bsd 3 clause(?: license)?", "bsd 3 clause", ()),
-    ("bsd-4-clause", "bsd", "(?:original|old|4 clause|four clause) bsd license|bsd 4 clause(?: license)?", "bsd 4 clause", ()),
-    ("bsd", "bsd", "bsd(?: style)? license", "bsd", ()),
-    ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense", ()),
-    ("wtfpl", "wtfpl", "wtfpl", "wtfpl", ("1", "2")),
-    ("beerware", "beerware", "beerware license", "beerware", ()),
-    ("openssl", "openssl", "openssl license", "openssl", ()),
-    ("postgresql", "postgresql", "postgresql licen[cs]e", "postgresql", ()),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)? license", "ncsa", ()),
-    ("upl", "universal permissive", "universal permissive license(?: upl)?", "upl", ("1 0",)),
-    ("vim", "vim", "vim license", "vim", ()),
-    ("sspl", "server side public", "server side public license(?: sspl)?", "sspl", ("1",)),
-    ("busl", "business source", "business source license(?: busl)?", "busl", ("1 1",)),
-)
-#: Single signatures: label, keyword, regex, priority, confidence.
-SIGNATURES = (
-    ("mit", "free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software", 15, 0.97),
-    ("mit", "mit", "(?:released|distributed|licensed|available) under (?:the )?(?:terms of (?:the )?)?mit license", 20, 0.95),
-    ("isc", "use copy modify", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 15, 0.97),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 15, 0.95),
-    ("bsd-3-clause", "endorse or promote", "may be used to endorse or promote products derived from this software without", 15, 0.9),
-    ("zlib", "as is without", "this software is provided as is without any express or implied warranty", 15, 0.7),
-    ("apache", "apache", "www apache org licenses(?: license 2 0)?", 25, 0.9),
-    ("gpl", "gnu org", "www gnu org licenses(?: gpl(?: 3 0| 2 0)?)?", 25, 0.8),
-    ("cc", "creativecommons", "creativecommons org licenses [a-z0-9]+(?: [a-z0-9]+)?", 25, 0.9),
-    ("cc0", "creativecommons", "creativecommons org publicdomain zero 1 0", 20, 0.95),
-    ("cc", "creative commons", "creative commons(?: attribution)?(?: non ?commercial)?(?: share ?alike)?(?: no ?deriv[a-z]*)?(?: [0-9] [0-9])?(?: international| unported)? licen[cs]e", 30, 0.85),
-    ("mpl", "mozilla", "mozilla org mpl(?: 2 0)?", 25, 0.9),
-    ("public-domain", "public domain", "(?:released|dedicated|placed) (?:in|into|to) the public domain", 40, 0.7),
-    ("proprietary", "all rights reserved", "all rights reserved(?: [a-z0-9]+){0,6} licen[cs]e", 60, 0.4),
-    ("dual", "dual licen", "dual licen[cs]ed under", 60, 0.5),
-)
-
-
-def rules() -> list[dict]:
-    """All rules in order; several templates a family and version."""
-    out: list[dict] = []
-
-    def add(label, keyword, regex, priority, confidence):
-        out.append({"label": label, "keyword": keyword, "regex": f"(?<= )(?:{regex})(?= )", "priority": priority, "confidence": confidence, "rank": len(out)})
-
-    for label, keyword, name, ident, versions in FAMILIES:
-        under = f"licen[cs]ed under (?:the )?(?:terms of (?:the )?)?(?:{name})"
-        add(label, "spdx", f"spdx license identifier {ident}(?: only| or later)?", 12, 0.98)
-        for v in versions:
-            dotted = v if " " in v else f"{v}(?: 0)?"
-            add(label, "spdx", f"spdx license identifier {ident} {dotted}(?: only| or later)?", 10, 0.99)
-            add(label, keyword, f"{under}(?: as published by the free software foundation)?(?: either)?(?: version| v)? v?{dotted}(?: or(?: at your option)? any later version)?", 18, 0.96)
-            add(label, keyword, f"(?:{name})(?: version| v)? v?{dotted}(?: or later)?", 28, 0.85)
-        add(label, keyword, under, 22, 0.93)
-        add(label, keyword, f"(?:{name})(?: license)?", 35, 0.75 if "licen" in name else 0.4)
-    for label, keyword, regex, priority, confidence in SIGNATURES:
-        add(label, keyword, regex, priority, confidence)
-    for phrase, label in BASE:
-        add(label, phrase, phrase, 90, 0.6)
-    return out
-
-
-def _rule_groups():
+#: Parts that keywords share, looked for first; a keyword without any stands for itself.
+STEMS = ("licen", "gpl", "bsd", "warrant", "redistribut", "distribut", "permission", "copyright", "software", "domain", "commons", "mpl", " cc", "mit", "apache", "www", "public")
+
+
+def _gates():
     groups: dict[str, list[dict]] = {}
     for r in rules():
-        groups.setdefault(r["keyword"], []).append(r)
-    return F.array(
-        *[
-            F.struct(
-                F.lit(f" {keyword}" if keyword == "dual licen" else f" {keyword} ").alias("keyword"),
-                F.array(*[F.struct(*[F.lit(r[k]).alias(k) for k in ("label", "regex", "priority", "confidence", "rank")]) for r in own]).alias("rules"),
-            )
-            for keyword, own in groups.items()
-        ]
-    )
+        word = f" {r['keyword']} "
+        groups.setdefault(next((s for s in STEMS if s in word), word), []).append(r | {"keyword": word})
+    return F.array(*[F.struct(F.lit(stem).alias("stem"), F.array(*[F.struct(*[F.lit(r[k]).alias(k) for k in ("keyword", "regex", "rank")]) for r in own]).alias("rules")) for stem, own in groups.items()])
 
 
 _SPACES = "length({0}) - length(replace({0}, ' ', ''))"
-#: Every match of a rule as a word interval: words before it are the spaces before it, less the one that opens the text.
-_MATCHES = f"""
+#: Every match of a rule: the spaces before it since the last, and those inside.
+_PARTS = f"""
 filter(zip_with(split(__words, r.regex, -1), regexp_extract_all(__words, r.regex, 0), (s, m) ->
   named_struct('before', {_SPACES.format('s')}, 'inside', {_SPACES.format('m')})), x -> x.inside IS NOT NULL)
 """
-_PLACED = f"""
-aggregate({_MATCHES},
-  named_struct('at', 0, 'out', CAST(array() AS array<struct<label:string,rank:int,priority:int,confidence:double,first_word:int,end_word:int>>)),
-  (a, x) -> named_struct('at', a.at + x.before + x.inside,
-    'out', array_append(a.out, named_struct('label', r.label, 'rank', r.rank, 'priority', r.priority, 'confidence', r.confidence,
-      'first_word', a.at + x.before - 1, 'end_word', a.at + x.before + x.inside))),
-  a -> a.out)
+_HITS = f"""
+filter(transform(flatten(transform(filter(__gates, g -> contains(__words, g.stem)), g -> filter(g.rules, r -> contains(__words, r.keyword)))),
+  r -> named_struct('rank', r.rank, 'parts', {_PARTS})), h -> size(h.parts) > 0)
 """
-_DETECTIONS = f"flatten(transform(flatten(transform(filter(__groups, g -> contains(__words, g.keyword)), g -> g.rules)), r -> {_PLACED}))"
-_BETTER = """(e.priority < d.priority OR e.priority = d.priority AND (e.end_word - e.first_word > d.end_word - d.first_word
-  OR e.end_word - e.first_word = d.end_word - d.first_word AND e.rank < d.rank))"""
-_KEPT = f"filter(__found, d -> NOT exists(__found, e -> e.first_word <= d.first_word AND e.end_word >= d.end_word AND {_BETTER}))"
 _MADE = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
 
 
-def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, the base columns, labels, score and ``detections``:
-    array of (label, rank, priority, confidence, first_word, end_word)."""
-    keep = [c for c in docs.columns if c not in _MADE or c == text_col]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered, NON_WORD, " ")), F.lit(" "))
-    df = docs.select(*keep, F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), words.alias("__words"))
+def _base_columns() -> dict:
     base = [(f" {p} ", label) for p, label in BASE]
     once = lambda p: f"CASE WHEN contains(__words, '{p}') THEN regexp_count(__words, '(?<= ){p.strip()}(?= )') ELSE 0 END"
     first = lambda p: f"CASE WHEN contains(__words, '{p}') THEN {_SPACES.format(f'''substring_index(__words, '{p}', 1)''')} END"
     last = lambda p: f"CASE WHEN contains(__words, '{p}') THEN n_words - {len(p.split())} - ({_SPACES.format(f'''substring_index(__words, '{p}', -1)''')}) END"
-    df = df.withColumns(
-        {
-            "n_base": F.expr("CAST(" + " + ".join(once(p) for p, _ in base) + " AS BIGINT)"),
-            "first_word": F.expr("CAST(least(" + ", ".join(first(p) for p, _ in base) + ") AS BIGINT)"),
-            "last_word": F.expr("CAST(greatest(" + ", ".join(last(p) for p, _ in base) + ") AS BIGINT)"),
-            "__base": F.expr("array_compact(array(" + ", ".join(f"CASE WHEN contains(__words, '{p}') THEN '{label}' END" for p, label in base) + "))"),
-        }
-    )
-    df = df.withColumn("__groups", _rule_groups())
-    df = df.withColumn("__found", F.expr(_DETECTIONS)).drop("__words", "__groups")
-    df = df.withColumn("detections", F.expr(_KEPT)).drop("__found")
-    return df.withColumns(
-        {
-            "base_labels": F.array_join(F.array_sort("__base"), ","),
-            "labels": F.expr("array_join(array_sort(array_distinct(concat(__base, coalesce(transform(detections, d -> d.label), CAST(array() AS array<string>))))), ',')"),
-            "score": F.expr("coalesce(array_max(transform(detections, d -> d.confidence)), 0D)"),
-        }
-    ).drop("__base")
+    return {
+        "n_base": F.expr("CAST(" + " + ".join(once(p) for p, _ in base) + " AS BIGINT)"),
+        "first_word": F.expr("CAST(least(" + ", ".join(first(p) for p, _ in base) + ") AS BIGINT)"),
+        "last_word": F.expr("CAST(greatest(" + ", ".join(last(p) for p, _ in base) + ") AS BIGINT)"),
+        "base": F.expr("array_compact(array(" + ", ".join(f"CASE WHEN contains(__words, '{p}') THEN '{label}' END" for p, label in base) + "))"),
+    }
+
+
+def _of_rule(key: str, rank: str):
+    """A rule's property by its rank, from a literal array."""
+    return F.element_at(F.array(*[F.lit(r[key]) for r in rules()]), F.col(rank) + 1)
+
+
+def _kept(spans: DataFrame) -> DataFrame:
+    """Suppression among the intervals (uid, first_word, end_word, priority, rank) of each text."""
+    best = spans.groupBy("uid", "first_word", "end_word").agg(F.min(F.struct("priority", "rank")).alias("b"))
+    best = best.select("uid", "first_word", "end_word", "b.priority", "b.rank")
+    # of those before, the farthest end at each priority: they contain this one if they end no earlier
+    before = W.partitionBy("uid").orderBy("first_word", F.desc("end_word")).rowsBetween(W.unboundedPreceding, -1)
+    levels = sorted({r["priority"] for r in rules()})
+    farthest = [F.max(F.when(F.col("priority") == p, F.col("end_word"))).over(before).alias(f"end{p}") for p in levels]
+    inside = [(F.col("priority") >= p) & F.coalesce(F.col(f"end{p}") >= F.col("end_word"), F.lit(False)) for p in levels]
+    contained = inside[0]
+    for test in inside[1:]:
+        contained = contained | test
+    return best.select("*", *farthest).filter(~contained).select("uid", "first_word", "end_word", "priority", "rank")
+
+
+def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the text, with n_words, the base columns, labels, score and
+    ``detections``: array of (first_word, end_word, label, rank, priority, confidence)."""
+    scratch = Scratch(docs.sparkSession, "licenses")
+    keep = [c for c in docs.columns if c not in _MADE and c != text_col]
+    own = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("own")
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), NON_WORD, " ")), F.lit(" "))
+    df = docs.select(own, words.alias("__words")).withColumn("n_words", F.expr(f"CAST(if(__words = '  ', 0, {_SPACES.format('__words')} - 1) AS BIGINT)"))
+    df = df.withColumns(_base_columns()).withColumn("__gates", _gates()).withColumn("hits", F.expr(_HITS)).drop("__words", "__gates")
+    rows = scratch.save("scanned", df.withColumn("uid", F.monotonically_increasing_id()))
+    spans = rows.select("uid", F.explode("hits").alias("h")).select("uid", "h.rank", F.posexplode("h.parts").alias("i", "part"))
+    so_far = W.partitionBy("uid", "rank").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    end = F.sum(F.col("part.before") + F.col("part.inside")).over(so_far)
+    spans = spans.select("uid", "rank", (end - F.col("part.inside") - 1).alias("first_word"), end.alias("end_word"), _of_rule("priority", "rank").alias("priority"))
+    found = _kept(spans).select("uid", F.struct("first_word", "end_word", _of_rule("label", "rank").alias("label"), "rank", "priority", _of_rule("confidence", "rank").alias("confidence")).alias("d"))
+    found = found.groupBy("uid").agg(F.array_sort(F.collect_list("d")).alias("detections"))  # of one text
+    out = rows.drop("hits").join(found.withColumnRenamed("uid", "of"), F.col("uid") == F.col("of"), "left")
+    none = F.expr("CAST(array() AS array<string>)")
+    own_labels = F.coalesce(F.transform("detections", lambda d: d["label"]), none)
+    made = {
+        "n_words": F.col("n_words"),
+        "n_base": F.col("n_base"),
+        "first_word": F.col("first_word"),
+        "last_word": F.col("last_word"),
+        "base_labels": F.array_join(F.array_sort("base"), ","),
+        "labels": F.array_join(F.array_sort(F.array_distinct(F.concat("base", own_labels))), ","),
+        "score": F.coalesce(F.array_max(F.transform("detections", lambda d: d["confidence"])), F.lit(0.0)),
+        "detections": F.col("detections"),
+    }
+    return out.select(*[F.col(f"own.`{c}`").alias(c) for c in keep], *[v.alias(k) for k, v in made.items()])
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
