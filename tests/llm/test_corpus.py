@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -426,6 +427,42 @@ def test_quality(spark):
     assert rows_.tolist() == [0, x.size]
 
 
+def test_quality_query(spark, tmp_path):
+    """Folds, the bound of the fit, repeated ids and what a score may depend on."""
+    rng = random.Random(3)
+    text = lambda good: " ".join(rng.choice(["river", "stone", "bridge"] if good else ["BUY!!", "click###", "$$$"]) for _ in range(30))
+    rows = [(i, text(i % 2), "en", "a") for i in range(400)] + [(None, text(1), None, None), (500, None, "en", "a"), (501, "", "en", "a")]
+    rows += [(7, text(0), "en", "a")] * 50 + [rows[8]] * 3  # one id with many texts
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 2, 0) for i in range(300)] + [(300, None, 0), (None, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality.op2_quality_nbsvm(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    by_text = defaultdict(set)
+    for r in got:
+        assert r.held_out == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    texts = defaultdict(list)
+    for i, t, *_ in rows:
+        texts[i].append(t or "")
+    for r in got:
+        if len(set(texts[r.doc_id])) == 1:
+            by_text[texts[r.doc_id][0]].add(r.score)
+    assert all(len(s) == 1 for s in by_text.values())
+    held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 300 and r.doc_id != 7]
+    assert sum(r.predicted == r.doc_id % 2 for r in held) / len(held) > 0.95
+    docs, few = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    seen = []
+    fit, quality.fit = quality.fit, lambda x, offs, y: seen.append(y.size) or fit(x, offs, y)
+    try:
+        quality.train(docs, few.select("doc_id", F.col("quality").alias("label")), max_rows=20)
+    finally:
+        quality.fit = fit
+    assert seen == [20]
+    empty_docs = docs.filter("false")
+    assert quality.score(empty_docs, quality.train(empty_docs, few.select("doc_id", F.col("quality").alias("label")))).count() == 0
+
+
 def quality_bytes(text):
     from textkeel.llm.bytetext import column_bytes
 

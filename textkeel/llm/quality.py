@@ -8,12 +8,13 @@ hinge loss is fitted to the scaled indicators by dual coordinate descent, and it
 margin is turned into a probability by logistic calibration on held-back folds.
 
 The fit uses at most ``MAX_TRAIN`` labelled rows (those with the least hash of
-their id, so the choice does not depend on partitioning); scoring covers every
+their id and, of texts with the same id, that with the least hash, so neither the
+choice nor the bound depends on partitioning or repeated rows); scoring covers every
 row and every word. The model is two arrays of ``BUCKETS`` floats, the only thing
 sent to the workers.
 
 Defined results: null texts score as empty ones; an empty text has only the bias;
-null labels are skipped; a repeated (id, label) counts once and contradicting
+null labels and labels of a null id are skipped; a repeated (id, label) counts once and contradicting
 labels of one id both count; without labels of both classes every score is the
 share of label 1 (0.5 without labels); repeated documents get equal scores.
 """
@@ -151,7 +152,7 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, to, data, offs in pieces(batch.column("text")):
             x, rows = features(data, offs)
             lists = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(x, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(at, to - at), batch.column("h").slice(at, to - at), lists], names=["label", "h", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, to - at) for c in ("doc_id", "label", "h")), lists], names=["doc_id", "label", "h", "x"])
 
 
 def train(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_TRAIN) -> dict:
@@ -160,8 +161,10 @@ def train(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_TRAIN) -> di
     scratch = Scratch(docs.sparkSession, "quality")
     chosen = labelled.dropna().distinct().withColumn("h", F.xxhash64("doc_id", "label")).orderBy("h", "doc_id", "label").limit(max_rows)
     chosen = scratch.save("chosen", chosen)  # at most max_rows rows: broadcast is bounded by that parameter
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "h", "text")
-    got = scratch.save("features", rows.mapInArrow(_featurize, "label int, h long, x array<int>")).orderBy("h").toArrow()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    # one text of each (id, label), so no more rows than were chosen: of repeated ids that with the least hash
+    rows = rows.groupBy("h", "doc_id", "label").agg(F.min(F.struct(F.sha2("text", 256), "text")).alias("t")).select("doc_id", "label", "h", F.col("t.text").alias("text"))
+    got = scratch.save("features", rows.mapInArrow(_featurize, "doc_id long, label int, h long, x array<int>")).orderBy("h", "doc_id", "label").toArrow()
     lists = got.column("x").combine_chunks()
     offs = np.asarray(lists.offsets, np.int64) if len(lists) else np.zeros(1, np.int64)
     x = np.asarray(lists.values, np.int64)[offs[0] : offs[-1]] if len(lists) else np.zeros(0, np.int64)
