@@ -11,7 +11,8 @@ Defined results: a null or empty text weighs 0 words and takes 0; a null source
 is a source of its own, the last; a null id hashes as the empty string; repeated
 rows are rows of their own (rows that agree in id and size are
 interchangeable); an empty table gives an empty result. Columns called size,
-source_size, target or taken are replaced.
+source_size, target or taken are replaced; all others travel in a struct, so their
+names clash with nothing.
 """
 
 from __future__ import annotations
@@ -53,16 +54,17 @@ def targets(source_sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return full.withColumn("target", F.when(F.col("__full"), d(F.col("__cap"))).otherwise(d(rest) * d(F.col("__w")) / d(pull))).drop("__n", "__w", "__cap", "__full")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target and taken (words, repeats counted)."""
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_text: bool = True, write_sizes: bool = True) -> DataFrame:
+    """``docs`` with size, source_size, target and taken (words, repeats counted);
+    unless ``keep_text``, without the text, which is then read once, for its size, as
+    sizes are written down (not if ``write_sizes`` is false, as where rows are large)."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    keep = [F.col(c) for c in docs.columns if c not in _MADE or c in (id_col, text_col, source_col)]
+    keep = [c for c in docs.columns if c not in _MADE and (keep_text or c != text_col)]
     key = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(*keep, F.col(source_col).cast("string").alias("__source"), n_words(text_col).alias("__size"), key.alias("__key"))
-    if text_col not in docs.columns or len(docs.columns) == 3:
-        # nothing but id, text and source: the text is read once, for its size
-        rows = scratch.save("sizes", rows.drop(text_col))
-        keep = [c for c in docs.columns if c != text_col and c not in _MADE]
+    own = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("__own")
+    rows = docs.select(own, F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), n_words(text_col).alias("__size"), key.alias("__key"))
+    if write_sizes and not keep_text:
+        rows = scratch.save("sizes", rows)
     part = F.substring("__key", 1, RANGE_DIGITS)
     rows = rows.withColumn("__range", part)
     ranges = scratch.save("ranges", rows.groupBy("__source", "__range").agg(F.sum("__size").alias("__sum")))
@@ -71,29 +73,31 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     before = F.coalesce(F.sum("__sum").over(W.partitionBy("__source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = ranges.withColumn("__offset", before).join(goal, F.col("__source").eqNullSafe(F.col("__s")))
     offsets = offsets.select(F.col("__source").alias("__s"), F.col("__range").alias("__r"), "__offset", "source_size", "target")
-    inside = W.partitionBy("__source", "__range").orderBy("__key", F.col(id_col), "__size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("__source", "__range").orderBy("__key", "__id", "__size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("__in", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
     rows = rows.join(offsets, rows["__source"].eqNullSafe(offsets["__s"]) & (rows["__range"] == offsets["__r"]))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("__size"), rest - F.col("__offset") - F.col("__in")))
-    return rows.withColumn("size", F.col("__size")).withColumn("taken", (epochs * F.col("__size") + part).cast("long")).select(*keep, *_MADE)
+    taken = (epochs * F.col("__size") + part).cast("long").alias("taken")
+    return rows.select(*[F.col(f"__own.`{c}`").alias(c) for c in keep], F.col("__size").alias("size"), "source_size", "target", taken)
 
 
 def mixed_copies(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, in whole documents: a row per copy; of the one document
     a source's budget cuts, the copy stays if at least half of it is inside."""
     columns = docs.columns
-    mixed = mix_sources(docs, **options)
+    packed = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id", "source", "text")
+    mixed = mix_sources(packed, keep_text=False, write_sizes=False, **options)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    mixed = mixed.withColumn("__copies", copies).filter("__copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    mixed = mixed.select("row", copies.alias("copies")).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return mixed.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mix_sources(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 OP8_SQL = r"""

@@ -25,7 +25,6 @@ from .scratch import Scratch
 
 BITS = 16
 ROUNDS = 9
-_OWN = ("__id_hex", "__row_hex", "__uid")
 _MADE = ("n_bytes", "shard", "depth", "shard_bytes")
 
 
@@ -60,9 +59,10 @@ def extendible_shards(docs: DataFrame, max_bytes: int, id_col: str = "doc_id", t
     """``docs`` with n_bytes, shard (hash-prefix bits), depth and shard_bytes."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
-    keep = [c for c in docs.columns if c not in _MADE and c not in _OWN]
+    names, keep = [c for c in docs.columns if c not in _MADE], ["__own"]
+    own = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names]).alias("__own")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(*keep, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.md5(key).alias("__id_hex"))
+    rows = docs.select(own, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.md5(key).alias("__id_hex"))
     light = scratch.save("sizes", rows.select("n_bytes", "__id_hex").filter(F.col("n_bytes") <= max_bytes).withColumn("__path", F.lit("")))
     done, round_ = [], 0
     again = F.row_number().over(W.partitionBy("__id_hex").orderBy("n_bytes"))  # over oversized rows only
@@ -77,8 +77,10 @@ def extendible_shards(docs: DataFrame, max_bytes: int, id_col: str = "doc_id", t
         joined = rows.withColumn("__hex", _digits(round_)).join(_bounded(fixed), ["__path", "__hex"])
         done.append(joined.select(*keep, *_MADE))
         over = table.filter("depth is null").select("__path", "__hex", "__next")
-        if round_ + 1 >= ROUNDS or over.isEmpty():
+        if over.isEmpty():
             break
+        if round_ + 1 >= ROUNDS:
+            raise RuntimeError(f"{BITS * ROUNDS} bits of hash do not tell the rows of a shard apart")
         more = lambda df: df.withColumn("__hex", _digits(round_)).join(_bounded(over), ["__path", "__hex"]).drop("__path", "__hex").withColumnRenamed("__next", "__path")
         rows = more(rows)
         if round_ == 1:  # what is left shares 32 bits: number the rows, once and for all
@@ -91,7 +93,7 @@ def extendible_shards(docs: DataFrame, max_bytes: int, id_col: str = "doc_id", t
     out = large
     for part in done:
         out = out.unionByName(part)
-    return out
+    return out.select(*[F.col(f"__own.`{c}`").alias(c) for c in names], *_MADE)
 
 
 def _bounded(table: DataFrame) -> DataFrame:
