@@ -62,20 +62,21 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     keep = [c for c in docs.columns if c not in _MADE and (keep_text or c != text_col)]
     key = F.md5(F.concat(F.lit(seed), F.lit(":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     own = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("__own")
-    rows = docs.select(own, F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), n_words(text_col).alias("__size"), key.alias("__key"))
+    # never null, so windows and joins by it share one partitioning
+    named = F.coalesce(F.concat(F.lit("v"), F.col(source_col).cast("string")), F.lit("n"))
+    rows = docs.select(own, F.col(id_col).alias("__id"), named.alias("__source"), n_words(text_col).alias("__size"), key.alias("__key"))
     if write_sizes and not keep_text:
         rows = scratch.save("sizes", rows)
     part = F.substring("__key", 1, RANGE_DIGITS)
     rows = rows.withColumn("__range", part)
     ranges = scratch.save("ranges", rows.groupBy("__source", "__range").agg(F.sum("__size").alias("__sum")))
-    sizes = ranges.groupBy(F.col("__source").alias("source")).agg(F.sum("__sum").alias("source_size"))
-    goal = scratch.save("targets", targets(sizes, weights, cap).withColumnRenamed("source", "__s"))
+    sizes = ranges.groupBy("__source").agg(F.sum("__sum").alias("source_size")).withColumn("source", F.expr("if(startswith(__source, 'v'), substring(__source, 2), NULL)"))
+    goal = scratch.save("targets", targets(sizes, weights, cap).drop("source"))
     before = F.coalesce(F.sum("__sum").over(W.partitionBy("__source").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = ranges.withColumn("__offset", before).join(goal, F.col("__source").eqNullSafe(F.col("__s")))
-    offsets = offsets.select(F.col("__source").alias("__s"), F.col("__range").alias("__r"), "__offset", "source_size", "target")
+    offsets = ranges.withColumn("__offset", before).join(goal, "__source").select("__source", "__range", "__offset", "source_size", "target")
     inside = W.partitionBy("__source", "__range").orderBy("__key", "__id", "__size").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("__in", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
-    rows = rows.join(offsets, rows["__source"].eqNullSafe(offsets["__s"]) & (rows["__range"] == offsets["__r"]))
+    rows = rows.join(offsets, ["__source", "__range"])
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("source_size")
