@@ -1,10 +1,15 @@
 import json
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from textkeel.operators import boundary, commands, credentials, envfile, injection, shield, toolconfig, vault
-from textkeel.plans import queries
+from textkeel.functions.fixed import PHRASES
+from textkeel.functions.text import holds, java, quoted
+from textkeel.operators import boundary, commands, credentials, envfile, injection, reports, shield, toolconfig, vault
+from textkeel.plans import cases, queries, seeds
 
 TAGGED = "Hello " + "".join(chr(0xE0000 + ord(c)) for c in "hi there") + " x"
 #: text -> highest severity (fixed by the rules), number of findings
@@ -184,8 +189,91 @@ def test_blocks_and_deny(spark):
     once = shield.with_block(rows)
     assert [r.text for r in shield.with_block(once).collect()] == [r.text for r in once.collect()]
     assert shield.without_block(once).first().text.strip() == "a"
-    got = shield.merge_deny(spark.createDataFrame([("{",), (shield.deny_json(),), ("{}",)], "settings string")).collect()
-    assert [(None if r.deny is None else len(r.deny), r.changed) for r in got] == [(None, None), (20, False), (20, True)]
+    got = shield.merge_deny(spark.createDataFrame([("{",), (shield.deny_json(),), ("{}",), (None,)], "settings string")).collect()
+    assert [(None if r.deny is None else len(r.deny), r.changed) for r in got] == [(None, False), (20, False), (20, True), (20, True)]
+    assert got[0].merged == "{"
+    theirs = json.dumps({"a": 1, "permissions": {"allow": ["x"], "deny": ["mine", "mine"]}})
+    added = shield.merge_deny(spark.createDataFrame([(theirs,)], "settings string")).select(F.col("merged").alias("settings"))
+    back = shield.merge_deny(added, remove=True).first()
+    assert json.loads(back.merged) == json.loads(theirs) and back.changed
+
+
+def test_redaction_comes_back_whole(spark):
+    """Values inside values, inside placeholders' text, and regex marks."""
+    rng = random.Random(4)
+    values = ["SECRET", "0123456789abcdef0123", "cafebabe", "cafebabe" * 3, "a\\Eb.c*[", "{{SECRET_", "abcdefghijklmnop", "abcdefghijklmnopqrst", "SECRET_ab", "\U0001f600passwords"]
+    texts = []
+    for _ in range(200):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            v = rng.choice(values)
+            parts.append(rng.choice([f'password="{v}"', f"token={v}", v, "{{SECRET_ab12}}", "plain", "\n"]))
+        texts.append(rng.choice([" ", ""]).join(parts))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None])], "id int, text string").repartition(4)
+    out = credentials.redact(rows).cache()
+    back = {r.id: r for r in vault.restore(out.select("id", "redacted_text"), vault.entries(out), "id", "redacted_text").collect()}
+    for r in out.collect():
+        assert back[r.id].restored_text == r.text
+        for value in r.vault.values():
+            left = re.sub(r"\{\{SECRET_[a-z0-9]+\}\}", "", r.redacted_text)
+            assert value not in left, (r.text, value)
+
+
+def test_gates_lose_nothing(spark):
+    """Wherever a rule's pattern stands in a text, so do the literals that are looked for first."""
+    texts = [t for t, _ in cases.SCANS if t] + [t for t, *_ in cases.SECRETS] + list(seeds.PAYLOADS)
+    texts += [x.upper() for x in texts] + [x.replace(" ", "\n ") for x in texts]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").withColumn("low", F.lower("text")).cache()
+    rules = [(java(p, i), holds("low", *injection.NEEDS[n])) for n, (_, _, p, i) in enumerate(PHRASES)]
+    rules += [(java(p, i), holds("low" if i else "text", *credentials.NEEDS[t])) for t, p, _, i in credentials.RULES]
+    assert len(injection.NEEDS) == len(PHRASES) and set(credentials.NEEDS) == {t for t, *_ in credentials.RULES}
+    lost = rows.select([F.sum(F.expr(f"CAST(text RLIKE {quoted(p)} AND NOT ({g}) AS INT)")).alias(f"l{k}") for k, (p, g) in enumerate(rules)] + [F.sum(F.expr(f"CAST(text RLIKE {quoted(p)} AS INT)")).alias(f"n{k}") for k, (p, _) in enumerate(rules)]).first()
+    assert not any(lost[f"l{k}"] for k in range(len(rules)))
+    assert all(lost[f"n{k}"] for k in range(len(rules)))  # every rule is put to the test
+
+
+def test_every_suite_holds_every_case(spark, tmp_path):
+    spark.range(120).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("scan_cases", "secret_cases", "settings_cases", "redact_cases"):
+        suite = cases.SUITES[name]
+        got = {r.k: r.out for r in suite.query(spark, str(tmp_path)).collect()}
+        assert got == {i: case[-1] for i, case in enumerate(suite.cases)}, name
+
+
+def test_offsets_of_very_many_matches(spark):
+    text = "\U0001f600 " + "r\u0435quest " * 20_000
+    began = time.time()
+    out = injection.scan_injection(spark.createDataFrame([(text,)], "text string"), config=injection.ScanConfig(max_findings=1 << 30)).select(F.size("findings").alias("n"), F.expr("findings[19999].index").alias("last")).first()
+    assert (out.n, out["last"]) == (20_000, 3 + 8 * 19_999) and time.time() - began < 60
+    many = credentials.locate(spark.createDataFrame([("ab\n" * 5_000, "ab")], "t string, v string"), "t", "v").agg(F.count("*"), F.max("line"), F.max("column")).first()
+    assert tuple(many) == (5_000, 4_999, 0)
+
+
+def test_env_bundle_withholds(spark):
+    rows = spark.createDataFrame([("/a/.env", "A=1"), ("/a/.env.x", None), ("/b/.env", "B=2")], "path string, content string")
+    plain = {r.folder: r.masked for r in envfile.mask_env_files(rows).collect()}
+    assert plain == {"/a/": "# --- /a/.env ---\nA=<HIDDEN>\n\n# --- /a/.env.x ---\n# could not be read\n", "/b/": "# --- /b/.env ---\nB=<HIDDEN>\n"}
+    silent = lambda df, c: df.withColumn("redacted_text", F.when(F.col("path") == "/b/.env", F.col(c)))
+    got = {r.folder: r.masked for r in envfile.mask_env_files(rows, silent).collect()}
+    assert "A=" not in got["/a/"] and "could not be verified" in got["/a/"] and got["/b/"] == plain["/b/"]
+    assert envfile.mask_env_files(rows.filter("false"), credentials.redact).count() == 0
+
+
+def test_one_servers_trouble_is_its_own(monkeypatch):
+    real = toolconfig._text
+    monkeypatch.setattr(toolconfig, "_text", lambda v: 1 / 0 if v == "boom" else real(v))
+    sites, n = toolconfig.audit_sites(json.dumps({"servers": {"a": {"env": {"x": "boom"}}, "b": {"env": {"y": "fine"}}}}))
+    assert n == 2 and [(s[0], s[1]) for s in sites] == [("not_audited", "a"), ("credential", "b")]
+
+
+def test_reports_of_nothing(spark):
+    none = credentials.redact(spark.createDataFrame([], "path string, text string"))
+    report = reports.per_file_secrets(none)
+    assert reports.totals(report).first().asDict() == {"files": 0, "total": 0, "types": []}
+    assert reports.top_files(report).count() == 0 and reports.dashboard(report).count() == 0
+    found = injection.long_form(injection.scan_injection(none), "path")
+    assert tuple(reports.session_counters(none, found).first()) == (0, 0, 0, 0, 0)
+    assert reports.totals(reports.per_file_injection(found)).first().critical == 0
 
 
 def test_locate(spark):
@@ -207,6 +295,27 @@ def test_streams(spark, tmp_path):
     assert spark.table("once").count() == 1
 
 
+def test_polled_changes(spark, tmp_path):
+    """A, B, A are three changes, on a stream over several micro-batches and on a table."""
+    from textkeel.streaming import streams
+
+    batches = [["A", "A", "B"], ["B", "A", ""], [None, "A", "C"]]
+    rows = [("u", v, 10 * i + j) for i, vs in enumerate(batches) for j, v in enumerate(vs)]
+    for i in range(len(batches)):
+        own = [r for r in rows if r[2] // 10 == i]
+        spark.createDataFrame(own, "key string, value string, ts int").coalesce(1).write.parquet(f"{tmp_path}/in{i}")
+    (tmp_path / "in").mkdir()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    for i in range(len(batches)):
+        for f in (tmp_path / f"in{i}").glob("*.parquet"):
+            f.rename(tmp_path / "in" / f"{i}.parquet")
+        stream = streams.changed_only(spark.readStream.schema("key string, value string, ts int").parquet(str(tmp_path / "in")), "key", "value", "ts")
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    got = [r.value for r in spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()]
+    table = streams.changed_only(spark.createDataFrame(rows, "key string, value string, ts int"), "key", "value", "ts").orderBy("ts")
+    assert got == ["A", "B", "A", "C"] == [r.value for r in table.collect()]
+
+
 def test_sources(spark, tmp_path):
     from textkeel.sources import files
 

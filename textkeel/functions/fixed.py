@@ -63,18 +63,38 @@ GIT_PUSH = r"\mgit\s+(?:remote\s+(?:add|set-url)|push)\M"
 # Tools that read, file kinds, globs, ignore files, deny rules.
 READ_TOOLS = ("Read", "WebFetch", "Fetch", "WebSearch", "NotebookRead", "Glob", "Grep")
 STRIPPABLE_TYPES = ("Unicode Tag Smuggling", "Bidirectional Text Override", "Variation Selector Smuggling", "Invisible Character Sequence")
-CODE_EXTENSIONS = tuple("ts js tsx jsx mjs cjs py rb go java cs php rs sh ps1 env yaml yml json jsonc toml ini cfg conf xml properties".split())
-PROSE_EXTENSIONS = tuple("md mdc mdx txt rst".split())
+CODE_EXTENSIONS = (
+    "ts", "js", "tsx", "jsx", "mjs", "cjs",
+    "py", "rb", "go", "java", "cs", "php",
+    "rs", "sh", "ps1", "env", "yaml", "yml",
+    "json", "jsonc", "toml", "ini", "cfg", "conf",
+    "xml", "properties",
+)
+PROSE_EXTENSIONS = (
+    "md", "mdc", "mdx", "txt", "rst",
+)
 RULE_FILES = (".cursorrules", ".clinerules", ".windsurfrules", ".roorules", ".aiderules", ".rules")
 EXCLUDED = ("**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/out/**", "**/*.min.*", "**/package-lock.json", "**/yarn.lock", "**/pnpm-lock.yaml", "**/.next*/**", "**/.nuxt/**", "**/.vercel/**", "**/_next/**", "**/static/chunks/**")
 ENV_EXCLUDED = EXCLUDED[:5]
-SHIELD_GLOBS = tuple(
-    "**/.env **/.env.* !**/.env.example !**/.env.sample !**/.env.template **/secrets.* **/secret.* **/*.pem **/*.key **/*.p12 **/*.pfx **/credentials.json **/credentials.yml **/credentials.yaml "
-    "**/serviceAccountKey.json **/*_rsa **/*_dsa **/*_ecdsa **/*_ed25519 **/.netrc **/.npmrc **/.pypirc **/.git-credentials **/config/secrets* **/vault.* **/.mcp.json **/mcp.json **/.cursor/mcp.json "
-    "**/.vscode/mcp.json **/.windsurf/mcp_config.json **/claude_desktop_config.json".split()
-)
-IGNORE_FILES = tuple(".cursorignore .cursorindexingignore .codeiumignore .windsurfignore .aiexclude .antigravityignore .geminiignore .aiderignore .clineignore .rooignore .augmentignore .aiignore .llmignore".split())
-DENY_RULES = tuple(f"Read({x})" for x in ".env **/.env **/.env.* **/*.pem **/*.key **/*.p12 **/*.pfx **/id_rsa **/id_dsa **/id_ecdsa **/id_ed25519 **/credentials **/credentials.json **/serviceAccountKey.json **/.npmrc **/.pypirc **/.netrc **/.git-credentials **/.mcp.json **/mcp.json".split())
+SHIELD_GLOBS = (
+    "**/.env", "**/.env.*", "!**/.env.example", "!**/.env.sample", "!**/.env.template", "**/secrets.*",
+    "**/secret.*", "**/*.pem", "**/*.key", "**/*.p12", "**/*.pfx", "**/credentials.json",
+    "**/credentials.yml", "**/credentials.yaml", "**/serviceAccountKey.json", "**/*_rsa", "**/*_dsa", "**/*_ecdsa",
+    "**/*_ed25519", "**/.netrc", "**/.npmrc", "**/.pypirc", "**/.git-credentials", "**/config/secrets*",
+    "**/vault.*", "**/.mcp.json", "**/mcp.json", "**/.cursor/mcp.json", "**/.vscode/mcp.json", "**/.windsurf/mcp_config.json",
+    "**/claude_desktop_config.json",
+)
+IGNORE_FILES = (
+    ".cursorignore", ".cursorindexingignore", ".codeiumignore", ".windsurfignore", ".aiexclude", ".antigravityignore",
+    ".geminiignore", ".aiderignore", ".clineignore", ".rooignore", ".augmentignore", ".aiignore",
+    ".llmignore",
+)
+DENY_RULES = (
+    "Read(.env)", "Read(**/.env)", "Read(**/.env.*)", "Read(**/*.pem)", "Read(**/*.key)", "Read(**/*.p12)",
+    "Read(**/*.pfx)", "Read(**/id_rsa)", "Read(**/id_dsa)", "Read(**/id_ecdsa)", "Read(**/id_ed25519)", "Read(**/credentials)",
+    "Read(**/credentials.json)", "Read(**/serviceAccountKey.json)", "Read(**/.npmrc)", "Read(**/.pypirc)", "Read(**/.netrc)", "Read(**/.git-credentials)",
+    "Read(**/.mcp.json)", "Read(**/mcp.json)",
+)
 COVERAGE = (  # tool, file, blocks indexing, a terminal bypasses it
     ("Cursor", ".cursorignore", True, True),
     ("Windsurf", ".codeiumignore", True, True),
@@ -86,3 +106,11 @@ COVERAGE = (  # tool, file, blocks indexing, a terminal bypasses it
     ("GitHub Copilot", "none", False, True),
     ("Claude Code", ".claude/settings.json", True, False),
 )
+
+# Of tool-server configurations, the blocks that hold credentials, the keys whose
+# text a model sees, whole values that only refer to a variable, and file names.
+CREDENTIAL_BLOCKS = ("env", "headers", "requestInit", "auth")
+INDIRECT = r"\s*(?:\$\{[^}]{1,256}\}|\$[A-Za-z_][A-Za-z0-9_]{0,127}|%[A-Za-z_][A-Za-z0-9_]{0,127}%)\s*\Z"
+MODEL_FACING = r"(?:description|instructions?|prompt|summary|title)\Z"
+CONFIG_FILES = (".mcp.json", "mcp.json", "claude_desktop_config.json")
+CONFIG_BELOW = ("mcp_config.json", (".windsurf", ".codeium"))

@@ -43,16 +43,53 @@ def units(expression: str) -> str:
     return f"CAST(length(encode({expression}, 'UTF-16BE')) / 2 AS INT)"
 
 
-def matches(column: str, pattern: str) -> str:
-    """SQL: array of (raw, at) of all matches; ``at`` in UTF-16 units. Linear in the text; texts without a match skip it."""
+def literal(expression: str) -> str:
+    """SQL: a pattern that matches just this string."""
+    return f"concat('\\\\Q', replace({expression}, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E')"
+
+
+def holds(column: str, *groups: tuple[str, ...]) -> str:
+    """SQL: of each group some literal stands in the text. With literals that every match
+    of a pattern needs, a gate that costs far less than the pattern and loses nothing."""
+    return " AND ".join("(" + " OR ".join(f"contains({column}, {quoted(x)})" for x in group) + ")" for group in groups)
+
+
+_STEP = 32
+
+
+def running(name: str) -> str:
+    """SQL: the sums of all elements before each one of the array of integers in the lambda
+    variable ``name``, in blocks of blocks, so the work is about linear in the array."""
+    total = lambda x: f"aggregate({x}, 0, (s, v) -> s + v)"
+    block = lambda x, b: f"slice({x}, {b} * {_STEP} + 1, {_STEP})"
+    blocks = lambda x: f"if(size({x}) = 0, CAST(array() AS array<int>), transform(sequence(0, CAST(floor((size({x}) - 1) / {_STEP}) AS INT)), b -> {total(block(x, 'b'))}))"
+    inside = lambda x, starts: f"flatten(transform({starts}, (s0, b) -> transform(array({block(x, 'b')}), w -> transform(w, (v, i) -> s0 + {total('slice(w, 1, i)')}))[0]))"
+    top = f"transform(b2, (v, i) -> {total('slice(b2, 1, i)')})"
+    return f"transform(array({blocks(name)}), b1 -> transform(array({blocks('b1')}), b2 -> {inside(name, inside('b1', top))})[0])[0]"
+
+
+def matches(column: str, pattern: str, gate: str = "true") -> str:
+    """SQL: array of (raw, at) of all matches; ``at`` in UTF-16 units. Texts that the gate
+    shuts out, or that hold no match, skip the rest."""
     p = quoted(pattern)
-    return f"""CASE WHEN {column} RLIKE {p} THEN aggregate(
-      filter(zip_with(split({column}, {p}, -1), regexp_extract_all({column}, {p}, 0), (s, m) -> named_struct('s', {units('s')}, 'm', m)), x -> x.m IS NOT NULL),
-      named_struct('at', 0, 'out', CAST(array() AS array<struct<raw:string,at:int>>)),
-      (a, x) -> named_struct('at', a.at + x.s + {units('x.m')}, 'out', array_append(a.out, named_struct('raw', x.m, 'at', a.at + x.s))), a -> a.out)
+    found = f"""filter(zip_with(split({column}, {p}, -1), regexp_extract_all({column}, {p}, 0), (s, m) -> named_struct('s', {units('s')}, 'n', {units('m')}, 'm', m)), x -> x.m IS NOT NULL)"""
+    placed = f"transform(array(transform(f, x -> x.s + x.n)), steps -> zip_with(f, {running('steps')}, (x, before) -> named_struct('raw', x.m, 'at', before + x.s)))[0]"
+    return f"""CASE WHEN {gate} AND {column} RLIKE {p} THEN transform(array({found}), f -> {placed})[0]
       ELSE CAST(array() AS array<struct<raw:string,at:int>>) END"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small input that lies in few pieces, dealt over the cores: text scans are
+    bound by CPU. Larger inputs have pieces enough and stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_BYTES else df
+
+
+#: Below this much a core, an input is dealt out; about what one scan task gets otherwise.
+SMALL_BYTES = 64 << 20
+
+
 def entropy(token: str) -> str:
     """SQL: Shannon entropy of a token in bits a character."""
     chars = f"split({token}, '')"

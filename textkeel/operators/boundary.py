@@ -61,11 +61,13 @@ def boundary_copy(df: DataFrame, text_col: str = "text", config: CredentialConfi
 
 
 def diagnostic(severity: str) -> Column:
+    """Error, Warning or Information; of a null severity, Information."""
     s = F.col(severity)
     return F.when(s.isin("critical", "high"), "Error").when(s == "medium", "Warning").otherwise("Information")
 
 
 def strippable(kind: str) -> Column:
+    """Is it a type that stripping takes out; null of null."""
     return F.col(kind).isin(*STRIPPABLE_TYPES)
 
 
@@ -77,6 +79,7 @@ def smuggled_alerts(findings: DataFrame) -> DataFrame:
 
 
 def within_size(df: DataFrame, text_col: str, most: int) -> DataFrame:
+    """Rows whose text has at most so many UTF-16 units; null texts are left out."""
     return df.filter(F.expr(f"{units(f'`{text_col}`')} <= {most}"))
 
 

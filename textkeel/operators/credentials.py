@@ -1,8 +1,12 @@
 """Credential detection and deterministic redaction, as columns.
 
-Rules are public key formats; after them, tokens of high entropy. A value is
-replaced by ``{{SECRET_<32 hex of sha256(salt, value)>}}``, the same for the same
-value everywhere, longer values before shorter ones.
+Rules are public key formats, each behind literals that its matches need; after them,
+tokens of high entropy. A value is replaced by ``{{SECRET_<32 hex of sha256(salt,
+value)>}}``, the same for the same value everywhere, longer values before shorter
+ones; what is already a placeholder is never looked into again.
+
+A null text has no secrets and stays null; an empty one has none; repeated rows give
+equal results; columns named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import entropy, java, once, quoted
+from ..functions.text import entropy, holds, java, literal, once, quoted, running, units
 from .injection import compiling
 
 #: (type, pattern, group, ignore case). Shapes that vendors publish; our own list.
@@ -24,8 +28,8 @@ RULES = (
     ("AWS Access Key", r"\m(?:AKIA|ASIA)[A-Z0-9]{16}\M", 0, False),
     ("Slack Token", r"\mxox[abeoprs]-[A-Za-z0-9-]{10,200}", 0, False),
     ("Stripe Key", r"\m[rs]k_(?:live|test)_[A-Za-z0-9]{16,99}\M", 0, False),
-    ("OpenAI Key", r"\msk-(?:proj-)?[A-Za-z0-9_-]{32,200}", 0, False),
     ("OpenRouter Key", r"\msk-or-v1-[a-f0-9]{64}\M", 0, False),
+    ("OpenAI Key", r"\msk-(?:proj-)?[A-Za-z0-9_-]{32,200}", 0, False),
     ("Groq Key", r"\mgsk_[A-Za-z0-9]{40,64}\M", 0, False),
     ("Perplexity Key", r"\mpplx-[A-Za-z0-9]{40,64}\M", 0, False),
     ("xAI Key", r"\mxai-[A-Za-z0-9]{60,100}\M", 0, False),
@@ -46,6 +50,37 @@ RULES = (
     ("Password Assignment", r"\m(?:password|passwd|pwd)[\"']?[ \t]*[:=][ \t]*[\"']([^\"'\n]{6,128})[\"']", 1, True),
     ("Token Assignment", r"\m(?:api[_-]?key|auth[_-]?token|access[_-]?token|token)[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9+/_.=-]{16,256})", 1, True),
 )
+#: Of each type, literals of which every match holds one (of every group), in the text or, for rules that ignore case, in lower case.
+NEEDS = {
+    "Private Key": (("PRIVATE KEY-----",),),
+    "GitHub Personal Access Token": (("ghp_",),),
+    "GitHub Fine-Grained Token": (("github_pat_",),),
+    "GitHub App Token": (("gho_", "ghu_", "ghs_", "ghr_"),),
+    "AWS Access Key": (("AKIA", "ASIA"),),
+    "Slack Token": (("xox",),),
+    "Stripe Key": (("k_live_", "k_test_"),),
+    "OpenAI Key": (("sk-",),),
+    "OpenRouter Key": (("sk-or-v1-",),),
+    "Groq Key": (("gsk_",),),
+    "Perplexity Key": (("pplx-",),),
+    "xAI Key": (("xai-",),),
+    "LangSmith Key": (("lsv2_",),),
+    "Supabase Key": (("sb_publishable_", "sb_secret_"),),
+    "PlanetScale Token": (("pscale_tkn_",),),
+    "Resend Key": (("re_",),),
+    "Linear Key": (("lin_api_",),),
+    "Mailgun Key": (("key-",),),
+    "Google API Key": (("AIza",),),
+    "SendGrid Key": (("SG.",),),
+    "npm Token": (("npm_",),),
+    "Telegram Bot Token": ((":",),),
+    "JSON Web Token": ((".eyJ",),),
+    "Database URI": (("://",), ("@",)),
+    "URL Credential": (("://",), ("@",)),
+    "Authorization Header": (("bearer", "basic"),),
+    "Password Assignment": (("passw", "pwd"), ("=", ":")),
+    "Token Assignment": (("key", "token"), ("=", ":")),
+}
 ENTROPY_TYPE = "High Entropy Token"
 _TOKEN = r"[^\s\"'`=:,;()\[\]{}<>|]{%d,}"
 #: Tokens of these shapes are names or addresses, not keys.
@@ -80,10 +115,13 @@ _PAIR = "array<struct<value:string,type:string>>"
 def detect(df: DataFrame, text_col: str = "text", config: CredentialConfig = CredentialConfig()) -> DataFrame:
     """``df`` with ``secrets``: array of distinct (value, type), the first type of a value."""
     column = f"`{text_col}`"
-    rules = [(t, java(p, i), g) for t, p, g, i in RULES]
+    df = once(df, "__low", f"lower({column})")
+    parts = []
+    for t, p, g, i in RULES:
+        pattern, gate = quoted(java(p, i)), holds("__low" if i else column, *NEEDS[t])
+        parts.append(f"if({gate}, transform(regexp_extract_all({column}, {pattern}, {g}), v -> named_struct('value', v, 'type', {quoted(t)})), CAST(array() AS {_PAIR}))")
     good = set(compiling(df, tuple(p for _, p in config.custom)))
-    rules += [(t, p, 0) for t, p in config.custom if p in good]
-    parts = [f"if({column} RLIKE {quoted(p)}, transform(regexp_extract_all({column}, {quoted(p)}, {g}), v -> named_struct('value', v, 'type', {quoted(t)})), CAST(array() AS {_PAIR}))" for t, p, g in rules]
+    parts += [f"coalesce(transform(regexp_extract_all({column}, {quoted(p)}, 0), v -> named_struct('value', v, 'type', {quoted(t)})), CAST(array() AS {_PAIR}))" for t, p in config.custom if p in good]
     df = once(df, "__named", f"concat({', '.join(parts)})")
     if config.entropy:
         token = quoted(java(_TOKEN % config.minimum_length, False))
@@ -99,16 +137,21 @@ def detect(df: DataFrame, text_col: str = "text", config: CredentialConfig = Cre
     kept = f"filter(concat(__named, __loose), x -> NOT ({' OR '.join(skip)}))"
     df = once(df, "__kept", f"coalesce({kept}, CAST(array() AS {_PAIR}))")
     first = "filter(__kept, (x, i) -> i = array_position(transform(__kept, y -> y.value), x.value) - 1)"
-    return once(df, "secrets", first).drop("__named", "__loose", "__kept")
+    return once(df, "secrets", first).drop("__low", "__named", "__loose", "__kept")
 
 
 def redact(df: DataFrame, text_col: str = "text", config: CredentialConfig = CredentialConfig()) -> DataFrame:
     """``df`` with redacted_text, vault (placeholder -> value), n_secrets, detected_types."""
     found = detect(df, text_col, config)
     longest = "array_sort(transform(secrets, s -> struct(-length(s.value) AS n, s.value AS value)))"
+    # pieces of the text, either still open (done is false) or placeholders; a value is looked for in open pieces only
+    cut = f"transform(split(g.t, {literal('s.value')}, -1), x -> named_struct('t', x, 'done', false))"
+    mark = f"named_struct('t', {placeholder('s.value', config.salt)}, 'done', true)"
+    step = f"flatten(transform(a, g -> if(g.done OR NOT contains(g.t, s.value), array(g), slice(flatten(transform({cut}, x -> array({mark}, x))), 2, 1073741824))))"
+    pieces = f"aggregate({longest}, array(named_struct('t', `{text_col}`, 'done', false)), (a, s) -> {step})"
     return found.withColumns(
         {
-            "redacted_text": F.expr(f"aggregate({longest}, `{text_col}`, (t, s) -> replace(t, s.value, {placeholder('s.value', config.salt)}))"),
+            "redacted_text": F.expr(f"if(size(secrets) = 0, `{text_col}`, array_join(transform({pieces}, g -> g.t), ''))"),
             "vault": F.expr(f"map_from_entries(transform(secrets, s -> struct({placeholder('s.value', config.salt)}, s.value)))"),
             "n_secrets": F.expr("size(secrets)"),
             "detected_types": F.expr("array_distinct(transform(secrets, s -> s.type))"),
@@ -117,9 +160,24 @@ def redact(df: DataFrame, text_col: str = "text", config: CredentialConfig = Cre
 
 
 def locate(df: DataFrame, text_col: str, value_col: str) -> DataFrame:
-    """A row per non-overlapping instance of a value: line and column, from 0."""
-    parts = f"split(`{text_col}`, concat('\\\\Q', `{value_col}`, '\\\\E'), -1)"
-    at = f"transform(slice({parts}, 1, size({parts}) - 1), (x, i) -> concat_ws(`{value_col}`, slice({parts}, 1, i + 1)))"
-    out = df.filter(F.length(value_col) > 0).withColumn("__before", F.explode(F.expr(at)))
-    line = F.expr("length(__before) - length(replace(__before, '\\n', ''))")
-    return out.withColumns({"line": line, "column": F.expr("length(substring_index(__before, '\\n', -1))")}).drop("__before")
+    """A row per non-overlapping instance of a value: line, and column in UTF-16 units, from 0.
+
+    A null or empty text or value has none. Work is in proportion to text and instances:
+    of the pieces between instances, line breaks and lengths are summed up as one goes."""
+    value = f"`{value_col}`"
+    df = df.filter(F.expr(f"length({value}) > 0 AND contains(`{text_col}`, {value})"))
+    df = df.withColumn("__parts", F.expr(f"split(`{text_col}`, {literal(value)}, -1)"))
+    # of each piece with the instance after it: line breaks, and units after its last line break
+    joined = f"transform(slice(__parts, 1, size(__parts) - 1), x -> named_struct('x', x, 'y', concat(x, {value})))"
+    lines = lambda e: f"length({e}) - length(replace({e}, '\\n', ''))"
+    tail = lambda e: units(f"substring_index({e}, '\n', -1)")
+    measured = f"transform({joined}, p -> named_struct('lines', CAST({lines('p.x')} AS INT), 'all', CAST({lines('p.y')} AS INT), 'tail', {tail('p.x')}, 'rest', {tail('p.y')}))"
+    out = df.withColumn("__m", F.expr(measured)).drop("__parts")
+    out = out.withColumn("__line", F.expr(f"transform(array(transform(__m, p -> p.all)), steps -> {running('steps')})[0]"))
+    out = out.withColumn("__open", F.expr(f"transform(array(transform(__m, p -> if(p.all = 0, p.rest, 0))), steps -> {running('steps')})[0]"))
+    # where the line began in an earlier piece: units since, from that piece's rest and the ones without a break
+    out = out.withColumn("__last", F.expr("transform(__m, (p, i) -> if(p.all > 0, i, -1))")).select("*", F.posexplode("__m").alias("__i", "__p"))
+    began = "array_max(slice(__last, 1, __i))"
+    since = f"__open[__i] - if({began} >= 0, __open[{began}], 0) + if({began} >= 0, __m[{began}].rest, 0)"
+    column = f"CAST(__p.tail + if(__p.lines > 0 OR __i = 0, 0, {since}) AS INT)"
+    return out.withColumns({"line": F.expr("CAST(__line[__i] + __p.lines AS INT)"), "column": F.expr(column)}).drop("__m", "__line", "__open", "__last", "__i", "__p")

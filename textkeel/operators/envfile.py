@@ -41,13 +41,20 @@ def mask_env(column: str, mask: str = MASK) -> Column:
     )
 
 
-def mask_env_files(files: DataFrame, redact=None) -> DataFrame:
-    """(path, content) files in path order as one text with a header each; a null
-    content is an error line. ``redact``, a function of a DataFrame and column, is
-    run over each masked file as a last check."""
-    body = F.when(F.col("content").isNull(), F.lit("# could not be read\n")).otherwise(mask_env("content"))
+UNREAD, UNVERIFIED = "# could not be read\n", "# {mask} (could not be verified as safe to share)\n"
+
+
+def mask_env_files(files: DataFrame, redact=None, mask: str = MASK) -> DataFrame:
+    """(path, content) files as one text a folder, in path order with a header each.
+
+    A null content is an error line. ``redact``, a function of a DataFrame and column, is run
+    over each masked file as a last check; a file it has no answer for is withheld. A folder's
+    environment files are few, which bounds a text; repeated rows are repeated; no files, no rows."""
+    body = F.when(F.col("content").isNull(), F.lit(UNREAD)).otherwise(mask_env("content", mask))
     masked = files.select("path", body.alias("masked"))
     if redact is not None:
-        masked = redact(masked, "masked").withColumn("masked", F.regexp_replace("redacted_text", r"\{\{SECRET_[a-z0-9]+\}\}", MASK)).select("path", "masked")
+        checked = F.regexp_replace("redacted_text", r"\{\{SECRET_[a-z0-9]+\}\}", mask)
+        masked = redact(masked, "masked").select("path", F.coalesce(checked, F.lit(UNVERIFIED.format(mask=mask))).alias("masked"))
+    folder = F.regexp_replace("path", "[^/]*$", "")
     parts = F.array_sort(F.collect_list(F.struct("path", F.concat(F.lit("# --- "), "path", F.lit(" ---\n"), "masked").alias("t"))))
-    return masked.agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("masked"))
+    return masked.groupBy(folder.alias("folder")).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n").alias("masked"))

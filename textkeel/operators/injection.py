@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import BIDI, CYRILLIC_LIKE, EMOJI, GREEK_LIKE, INVISIBLE, JOINER_SCRIPT, MARK, PHRASES, SEVERITIES, TAG, VARIATION, WORD_LETTERS
-from ..functions.text import case_label, java, matches, once, quoted, units
+from ..functions.text import case_label, holds, java, matches, once, quoted, units
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,28 @@ _TYPES = {
     "invisible": ("Invisible Character Sequence", "medium", "invisible characters"),
 }
 STRIPPED = "|".join(HIDDEN[k] for k in ("tag", "bidi", "variation", "invisible"))
+#: Of each phrase rule, in order: of every group, a literal that every match holds, in lower case.
+NEEDS = (
+    (("<|",), ("|>",)),
+    (("[inst", "[/inst", "[sys", "[/sys", "system>", "human>", "assistant>"),),
+    (("ignore", "disregard", "forget", "override", "bypass"), ("instruction", "prompt", "rule", "direction", "command", "guideline", "constraint", "context")),
+    (("forget",), ("everything", "all")),
+    (("new", "updated", "revised", "real", "actual", "true"), ("instruction", "prompt", "rule", "directive"), (":", "-", "\u2014")),
+    (("not", "don't", "never"), ("tell", "inform", "mention", "reveal", "alert", "notify", "warn", "show"), ("user", "human", "developer", "operator", "owner")),
+    (("without",), ("user", "human", "developer", "operator")),
+    (("silently", "quietly", "secretly", "covertly", "discreetly"),),
+    (("send", "post", "upload", "transmit", "exfiltrate", "leak", "forward", "email", "publish", "share"), ("env", "credential", "secret", "key", "token", "password")),
+    (("$(",), ("curl", "wget", "fetch", "invoke-webrequest", "iwr")),
+    (("base64",), ("|",)),
+    (("curl", "wget"), ("|",), ("sh",)),
+    (("system", "initial", "instruction", "prompt", "guidelines", "configuration"), ("your", "the", "all"), ("reveal", "repeat", "print", "output", "echo", "show", "display", "disclose", "summar")),
+    (("important", "attention", "urgent", "warning", "notice"), ("for", "to")),
+    (("note", "message", "instruction", "directive"), ("ai", "assistant", "llm", "agent", "model", "claude", "copilot", "cursor")),
+    (("ai", "llm", "assistant", "agent", "claude", "copilot", "cursor", "chatgpt", "gemini", "codex"), (",", ":"), ("ignore", "disregard", "stop", "instead", "note", "you", "not", "always")),
+    (("you", "act"), ("are", "now", "as")),
+    (("mode", "disable", "turn", "suspend", "ignore"), ("enable", "activate", "on", "safety", "security", "content")),
+    (("package", "dependency", "module", "library"), ("`", "'", '"'), ("to", "before")),
+)
 _FINDING = "struct<type:string,severity:string,index:int,length:int,raw:string,detail:string,decoded:string>"
 _NONE = f"CAST(array() AS array<{_FINDING}>)"
 
@@ -77,8 +99,9 @@ def hidden_findings(column: str) -> str:
     return f"CASE WHEN {column} RLIKE {quoted(chr(91) + '^' + chr(92) + 'x00-' + chr(92) + 'x7F]')} THEN {ordered} ELSE {_NONE} END"
 
 
-def phrase_findings(column: str) -> str:
-    return "concat(" + ", ".join(_finding(matches(column, java(p, i)), kind, f"'{severity}'", quoted(f"phrase rule {n + 1}: {kind.lower()}")) for n, (kind, severity, p, i) in enumerate(PHRASES)) + ")"
+def phrase_findings(column: str, lowered: str) -> str:
+    """``lowered``: the text in lower case, in which each rule's literals are looked for first."""
+    return "concat(" + ", ".join(_finding(matches(column, java(p, i), holds(lowered, *NEEDS[n])), kind, f"'{severity}'", quoted(f"phrase rule {n + 1}: {kind.lower()}")) for n, (kind, severity, p, i) in enumerate(PHRASES)) + ")"
 
 
 def homoglyph_findings(column: str) -> str:
@@ -113,7 +136,9 @@ def scan_injection(df: DataFrame, text_col: str = "text", config: ScanConfig = S
     A null text has no findings and a null cleaned_text; findings are ordered by
     severity, then index. Whitelist patterns that do not compile are skipped.
     """
-    parts = [f(f"`{text_col}`") for on, f in ((config.unicode, hidden_findings), (config.instruction, phrase_findings), (config.homoglyph, homoglyph_findings)) if on]
+    df = once(df, "__low", f"lower(`{text_col}`)")
+    families = ((config.unicode, hidden_findings), (config.instruction, lambda c: phrase_findings(c, "__low")), (config.homoglyph, homoglyph_findings))
+    parts = [f(f"`{text_col}`") for on, f in families if on]
     found = f"concat({', '.join([_NONE, *parts])})"
     allowed = compiling(df, config.whitelist)
     df = once(df, "__all", f"coalesce({found}, {_NONE})")
@@ -121,7 +146,7 @@ def scan_injection(df: DataFrame, text_col: str = "text", config: ScanConfig = S
         df = df.withColumn("__all", F.expr(f"filter(__all, f -> NOT f.raw RLIKE {quoted(pattern)})"))
     order = f"array_sort(transform(__kept, (f, i) -> struct(-{rank('f.severity')} AS r, f.index AS at, i AS i, f AS f)))"
     df = once(df, "__kept", _capped(config.max_findings)).withColumn("truncated", F.expr(f"size(__all) > {max(config.max_findings, 0)}"))
-    df = once(df, "findings", f"transform({order}, x -> x.f)").drop("__all", "__kept")
+    df = once(df, "findings", f"transform({order}, x -> x.f)").drop("__low", "__all", "__kept")
     top = f"array_max(transform(findings, f -> {rank('f.severity')}))"
     df = df.withColumn("highest_severity", F.expr(case_label(top, SEVERITIES)))
     return strip_hidden(df, text_col)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import COVERAGE, DENY_RULES, IGNORE_FILES, SHIELD_GLOBS
 from ..functions.text import quoted
+from ..shipping import ship
 
 BEGIN, END = "# >>> shield >>>", "# <<< shield <<<"
 
@@ -38,6 +40,7 @@ def exposed(files: DataFrame, path: str = "path", globs: tuple[str, ...] = SHIEL
 
 
 def tables(spark: SparkSession) -> dict[str, DataFrame]:
+    """The lists as tables of fixed size: patterns, ignore_files, deny_rules, coverage."""
     one = lambda rows, name: spark.createDataFrame([(i, x) for i, x in enumerate(rows)], f"ord int, {name} string")
     return {
         "patterns": one(SHIELD_GLOBS, "pattern"),
@@ -59,17 +62,43 @@ def with_block(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def without_block(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """All blocks taken out; a null text stays null."""
     return df.withColumn(text_col, F.regexp_replace(text_col, _BLOCK_RE, ""))
 
 
+def _merge(text: str | None, remove: bool) -> tuple[str | None, list[str] | None, bool]:
+    """(whole document, deny list, changed) of one settings file; see ``merge_deny``."""
+    try:
+        doc = json.loads(text) if text and text.strip() else {}
+    except ValueError:
+        return text, None, False
+    if not isinstance(doc, dict) or text is None and remove:
+        return text, None, False
+    permissions = doc["permissions"] if isinstance(doc.get("permissions"), dict) else {}
+    now = permissions["deny"] if isinstance(permissions.get("deny"), list) else []
+    now = [r for r in now if isinstance(r, str)]
+    after = [r for r in now if r not in DENY_RULES] + ([] if remove else list(DENY_RULES))
+    if now == after:
+        return text, now, False
+    doc["permissions"] = permissions | {"deny": after}
+    return json.dumps(doc, indent=2, ensure_ascii=False) + "\n", after, True
+
+
 def merge_deny(settings: DataFrame, column: str = "settings", remove: bool = False) -> DataFrame:
-    """``deny`` after adding (or taking out) our rules, theirs in their order;
-    ``changed``; both null where the JSON does not parse."""
-    ours = F.array(*[F.lit(x) for x in DENY_RULES])
-    ok = F.expr(f"try_parse_json(`{column}`) IS NOT NULL")
-    theirs = F.expr(f"coalesce(CAST(try_variant_get(try_parse_json(`{column}`), '$.permissions.deny', 'array<string>') AS array<string>), CAST(array() AS array<string>))")
-    merged = F.array_except(theirs, ours) if remove else F.concat(theirs, F.array_except(ours, theirs))
-    return settings.withColumns({"deny": F.when(ok, merged), "changed": F.when(ok, merged != theirs)})
+    """``settings`` with ``merged`` (the whole document after adding or taking out our rules;
+    all else in it stays, theirs keep their order and repeats), ``deny`` and ``changed``.
+
+    A document that does not parse, or is no object, stays as it is, with a null ``deny``;
+    an empty or null one counts as without settings (nothing is taken out of a null one).
+    Of repeated keys the last counts. Files are few and small, so they are parsed in Python."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_merge(t, remove) for t in texts], columns=["merged", "deny", "changed"])
+
+    ship(settings.sparkSession)
+    merge = F.pandas_udf(run, "merged string, deny array<string>, changed boolean")
+    out = settings.withColumn("__m", merge(F.col(column)))
+    return out.withColumns({"merged": F.col("__m.merged"), "deny": F.col("__m.deny"), "changed": F.col("__m.changed")}).drop("__m")
 
 
 def deny_json() -> str:

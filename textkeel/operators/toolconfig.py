@@ -15,15 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import host_of, loopback
+from ..functions.fixed import CONFIG_BELOW, CONFIG_FILES, CREDENTIAL_BLOCKS, INDIRECT, MODEL_FACING
+from ..functions.text import host_of, loopback, quoted
 from ..shipping import ship
 from .credentials import CredentialConfig, detect
 from .injection import ScanConfig, scan_injection
 
-BLOCKS = ("env", "headers", "requestInit", "auth")
 MAX_SITES, MAX_DEPTH = 500, 32
-_INDIRECT = re.compile(r"\s*(?:\$\{[^}]{1,256}\}|\$[A-Za-z_][A-Za-z0-9_]{0,127}|%[A-Za-z_][A-Za-z0-9_]{0,127}%)\s*\Z", re.ASCII)
-_FACING = re.compile(r"(?:description|instructions?|prompt|summary|title)\Z", re.IGNORECASE | re.ASCII)
+_INDIRECT, _FACING = re.compile(INDIRECT, re.ASCII), re.compile(MODEL_FACING, re.IGNORECASE | re.ASCII)
 _SITES = "path string, ord int, kind string, server string, key string, text string, n_servers int"
 
 
@@ -31,7 +30,9 @@ def is_config_path(column: str) -> Column:
     """Known file names; ``mcp_config.json`` only below two known folders; a trailing separator is a folder."""
     parts = f"filter(split(replace({column}, '\\\\', '/'), '/', -1), x -> x <> '')"
     base, parent = f"coalesce(try_element_at({parts}, -1), '')", f"coalesce(try_element_at({parts}, -2), '')"
-    named = f"{base} IN ('.mcp.json', 'mcp.json', 'claude_desktop_config.json') OR {base} = 'mcp_config.json' AND {parent} IN ('.windsurf', '.codeium')"
+    below, folders = CONFIG_BELOW
+    listed = lambda names: ", ".join(map(quoted, names))
+    named = f"{base} IN ({listed(CONFIG_FILES)}) OR {base} = {quoted(below)} AND {parent} IN ({listed(folders)})"
     return F.expr(f"coalesce({column} <> '' AND NOT {column} RLIKE '[\\\\\\\\/]\\\\s*\\\\z' AND size({parts}) > 0 AND ({named}), false)")
 
 
@@ -91,7 +92,7 @@ def audit_sites(text: str | None, max_sites: int = MAX_SITES, max_depth: int = M
             continue
         mark = len(out)
         try:
-            for part in BLOCKS:
+            for part in CREDENTIAL_BLOCKS:
                 if isinstance(server.get(part), dict):
                     values = ((k, _text(v)) for k, v in server[part].items())
                     out += [("credential", name, f"{part}.{k}", v) for k, v in values if v is not None and not _INDIRECT.match(v)]
@@ -104,7 +105,7 @@ def audit_sites(text: str | None, max_sites: int = MAX_SITES, max_depth: int = M
             if url:
                 out.append(("transport", name, "url", url))
             out += [("description", name, key, value) for key, value in walk.sites(server)]
-        except RecursionError:
+        except Exception:  # noqa: BLE001  one server's trouble is told and leaves the others alone
             del out[mark:]
             out.append(("not_audited", name, None, None))
     if walk.truncated:
@@ -129,9 +130,11 @@ def sites(configs: DataFrame, max_sites: int = MAX_SITES, max_depth: int = MAX_D
     return configs.select("path", "content").mapInArrow(run, _SITES)
 
 
-def audit(configs: DataFrame, guard: ScanConfig = ScanConfig(), scanner: CredentialConfig = CredentialConfig(), max_sites: int = MAX_SITES, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """A row per finding: path, ord, type, severity, server, key, detail. Values of credentials never pass."""
-    found = scan_injection(detect(sites(configs, max_sites, max_depth), "text", scanner), "text", guard)
+def _judged(configs: DataFrame, guard: ScanConfig = ScanConfig(), scanner: CredentialConfig = CredentialConfig(), max_sites: int = MAX_SITES, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """A row per site with ``what``, its findings. Each detector sees only the kinds of sites it judges."""
+    kind, nothing = F.col("kind"), F.lit(None).cast("string")
+    found = sites(configs, max_sites, max_depth).withColumns({"__secret": F.when(kind.isin("credential", "arguments"), F.col("text")).otherwise(nothing), "__shown": F.when(kind == "description", F.col("text")).otherwise(nothing)})
+    found = scan_injection(detect(found, "__secret", scanner), "__shown", guard)
     types = "array_join(array_distinct(transform(secrets, s -> s.type)), ' / ')"
     url = "regexp_replace(text, '^\\\\s+|\\\\s+\\\\z', '')"
     authority = f"regexp_extract({url}, '(?i)^[a-z][a-z0-9+.-]*://([^/?#]+)', 1)"
@@ -166,11 +169,20 @@ def audit(configs: DataFrame, guard: ScanConfig = ScanConfig(), scanner: Credent
         .when(kind == "description", poison)
         .otherwise(none)
     )
-    return found.select("path", "ord", "server", "key", "n_servers", F.explode(what).alias("f")).select("path", "ord", "f.type", "f.severity", "server", "key", "f.detail", "n_servers")
+    return found.select("path", "ord", "kind", "server", "key", "n_servers", what.alias("what"))
+
+
+def audit(configs: DataFrame, **options) -> DataFrame:
+    """A row per finding of (path, content): path, ord, type, severity, server, key, detail.
+    Values of credentials never pass. A null or empty content is unparseable; repeated
+    rows give repeated findings."""
+    judged = _judged(configs, **options)
+    return judged.select("path", "ord", "server", "key", "n_servers", F.explode("what").alias("f")).select("path", "ord", "f.type", "f.severity", "server", "key", "f.detail", "n_servers")
 
 
 def audit_files(configs: DataFrame, **options) -> DataFrame:
     """A row per file: findings in order, server_count, parsed, truncated."""
-    found = audit(configs, **options).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "type", "severity", "server", "key", "detail"))).alias("findings"))
-    head = sites(configs).groupBy("path").agg(F.max("n_servers").alias("n"), F.bool_or(F.col("kind") == "truncated").alias("truncated"))
-    return head.join(found, "path", "left").select("path", "findings", F.greatest("n", F.lit(0)).alias("server_count"), (F.col("n") >= 0).alias("parsed"), "truncated")
+    judged = _judged(configs, **options)
+    one = F.expr("transform(what, (f, i) -> struct(ord, i, f.type AS type, f.severity AS severity, server, key, f.detail AS detail))")
+    out = judged.groupBy("path").agg(F.array_sort(F.flatten(F.collect_list(one))).alias("findings"), F.max("n_servers").alias("n"), F.bool_or(F.col("kind") == "truncated").alias("truncated"))
+    return out.select("path", F.expr("transform(findings, f -> struct(f.ord, f.type, f.severity, f.server, f.key, f.detail))").alias("findings"), F.greatest("n", F.lit(0)).alias("server_count"), (F.col("n") >= 0).alias("parsed"), "truncated")

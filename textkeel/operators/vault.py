@@ -1,10 +1,15 @@
-"""Placeholders and the values they stand for."""
+"""Placeholders and the values they stand for.
+
+A vault is a table (placeholder, value). Null texts hold no placeholders and are
+restored as null; repeated rows give equal results; an empty vault restores nothing.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import holds, matches, quoted
 from .credentials import PLACEHOLDER
 
 
@@ -19,14 +24,17 @@ def upsert(vault: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def rollback(vault: DataFrame, failed: DataFrame) -> DataFrame:
+    """``vault`` without the entries of ``failed``; those it lacks do not matter."""
     return vault.join(failed.select("placeholder"), "placeholder", "left_anti")
 
 
 def cleared(spark: SparkSession) -> DataFrame:
+    """A vault without entries."""
     return spark.createDataFrame([], "placeholder string, value string")
 
 
 def placeholders(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with placeholders: the distinct ones of the text; null of a null text."""
     return df.withColumn("placeholders", F.expr(f"array_distinct(regexp_extract_all(`{text_col}`, '{PLACEHOLDER.replace(chr(92), chr(92) * 2)}', 0))"))
 
 
@@ -37,14 +45,25 @@ def restore(df: DataFrame, vault: DataFrame, key: str, text_col: str) -> DataFra
     wanted = found.select(key, F.explode("placeholders").alias("placeholder"))
     known = wanted.join(vault, "placeholder").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("placeholder", "value"))).alias("__known"))
     out = found.join(known, key, "left").withColumn("__known", F.expr("coalesce(__known, CAST(array() AS array<struct<placeholder:string,value:string>>))"))
-    count = f"aggregate(__known, 0, (n, x) -> n + CAST((length(`{text_col}`) - length(replace(`{text_col}`, x.placeholder, ''))) / length(x.placeholder) AS INT))"
-    return out.withColumns(
-        {
-            "restored_text": F.expr(f"aggregate(__known, `{text_col}`, (t, x) -> replace(t, x.placeholder, x.value))"),
-            "n_restored": F.expr(count),
-            "n_missing": F.expr("size(placeholders) - size(__known)"),
-        }
-    ).drop("__known", "placeholders")
+    pattern = quoted(PLACEHOLDER)
+    # one pass: what is put in is never looked into again
+    filled = f"array_join(zip_with(split(`{text_col}`, {pattern}, -1), regexp_extract_all(`{text_col}`, {pattern}, 0), (t, p) -> concat(t, if(p IS NULL, '', coalesce(__values[p], p)))), '')"
+    return (
+        out.withColumn("__values", F.map_from_entries("__known"))
+        .withColumns(
+            {
+                "restored_text": F.expr(f"if(size(__known) = 0, `{text_col}`, {filled})"),
+                "n_restored": F.expr(f"if(size(__known) = 0, 0, size(filter(regexp_extract_all(`{text_col}`, {pattern}, 0), p -> map_contains_key(__values, p))))"),
+                "n_missing": F.expr("size(placeholders) - size(__known)"),
+            }
+        )
+        .drop("__known", "__values", "placeholders")
+    )
+
+
+def placeholder_ranges(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with ranges: array of (raw, at) of every placeholder, ``at`` in UTF-16 units; none of a null text."""
+    return df.withColumn("ranges", F.expr(matches(f"`{text_col}`", PLACEHOLDER, holds(f"`{text_col}`", ("{{SECRET_",)))))
 
 
 def redact_one(df: DataFrame, text_col: str, value_col: str, offset_col: str, replacement_col: str) -> DataFrame:

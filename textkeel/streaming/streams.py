@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.credentials import redact
 from ..operators.injection import scan_injection
@@ -15,15 +20,37 @@ def json_events(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.format("text").load(folder).select(F.from_json("value", schema).alias("e")).select("e.*")
 
 
-def changed_only(events: DataFrame, key: str, value: str, ts: str, delay: str = "1 minute") -> DataFrame:
-    """Polled values, each distinct one once within the watermark."""
-    return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key, value])
+_LAST = "last string"
+
+
+def _changes(key_col: str, value_col: str, ts_col: str):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(batches).sort_values([ts_col, value_col], kind="stable")
+        rows = rows[rows[value_col].notna() & (rows[value_col] != "")]
+        new = rows[rows[value_col] != rows[value_col].shift(fill_value=last)]
+        if len(rows):
+            state.update((rows[value_col].iloc[-1],))
+        yield new
+
+    return run
+
+
+def changed_only(events: DataFrame, key: str, value: str, ts: str) -> DataFrame:
+    """Polled values of each key that are not the value polled before: A, B, A are three changes.
+    Null and empty values are no poll. State is one value a key; rows of a micro-batch are taken in
+    order of time. On a static table the same as a window."""
+    rows = events.select(key, value, ts)
+    if not events.isStreaming:
+        before = F.lag(value).over(W.partitionBy(key).orderBy(ts, value))
+        return rows.filter(F.col(value) != "").filter(F.col(value).isNotNull()).withColumn("__b", before).filter("__b IS NULL OR __b <> " + f"`{value}`").drop("__b")
+    return rows.groupBy(key).applyInPandasWithState(_changes(key, value, ts), rows.schema, _LAST, "append", GroupStateTimeout.NoTimeout)
 
 
 def debounced(events: DataFrame, key: str, ts: str, value: str, gap: str = "500 milliseconds", delay: str = "1 minute") -> DataFrame:
-    """The last value of each burst of changes of a key."""
+    """The last value of each burst of changes of a key (of equal times, the greatest)."""
     bursts = events.withWatermark(ts, delay).groupBy(key, F.session_window(ts, gap))
-    return bursts.agg(F.max_by(value, ts).alias(value), F.count("*").alias("n_changes")).select(key, F.col("session_window.end").alias("ended"), value, "n_changes")
+    return bursts.agg(F.max(F.struct(ts, value)).alias("__last"), F.count("*").alias("n_changes")).select(key, F.col("session_window.end").alias("ended"), F.col(f"__last.{value}").alias(value), "n_changes")
 
 
 def once_per_session(events: DataFrame) -> DataFrame:
