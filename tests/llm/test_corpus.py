@@ -7,12 +7,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
 from textkeel.llm import decontam, jaccard, license_rules, licenses, mixing, perplexity, quality, secrets, sharding, suffixes, warc
+from textkeel.llm.bytetext import U
 from textkeel.llm.scratch import Scratch
-from textkeel.llm.shards import Shards
+from textkeel.llm.shards import Shards, squeeze
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,6 +110,62 @@ def test_suffix_dedup(docs):
     assert suffixes.cut_repeats(empty(docs)).count() == 0
 
 
+def test_shards_are_told_apart_by_suffix_arrays(monkeypatch):
+    """Of a chunk's regions the repeated windows; none where the common prefixes are wrong."""
+    rng = np.random.default_rng(2)
+    shared = rng.integers(97, 123, 150).astype(np.uint8)
+    parts = [np.concatenate([rng.integers(97, 123, 30).astype(np.uint8), shared]), np.concatenate([shared, rng.integers(97, 123, 40).astype(np.uint8)]), shared]
+    data, cuts = np.concatenate(parts), np.concatenate([[0], np.cumsum([p.size for p in parts])])
+    raw, seen, want = data.tobytes(), set(), []
+    for i in range(3):
+        for k in range(cuts[i], cuts[i + 1] - 99):
+            want.append((k, raw[k : k + 100] not in seen))
+            seen.add(raw[k : k + 100])
+
+    def firsts():
+        spans = suffixes._Spans()
+        first, _, _ = suffixes._repeats_in_chunk(data, cuts, np.arange(3), np.zeros(3, int), spans)
+        return [(k, bool(first[k])) for k, _ in want]
+
+    assert firsts() == want and not all(x for _, x in want)
+    monkeypatch.setattr(suffixes, "common_prefixes", lambda data, cuts, sa: np.zeros(sa.size, int))
+    assert firsts() != want
+
+
+def test_merge_of_shards_by_brute_force():
+    """Segments of several shards, zero bytes, and anchors that stand more than once."""
+    rng = np.random.default_rng(6)
+    texts = []
+    base = bytes(rng.integers(0, 3, 400).astype(np.uint8))
+    for i in range(12):
+        cut = int(rng.integers(0, 200))
+        texts.append((i // 4, i, base[cut : cut + 260] if i % 3 else bytes(rng.integers(0, 2, 300).astype(np.uint8)) + base[:130]))
+    work, out = suffixes._work(1, U(24)), []
+    for shard in range(3):
+        own = [(i, t) for s, i, t in texts if s == shard]
+        rows = pa.table({"doc_id": pa.array([i for i, _ in own], pa.int64()), "text": pa.array([t for _, t in own], pa.binary())})
+        keys, _ = suffixes._keys(rows, U(24))
+        told = pa.table({"shard": [shard], "part": pa.array([0], pa.int32()), "told": pa.array([squeeze(np.full(keys.size, 2, np.uint32))], pa.binary())})
+        out.append(work(rows, told, shard))
+    every = pa.concat_tables(out)
+    merged = suffixes._merge(every.filter(pa.compute.greater_equal(every.column("part"), 0)))
+    gone = defaultdict(set)
+    ids = {s: sorted(i for t, i, _ in texts if t == s) for s in range(3)}
+    for table in (every.filter(pa.compute.less(every.column("part"), 0)), merged):
+        for shard, blob in zip(table.column("shard").to_pylist(), table.column("head").to_pylist()):
+            for row, a, z in np.frombuffer(blob, "<i8").reshape(-1, 3).tolist():
+                gone[ids[shard][row]] |= set(range(a, z))
+    seen = set()
+    for _, i, t in texts:
+        want = set()
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                want |= set(range(k, k + 100))
+            seen.add(t[k : k + 100])
+        assert gone[i] == want, i
+    assert any(gone.values())
+
+
 def test_decontamination(spark, docs):
     items = [(1, corpus()[45][1][:90]), (2, corpus()[90][1][200:300]), (3, "One two three"), (4, None), (5, " . "), (6, corpus()[45][1][:90]), (6, "three four")]
     frame = spark.createDataFrame(items, "item_id long, text string")

@@ -3,22 +3,26 @@
 Every byte covered by a 100-byte string that also starts earlier (smaller doc_id,
 or the same document, earlier) goes. Exact, in these steps:
 
-1. Anchors. Of the 64 37-byte substrings of a 100-byte window the one with the
-   least hash is its anchor; equal windows have equal anchors. Anchors are counted
-   over the corpus, and only windows whose anchor occurs more than once go on.
+1. Anchors. Of the 64 37-byte substrings of a 100-byte window the first one with the
+   least hash is its anchor; equal windows have equal anchors at equal places. Anchors
+   are counted over the corpus, and only windows whose anchor occurs more than once go on.
 2. Shards. The regions such windows cover (equal regions once) are sorted by a
    suffix array, refined by prefix doubling in the manner of Larsson and Sadakane
    (only unsorted groups are sorted again), in numpy; Kasai's common prefixes
    (in the permuted form: computed where irreducible, carried on elsewhere) tell
-   which windows are equal; all but the first of a shard are repeats.
-3. Merge. First windows travel as short segments to the range of their anchor,
-   where each shard's windows are found by binary search in the sorted distinct
-   windows of all shards; all but the earliest are repeats.
+   which windows are equal; all but the first are repeats.
+3. Merge. First windows travel as short segments, one an anchor, to the range of their
+   anchor. There the suffixes that begin at anchors, of all shards, are kept in sorted
+   order with the common prefixes of neighbours, and so is what stands before the
+   anchors, read backwards; each segment is found in both by binary search. A window is
+   a piece before and a piece from the anchor on; it is the same as another where
+   common prefixes are at least as long as both pieces. Of windows that are the same,
+   those of other shards' than the earliest are repeats (one shard's are told apart in step 2).
 4. The spans return to their shard, where documents are cut.
 
 A shard's regions are worked through in chunks of bounded bytes, so memory does
-not follow the amount of repetition. Windows are compared in step 3 by two
-64-bit hashes.
+not follow the amount of repetition. Hashes only choose anchors and ranges; whether
+strings are equal is decided by their bytes.
 
 Defined results: a null text is empty; null ids come after all others; repeated
 rows (equal id and text) are cut like any copies, the first of them kept;
@@ -35,13 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytetext import Prefix, U, mix, pieces
-from .scratch import Scratch, prepare_python
+from .scratch import Scratch, prepare_python, trim
 from .shards import Shards, told_counts, unpack_rows
 
 WIDTH, GRAM = 100, 37
 SPAN = WIDTH - GRAM + 1  # 64 grams in a window
 CHUNK = 1 << 20
-_SECOND = mix(np.arange(1, 257, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 
 
 # ---------------------------------------------------------------- suffix arrays
@@ -147,6 +150,23 @@ def _spread(anchors: np.ndarray) -> np.ndarray:
     return mix(anchors ^ U(0x5851F42D4C957F2D))
 
 
+def _places(grams: np.ndarray, least: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Where the anchor of each window of the runs [a, z] of one least hash begins: at the
+    first gram of the window that has it."""
+    place = np.zeros(least.size, np.int32)
+    while a.size:
+        p, value = a.copy(), least[a]
+        open_ = np.flatnonzero(grams[p] != value)
+        while open_.size:
+            p[open_] += 1
+            open_ = open_[grams[p[open_]] != value[open_]]
+        many = np.minimum(z, p) - a + 1
+        place[np.repeat(a - np.cumsum(many) + many, many) + np.arange(many.sum())] = np.repeat(p, many)
+        on = p < z  # the run goes on past that gram: its hash stands again
+        a, z = p[on] + 1, z[on]
+    return place
+
+
 def _keys(rows: pa.Table, shift: U) -> tuple[np.ndarray, np.ndarray]:
     found = []
     for _, _, data, offs in pieces(rows.column("text")):
@@ -198,6 +218,10 @@ def _repeats_in_chunk(data, cuts, row, begin, spans: _Spans):
     whole[first] = True  # np.unique names the first of equal regions
     owner = np.repeat(np.arange(size.size), size)
     inside = np.arange(data.size) - cuts[:-1][owner]
+    twin = first[inverse.ravel()]
+    if data.size:  # equal hashes of unequal regions: each is sorted for itself
+        other = np.minimum(cuts[:-1][twin][owner] + inside, data.size - 1)
+        whole |= (size != size[twin]) | np.logical_or.reduceat(data != data[other], cuts[:-1])
     window = inside + WIDTH <= size[owner]
     repeat = window & ~whole[owner]
     keep = whole[owner]
@@ -224,27 +248,32 @@ def _work(parts: int, shift: U):
             rows = _in_order(rows)
             ids = np.asarray(rows.column("doc_id").fill_null(np.iinfo(np.int64).max), np.int64)
             spans = _Spans()
-            held: list[tuple] = []  # (bytes, row, begin, anchors of window starts)
+            held: list[tuple] = []  # (bytes, row, begin, anchors of window starts, their places)
+            done = 0  # chunks
 
             def flush():
+                nonlocal done
                 if not held:
                     return
+                done += 1
                 data = np.concatenate([x[0] for x in held])
                 cuts = np.concatenate([[0], np.cumsum([x[0].size for x in held])])
                 row, begin = np.array([x[1] for x in held]), np.array([x[2] for x in held])
                 first, owner, inside = _repeats_in_chunk(data, cuts, row, begin, spans)
                 anchor = np.concatenate([np.append(x[3], np.zeros(WIDTH - 1, U)) for x in held])
+                place = np.concatenate([np.append(x[4] + c, np.zeros(WIDTH - 1, np.int64)) for x, c in zip(held, cuts, strict=False)])
                 at = np.flatnonzero(first)
                 held.clear()
                 if not at.size:
                     return
-                new = np.concatenate([[True], (np.diff(at) != 1) | (anchor[at[1:]] != anchor[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])])
+                new = np.concatenate([[True], (np.diff(at) != 1) | (place[at[1:]] != place[at[:-1]]) | (owner[at[1:]] != owner[at[:-1]])])
                 a, z = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, at.size - 1)]
                 part = (_spread(anchor[a]) >> U(32)).astype(np.int64) * parts >> 32
                 order = np.argsort(part, kind="stable")
                 a, z, part = a[order], z[order], part[order]
                 length = z - a + WIDTH
-                head = np.stack([ids[row[owner[a]]], np.full(a.size, shard), row[owner[a]], begin[owner[a]] + inside[a], length], 1).astype("<i8")
+                packed = length | (place[a] - a) << 16 | done << 32  # length, place of the anchor, chunk
+                head = np.stack([ids[row[owner[a]]], np.full(a.size, shard), row[owner[a]], begin[owner[a]] + inside[a], packed], 1).astype("<i8")
                 edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
                 for i, j in zip(edge[:-1], edge[1:], strict=True):
                     size = length[i:j]
@@ -256,7 +285,7 @@ def _work(parts: int, shift: U):
 
             size = 0
             for at, _, data, offs in pieces(rows.column("text")):
-                least, valid, _ = _window_anchors(data, offs)
+                least, valid, grams = _window_anchors(data, offs)
                 if not least.size:
                     continue
                 change = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (valid[1:] != valid[:-1])]))
@@ -264,14 +293,16 @@ def _work(parts: int, shift: U):
                 place = _search(keys, key)
                 place[place == keys.size] = 0
                 many = valid[change] & (keys[place] == key) & (counts[place] > 1) if keys.size else np.zeros(change.size, bool)
-                wanted = np.repeat(many, np.diff(np.append(change, least.size)))
+                ends = np.append(change, least.size)
+                wanted = np.repeat(many, np.diff(ends))
+                anchors = _places(grams, least, change[many], ends[1:][many] - 1)
                 doc = np.searchsorted(offs, np.arange(least.size), "right") - 1 if wanted.any() else np.zeros(0, int)
                 hit = np.flatnonzero(wanted)
                 if not hit.size:
                     continue
                 new = np.concatenate([[True], (np.diff(hit) != 1) | (doc[hit[1:]] != doc[hit[:-1]])])
                 for a, z in zip(hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, hit.size - 1)], strict=True):
-                    held.append((data[a : z + WIDTH], at + doc[a], a - offs[doc[a]], least[a : z + 1]))
+                    held.append((data[a : z + WIDTH], at + doc[a], a - offs[doc[a]], least[a : z + 1], anchors[a : z + 1].astype(np.int64) - a))
                     size += z - a + WIDTH
                     if size >= CHUNK:
                         flush()
@@ -297,45 +328,77 @@ def _search(every: np.ndarray, own: np.ndarray) -> np.ndarray:
     return at
 
 
+_AFTER, _BEFORE = 104, 64  # bytes from the anchor on, and before it (100 and 63 matter)
+
+
+def _fixed(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int, step: int) -> np.ndarray:
+    """``width`` bytes from ``begin`` on (or backwards), up to ``end``, then zeros."""
+    out = np.zeros((begin.size, width), np.uint8)
+    for i in range(0, begin.size, 1 << 14):
+        at = begin[i : i + (1 << 14), None] + step * np.arange(width)
+        inside = at < end[i : i + (1 << 14), None] if step > 0 else at >= end[i : i + (1 << 14), None]
+        out[i : i + (1 << 14)] = np.where(inside, data[np.clip(at, 0, data.size - 1)], 0)
+    return out
+
+
+class _Sorted:
+    """Suffixes in sorted order, what neighbours share, and where each of ours stands."""
+
+    def __init__(self, fixed: np.ndarray):
+        width = fixed.shape[1]
+        own = np.ascontiguousarray(fixed).view(f"S{width}").ravel()
+        every = np.unique(own)
+        self.at = np.searchsorted(every, own)
+        table = every.view(np.uint8).reshape(-1, width)
+        self.shared = np.concatenate([[0], (table[1:] != table[:-1]).argmax(axis=1)])
+
+    def alike(self, m: int) -> np.ndarray:
+        """A number for each of ours, equal where the first ``m`` bytes are."""
+        return np.cumsum(self.shared < m)[self.at]
+
+
 def _merge(rows: pa.Table) -> pa.Table:
     """Among first windows of all shards, the later ones are repeats."""
-    heads = [np.frombuffer(x, "<i8").reshape(-1, 5) for x in rows.column("head").to_pylist()]
-    head = np.concatenate(heads)
-    # rank of each segment's document among those here, then its start
-    documents, rank = np.unique(head[:, :3], axis=0, return_inverse=True)
+    trim()
+    head = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 5) for x in rows.column("head").to_pylist()])
+    data = np.frombuffer(b"".join(rows.column("body").to_pylist()), np.uint8)
+    length, place = head[:, 4] & 0xFFFF, head[:, 4] >> 16 & 0xFFFF
+    at = np.cumsum(length) - length
+    # rank of each segment's document among those here; the chunk of a shard it comes from
+    _, rank = np.unique(head[:, :3], axis=0, return_inverse=True)
     rank = rank.ravel().astype(np.int64)
-    bodies = rows.column("body").to_pylist()
-    window_keys, checks, orders, segments, done = [], [], [], [], 0
-    for own, body in zip(heads, bodies, strict=True):
-        data = np.frombuffer(body, np.uint8)
-        count = own[:, 4] - WIDTH + 1
-        at = np.cumsum(own[:, 4]) - own[:, 4]
-        s = np.repeat(np.arange(len(own)), count)
-        k = np.arange(s.size) - np.repeat(np.cumsum(count) - count, count)
-        begin = at[s] + k
-        window_keys.append(Prefix(data).spans(begin, begin + WIDTH))
-        checks.append(Prefix(data, _SECOND).spans(begin, begin + WIDTH))
-        orders.append((rank[done + s] << 32) | (own[s, 3] + k))
-        segments.append(done + s)
-        done += len(own)
-    every, code = np.unique(np.concatenate(window_keys), return_index=True)
-    second = np.concatenate(checks)[code]
-    found = [_search(every, own) for own in window_keys]
-    if any((second[at] != own).any() for at, own in zip(found, checks, strict=True)):  # equal first hashes of unequal windows: tell them apart
-        window_keys = [mix(x ^ mix(y)) for x, y in zip(window_keys, checks, strict=True)]
-        every = np.unique(np.concatenate(window_keys))
-        found = [_search(every, own) for own in window_keys]
-    best = np.full(every.size, np.iinfo(np.int64).max)
-    for at, order in zip(found, orders, strict=True):
-        np.minimum.at(best, at, order)
-    spans: dict[int, _Spans] = {}
-    for at, order, seg in zip(found, orders, segments, strict=True):
-        hit = order > best[at]
-        if hit.any():
-            joined = np.concatenate([[False], seg[1:] == seg[:-1]])
-            where = spans.setdefault(int(head[seg[0], 1]), _Spans())
-            where.add(head[seg, 2], order & 0xFFFFFFFF, hit, joined)
-    return pa.table({"shard": pa.array(list(spans), pa.int64()), "head": pa.array([x.blob() for x in spans.values()], pa.binary())})
+    _, source = np.unique(np.stack([head[:, 1], head[:, 4] >> 32], 1), axis=0, return_inverse=True)
+    source = source.ravel()
+    after = _Sorted(_fixed(data, at + place, at + length, _AFTER, 1))
+    before = _Sorted(_fixed(data, at + place - 1, at, _BEFORE, -1))
+    later: list[np.ndarray] = []  # (segment, window) numbers
+    for k in range(SPAN):  # windows that begin k bytes before their anchor
+        own = np.flatnonzero((place >= k) & (length - place >= WIDTH - k))
+        if own.size < 2:
+            continue
+        key = before.alike(k)[own] * (head.shape[0] + 1) + after.alike(WIDTH - k)[own]
+        order = rank[own] << 32 | (head[own, 3] + place[own] - k)
+        by = np.lexsort((order, key))
+        key, own = key[by], own[by]
+        new = np.append(True, key[1:] != key[:-1])
+        earliest = np.repeat(own[new], np.diff(np.append(np.flatnonzero(new), own.size)))
+        hit = own[source[own] != source[earliest]]
+        later.append(np.stack([hit, place[hit] - k], 1))
+    hits = np.concatenate(later) if later else np.zeros((0, 2), np.int64)
+    hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
+    seg, inside = hits[:, 0], hits[:, 1]
+    shards, blobs = [], []
+    if seg.size:
+        new = np.append(True, (seg[1:] != seg[:-1]) | (inside[1:] != inside[:-1] + 1))
+        first = np.flatnonzero(new)
+        last = np.append(first[1:] - 1, seg.size - 1)
+        start = head[seg[first], 3]
+        found = np.stack([head[seg[first], 2], start + inside[first], start + inside[last] + WIDTH], 1).astype("<i8")
+        shard = head[seg[first], 1]
+        for x in np.unique(shard).tolist():
+            shards.append(x)
+            blobs.append(found[shard == x].tobytes())
+    return pa.table({"shard": pa.array(shards, pa.int64()), "head": pa.array(blobs, pa.binary())})
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
