@@ -58,7 +58,7 @@ def _postings(shard: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     h, words = hashed_words(*column_bytes(texts))
     terms, _, term, counts = distinct(h)
     # term-major, places ascending: one ascending sequence
-    places = np.sort(term * max(h.size, 1) + np.arange(h.size))
+    places = np.sort(term.astype(np.int64) * max(h.size, 1) + np.arange(h.size))
     blobs = (squeeze(np.diff(words).astype(np.uint32)), squeeze_keys(terms), squeeze(counts.astype(np.uint32)), squeeze_keys(places))
     ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
     return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), ids, *(pa.array([b], pa.binary()) for b in blobs)], names=[c.split()[0] for c in _INDEX.split(", ")])

@@ -134,15 +134,17 @@ class _Tokens:
     """The words of a shard: ``row`` of each token, its distinct ``word`` keys (even),
     and the distinct keys (odd) of ``pair``s with the word before in the same text."""
 
-    def __init__(self, rows: pa.Table, key_bits: int):
+    def __init__(self, rows: pa.Table, key_bits: int, base: bool = False):
         self.data, self.offs = column_bytes(rows.column("text"))
-        self.prefix = Prefix(self.data)
+        prefix = Prefix(self.data)  # eight bytes a byte, so it is let go of as soon as may be
         self.starts, self.ends, self.words = word_spans(self.data, self.offs, NOT_SPACE)
-        self.row = row_of(self.words)
+        self.base = base_columns(self.data, self.offs, (prefix, self.starts, self.ends, self.words)) if base else None
+        self.row = row_of(self.words).astype(np.int32)
         self.ids = _language_ids(rows.column("lang").combine_chunks())
         self.shift = U(64 - key_bits)
         salt = self.ids.astype(U) * U(0x9E3779B97F4A7C15)
-        self.h = mix(self.prefix.spans(self.starts, self.ends) + salt[self.row])
+        self.h = mix(prefix.spans(self.starts, self.ends) + salt[self.row])
+        del prefix
         self.word, self.first, self.of_word, self.word_count = distinct((self.h >> self.shift) & ~U(1))
         self.lang = self.ids[self.row[self.first]]
 
@@ -309,15 +311,17 @@ def _own(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _score(rows: pa.Table, reply: pa.Table, carried, parts: int, order: int, key_bits: int) -> list[pa.Array]:
-    tokens = _Tokens(rows, key_bits)
-    r, n = tokens.row, rows.num_rows
-    base = base_columns(tokens.data, tokens.offs, (tokens.prefix, tokens.starts, tokens.ends, tokens.words))
+    tokens = _Tokens(rows, key_bits, base=True)
+    r, n, base = tokens.row, rows.num_rows, tokens.base
     counted = reply.filter(pc.is_null(reply.column("lang")))
     two, pair, _, of_pair, _ = tokens.pairs()
     lang, known, _ = tokens.languages()
     _, _, inverse, _ = distinct(np.concatenate([tokens.word, pair, lang]))
     sums = told_counts(counted)[inverse].astype(np.int64)
     c_word, c_pair, c_lang = np.split(sums, [tokens.word.size, tokens.word.size + pair.size])
+    own_pair = _own(r[two], pair[of_pair])
+    both = c_pair[of_pair] - own_pair
+    del inverse, sums, pair, of_pair, own_pair
     # log-probability of each distinct word by its bytes
     told: dict[int, list] = {}
     scored = reply.filter(pc.is_valid(reply.column("lang"))).sort_by("part")
@@ -335,7 +339,6 @@ def _score(rows: pa.Table, reply: pa.Table, carried, parts: int, order: int, key
     c = c_word[tokens.of_word] - _own(r, tokens.h)
     total = np.maximum(c_lang[np.searchsorted(known, tokens.ids)] - many, 0)[r]
     alone = (c + WORD_PRIOR * np.exp(logs)) / (total + WORD_PRIOR)
-    both = c_pair[of_pair] - _own(r[two], pair[of_pair])
     after = (both + PAIR_PRIOR * alone[two]) / (c[two - 1] + PAIR_PRIOR)
     gain = np.bincount(r[two], np.log(after / alone[two]), n) / np.maximum(many, 1)
     size = np.bincount(r, sizes, n)

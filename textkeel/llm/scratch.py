@@ -7,12 +7,14 @@ stage.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
@@ -46,7 +48,8 @@ class Scratch:
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         """Write ``df`` and return a reader of what was written."""
-        df.write.mode("overwrite").parquet(self.path(name))
+        # row groups are buffered in memory, by every task
+        df.write.mode("overwrite").option("parquet.block.size", str(16 << 20)).parquet(self.path(name))
         self.release()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -75,6 +78,17 @@ def partitions_for(df: DataFrame, target_bytes: int = 12 << 20) -> int:
     return max(own, size // target_bytes) if size < 1 << 50 else own
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give freed memory of this process back to the system. Python workers are reused, and what
+    they keep counts against the executor's memory while they idle."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc
+        _LIBC.malloc_trim(0)
+
+
 def prepare_python(spark: SparkSession, rows: int = 400) -> None:
     """Ship the package, and keep an Arrow batch of long texts small enough for a Python worker."""
     ship(spark)

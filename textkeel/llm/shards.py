@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import U, column_bytes
-from .scratch import Scratch, prepare_python
+from .scratch import Scratch, prepare_python, trim
 
 SHARD = 8 << 20
 RANGE = 2  # shards to a range of keys
@@ -80,8 +80,8 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     new = np.ones(x.size, bool)
     np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
     at = np.flatnonzero(new)
-    inverse = np.empty(x.size, np.int64)
-    inverse[order] = np.cumsum(new) - 1
+    inverse = np.empty(x.size, np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
     return ordered[at], order[at], inverse, np.diff(np.append(at, x.size))
 
 
@@ -107,6 +107,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number, held, size = number + 1, [], 0
     if held:
         yield packed()
+    trim()
 
 
 class Shards:
@@ -139,13 +140,17 @@ class Shards:
             for batch in batches:
                 for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("rows"), strict=True):
                     yield from work(shard, unpack_blob(blob.as_buffer()))
+                    trim()
 
         return self.read().mapInArrow(run, schema)
 
     def answer(self, reply: DataFrame, work: Callable[[pa.Table, pa.Table, int], pa.Table], schema, name: str, rounds: int = 1) -> DataFrame:
         """``work(rows, reply of the shard, shard)`` of every shard, written in rounds."""
 
-        run = lambda ours, theirs: work(unpack_rows(ours), theirs, ours.column("shard")[0].as_py())
+        def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+            trim()  # of the shard before
+            return work(unpack_rows(ours), theirs, ours.column("shard")[0].as_py())
+
         out = []
         for k in range(rounds):
             mine = F.pmod(F.xxhash64("shard"), F.lit(rounds)) == k
@@ -176,6 +181,7 @@ class Shards:
             found, _, inverse, _ = distinct(np.concatenate(keys))
             sums = np.minimum(np.bincount(inverse, counts, found.size), (1 << 32) - 1).astype(np.uint32)[inverse]
             told = [squeeze(x) for x in np.split(sums, np.cumsum([x.size for x in keys])[:-1])]
+            trim()
             return pa.table({"shard": rows.column("shard"), "part": rows.column("part"), "told": pa.array(told, pa.binary())})
 
         out, edge = [], [ranges * k // rounds for k in range(rounds + 1)]
