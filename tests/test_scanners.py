@@ -198,6 +198,20 @@ def test_blocks_and_deny(spark):
     assert json.loads(back.merged) == json.loads(theirs) and back.changed
 
 
+def test_shield_folder(tmp_path):
+    folder = f"file://{tmp_path}"
+    (tmp_path / ".aiignore").write_text("mine\n")
+    (tmp_path / ".claude").mkdir()
+    (tmp_path / ".claude" / "settings.json").write_text('{"model": "m"}')
+    assert not shield.is_shielded(folder)
+    assert len(shield.shield_folder(folder)) == 14 and shield.is_shielded(folder)
+    assert shield.shield_folder(folder) == []  # twice is once
+    assert len(shield.shield_folder(folder, enable=False)) == 14 and not shield.is_shielded(folder)
+    assert (tmp_path / ".aiignore").read_text() == "mine\n"
+    assert json.loads((tmp_path / ".claude" / "settings.json").read_text()) == {"model": "m", "permissions": {"deny": []}}
+    assert not list(tmp_path.glob("**/*.tmp"))
+
+
 def test_redaction_comes_back_whole(spark):
     """Values inside values, inside placeholders' text, and regex marks."""
     rng = random.Random(4)
@@ -290,6 +304,13 @@ def test_streams(spark, tmp_path):
     write = streams.vault_writer(str(tmp_path / "t"), str(tmp_path / "v"))
     events.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "v")).count() == 1 and spark.read.parquet(str(tmp_path / "t")).count() == 2
+    counted = streams.counters(credentials.redact(events)).writeStream.format("memory").outputMode("complete").queryName("counted").option("checkpointLocation", str(tmp_path / "e")).trigger(availableNow=True).start()
+    counted.awaitTermination(120)
+    assert tuple(spark.table("counted").first()) == (2, 1, 1)
+    prompts = streams.json_events(spark, str(tmp_path / "in"), "session_id string, text string").select(F.to_json(F.struct(F.col("text").alias("prompt"), "session_id")).alias("event"))
+    sink = streams.decision_writer(str(tmp_path / "d1"))
+    streams.exit_codes(boundary.prompt_gate(prompts)).select("session_id", "decision", "exit_code").writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "f")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "d1")).collect()] == [{"session_id": "s", "decision": "block", "exit_code": 2}]
     once = streams.once_per_session(events).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
     once.awaitTermination(120)
     assert spark.table("once").count() == 1

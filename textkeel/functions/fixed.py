@@ -95,6 +95,7 @@ DENY_RULES = (
     "Read(**/credentials.json)", "Read(**/serviceAccountKey.json)", "Read(**/.npmrc)", "Read(**/.pypirc)", "Read(**/.netrc)", "Read(**/.git-credentials)",
     "Read(**/.mcp.json)", "Read(**/mcp.json)",
 )
+SETTINGS_FILE = ".claude/settings.json"
 COVERAGE = (  # tool, file, blocks indexing, a terminal bypasses it
     ("Cursor", ".cursorignore", True, True),
     ("Windsurf", ".codeiumignore", True, True),

@@ -83,6 +83,9 @@ NEEDS = {
 }
 ENTROPY_TYPE = "High Entropy Token"
 _TOKEN = r"[^\s\"'`=:,;()\[\]{}<>|]{%d,}"
+#: A token's first character follows a delimiter; where no run between ASCII delimiters (a class that Java
+#: looks up in a table) is long enough, no token is, and the slower class with all white space is not tried.
+_RUN = r"(?<![^\t-\r \"'`=:,;()\[\]{}<>|])[^\t-\r \"'`=:,;()\[\]{}<>|]{%d}"
 #: Tokens of these shapes are names or addresses, not keys.
 _PLAIN = (r"^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\z", r"^[a-z]+(?:[A-Z][a-z]+)+\z", r"^(?:[A-Z][a-z]+){2,}\z", r"^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\z", r"^\$\{?[A-Za-z_]", r"^process\.env", r"%[0-9A-Fa-f]{2}.*%[0-9A-Fa-f]{2}", r"^https?:", r"^[^A-Za-z]+\z", r"^[^0-9]+\z", r"^SECRET_[a-f0-9]+\z", r"[/\\].*[/\\]")
 #: Keys that vendors publish for tests.
@@ -124,10 +127,10 @@ def detect(df: DataFrame, text_col: str = "text", config: CredentialConfig = Cre
     parts += [f"coalesce(transform(regexp_extract_all({column}, {quoted(p)}, 0), v -> named_struct('value', v, 'type', {quoted(t)})), CAST(array() AS {_PAIR}))" for t, p in config.custom if p in good]
     df = once(df, "__named", f"concat({', '.join(parts)})")
     if config.entropy:
-        token = quoted(java(_TOKEN % config.minimum_length, False))
+        token, run = quoted(java(_TOKEN % config.minimum_length, False)), quoted(_RUN % config.minimum_length)
         plain = " OR ".join(f"v RLIKE {quoted(p)}" for p in _PLAIN)
         loose = f"filter(array_distinct(regexp_extract_all({column}, {token}, 0)), v -> NOT ({plain}) AND NOT exists(__named, n -> contains(n.value, v) OR contains(v, n.value)) AND {entropy('v')} > {config.threshold}D)"
-        df = df.withColumn("__loose", F.expr(f"if({column} RLIKE {token}, transform({loose}, v -> named_struct('value', v, 'type', '{ENTROPY_TYPE}')), CAST(array() AS {_PAIR}))"))
+        df = df.withColumn("__loose", F.expr(f"if({column} RLIKE {run}, transform({loose}, v -> named_struct('value', v, 'type', '{ENTROPY_TYPE}')), CAST(array() AS {_PAIR}))"))
     else:
         df = df.withColumn("__loose", F.expr(f"CAST(array() AS {_PAIR})"))
     skip = [f"x.value RLIKE {quoted(p)}" for p in compiling(df, config.whitelist)]

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.fixed import COVERAGE, DENY_RULES, IGNORE_FILES, SHIELD_GLOBS
+from ..functions.fixed import COVERAGE, DENY_RULES, IGNORE_FILES, SETTINGS_FILE, SHIELD_GLOBS
 from ..functions.text import quoted
 from ..shipping import ship
 
@@ -103,3 +105,50 @@ def merge_deny(settings: DataFrame, column: str = "settings", remove: bool = Fal
 
 def deny_json() -> str:
     return json.dumps({"permissions": {"deny": list(DENY_RULES)}})
+
+
+def _write(where: fs.FileSystem, path: str, text: str) -> None:
+    """Under another name first, then renamed, so readers see the old file or the new one."""
+    where.create_dir(path.rpartition("/")[0], recursive=True)
+    with where.open_output_stream(f"{path}.tmp") as out:
+        out.write(text.encode())
+    where.move(f"{path}.tmp", path)
+
+
+def _read(where: fs.FileSystem, path: str) -> str | None:
+    if where.get_file_info(path).type != fs.FileType.File:
+        return None
+    with where.open_input_stream(path) as f:
+        return f.read().decode(errors="replace")
+
+
+def shield_folder(folder: str, enable: bool = True) -> list[str]:
+    """Put the block into (or take it out of) a folder's ignore files and our rules into its
+    settings; returns the files that changed. A fixed few small files, so the driver writes them.
+
+    Files that are not there are made when enabling and left alone when not; a block that
+    stands there already, and settings that do not parse, stay as they are."""
+    where, root = fs.FileSystem.from_uri(folder)
+    changed = []
+    for name in IGNORE_FILES:
+        path = f"{root}/{name}"
+        before = _read(where, path)
+        if enable:
+            after = before if before is not None and BEGIN in before else f"{before or ''}\n{_BLOCK}\n"
+        else:
+            after = before if before is None else re.sub(_BLOCK_RE.replace("\\x20", " "), "", before)
+        if after != before:
+            _write(where, path, after)
+            changed.append(name)
+    path = f"{root}/{SETTINGS_FILE}"
+    merged, _, new = _merge(_read(where, path), not enable)
+    if new:
+        _write(where, path, merged)
+        changed.append(SETTINGS_FILE)
+    return changed
+
+
+def is_shielded(folder: str) -> bool:
+    """Does any ignore file hold the block, or the settings our first rule?"""
+    where, root = fs.FileSystem.from_uri(folder)
+    return any(BEGIN in (_read(where, f"{root}/{name}") or "") for name in IGNORE_FILES) or DENY_RULES[0] in (_read(where, f"{root}/{SETTINGS_FILE}") or "")

@@ -77,3 +77,18 @@ def vault_writer(text_path: str, vault_path: str, text_col: str = "text"):
         entries(out).write.mode("overwrite").parquet(f"{vault_path}/batch={batch_id}")
 
     return write
+
+
+def exit_codes(decided: DataFrame) -> DataFrame:
+    """``decided`` with exit_code, as a hook process would end: 2 where the decision blocks, else 0."""
+    return decided.withColumn("exit_code", F.when(F.col("decision") == "block", 2).otherwise(0))
+
+
+def decision_writer(path: str):
+    """A foreachBatch function: the decisions of a batch that are not silent, a JSON document a
+    line. A repeated batch overwrites its own part."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.filter("decision IS NOT NULL AND decision <> 'pass'").select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{path}/batch={batch_id}")
+
+    return write
