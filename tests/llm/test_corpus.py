@@ -250,6 +250,17 @@ def test_word_order(spark):
     assert sum(r.kept for i, r in got.items() if i < 1000) >= 285
 
 
+def test_verdicts_do_not_depend_on_how_rows_are_dealt(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(prose(rng, rng.choice([60, 150]))) + " #" * rng.randint(0, 20), ["en", None][i % 2]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    verdicts = [{r.doc_id: (r.kept, round(r.lower, 9), round(r.upper, 9), round(r.least_gain, 9)) for r in perplexity.quality_rules(docs.repartition(n)).collect()} for n in (1, 5)]
+    assert verdicts[0] == verdicts[1] and len({v[1:] for v in verdicts[0].values()}) > 2
+    band = perplexity._quartiles(spark.createDataFrame([("a", x / 100) for x in range(101)] + [(None, 1.0), ("a", None)], "lang string, x double"), "x")
+    got = {r["__lang"]: r.q for r in band.collect()}
+    assert got["a"] == pytest.approx([0.25, 0.5, 0.75], abs=0.0011) and got[None] == pytest.approx([1.0] * 3, abs=0.0011)
+
+
 def test_gram_scores(spark, docs):
     """The joined tables hold what the model in memory does, whatever their size."""
     scratch = Scratch(spark, "test")

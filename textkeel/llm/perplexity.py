@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +54,7 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 #: First bytes of the code points of words.
 _BEGINS_WORD_CHAR = NOT_SPACE & ((np.arange(256) & 0xC0) != 0x80)
 ASK_ROUNDS, SCORE_ROUNDS = 3, 4
+BIN = 0.001
 
 # ------------------------------------------------------------------ base rules
 
@@ -346,6 +348,16 @@ def _score(rows: pa.Table, reply: pa.Table, carried, parts: int, order: int, key
     return [*(rows.column(k) for k in carried), *(pa.array(base[k].astype(np.int64)) for k in _NUMBERS), pa.array(ppl, from_pandas=True), pa.array(np.where(many > 0, gain, np.nan), from_pandas=True)]
 
 
+def _quartiles(rows: DataFrame, column: str) -> DataFrame:
+    """(__lang, q): lower quartile, median and upper quartile of each language, by counts in
+    bins of ``BIN``, so they are the same however the rows are dealt, unlike those of a sketch."""
+    bins = rows.filter(F.col(column).isNotNull()).groupBy(F.col("lang").alias("__lang"), F.floor(F.col(column) / BIN).alias("bin")).agg(F.count("*").alias("n"))
+    of_lang = W.partitionBy("__lang")  # of bins, at most some ten thousand a language
+    bins = bins.withColumns({"upto": F.sum("n").over(of_lang.orderBy("bin")), "all": F.sum("n").over(of_lang)})
+    value = lambda share: F.min(F.when(F.col("upto") >= share * F.col("all"), (F.col("bin") + 0.5) * BIN))
+    return bins.groupBy("__lang").agg(F.array(*[value(x) for x in (0.25, 0.5, 0.75)]).alias("q"))
+
+
 def score_shards(shards: Shards, scratch: Scratch, carry: tuple[str, ...] = ("doc_id", "lang"), order: int = ORDER) -> DataFrame:
     """Per row: shard, pos, and the columns of ``quality_rules``."""
     spark, bits = shards.spark, shards.key_bits
@@ -369,10 +381,10 @@ def score_shards(shards: Shards, scratch: Scratch, carry: tuple[str, ...] = ("do
     prepare_python(spark)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    q, g = (F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000) for c in ("log_ppl", "word_gain"))
-    bands = scored.filter("NOT base_failed").groupBy(F.col("lang").alias("__lang")).agg(q.alias("q"), g.alias("g"))
+    q, g = (_quartiles(scored.filter("NOT base_failed"), c) for c in ("log_ppl", "word_gain"))
     sigma = lambda c: F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(LEAST_SIGMA))
-    bands = scratch.save("bands", bands.select("__lang", F.col("q")[1].alias("middle"), sigma("q").alias("sigma"), F.col("g")[1].alias("middle_gain"), F.greatest((F.col("g")[1] - F.col("g")[0]) / 0.6745, F.lit(LEAST_SIGMA)).alias("sigma_gain")))
+    both = q.withColumnRenamed("q", "p").join(g.withColumnsRenamed({"__lang": "__l", "q": "g"}), F.col("__lang").eqNullSafe(F.col("__l")))
+    bands = scratch.save("bands", both.select("__lang", F.col("p")[1].alias("middle"), sigma("p").alias("sigma"), F.col("g")[1].alias("middle_gain"), F.greatest((F.col("g")[1] - F.col("g")[0]) / 0.6745, F.lit(LEAST_SIGMA)).alias("sigma_gain")))
     out = scored.join(bands, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     wide = F.col("sigma") * F.sqrt(1 + F.lit(SHORT) / F.greatest("n_words", F.lit(1)))
     out = out.withColumns({"lower": F.col("middle") - LOWER * wide, "upper": F.col("middle") + UPPER * wide, "least_gain": F.col("middle_gain") - LOWER * F.col("sigma_gain")})
