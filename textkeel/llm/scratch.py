@@ -49,7 +49,7 @@ class Scratch:
     def save(self, name: str, df: DataFrame) -> DataFrame:
         """Write ``df`` and return a reader of what was written."""
         # row groups are buffered in memory, by every task
-        df.write.mode("overwrite").option("parquet.block.size", str(16 << 20)).parquet(self.path(name))
+        df.write.mode("overwrite").options(compression="zstd", **{"parquet.block.size": str(16 << 20)}).parquet(self.path(name))
         self.release()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
