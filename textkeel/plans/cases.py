@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import entropy
 from ..operators import boundary, commands, credentials, envfile, injection, shield, toolconfig, vault
 from ..sources import files
+from ..streaming import streams
 
 
 @dataclass(frozen=True)
@@ -225,6 +226,38 @@ KEYS = (
     ("A" * 64, "true"),
 )
 
+BUNDLES = (
+    ("A=1", "A=1", f"A={MASK}\n"),
+    ("# prose {{SECRET_ab1}}", "# prose {{SECRET_ab1}}", f"# prose {MASK}\n"),
+    (None, "-", "# could not be read\n"),
+    ("A=1", None, f"# {MASK} (could not be verified as safe to share)\n"),
+)
+
+
+def _bundle_cases(df: DataFrame) -> DataFrame:
+    """The last check's answer to a file decides what is shown of it; none withholds it."""
+    rows = df.select(F.concat(F.lit("/"), "k", F.lit("/"), F.coalesce("answer", F.lit("none")).substr(1, 4), F.lit("/.env")).alias("path"), F.col("text").alias("content"))
+    answer = lambda masked, c: masked.withColumn("redacted_text", F.when(~F.contains("path", F.lit("/none/")), F.col(c)))
+    out = envfile.mask_env_files(rows.distinct(), answer)
+    return out.select(F.split("folder", "/")[1].cast("int").alias("k"), F.substring_index("masked", " ---\n", -1).alias("out")).join(df.select("k"), "k")
+
+
+LINES = (
+    ('{"session_id": "s", "text": "x"}', "s|x"),
+    ('{"text": "x", "other": 1}', "-|x"),
+    ("not json", "-|-"),
+    ("[1]", "-|-"),
+    ("", "-|-"),
+    (None, "-|-"),
+)
+
+
+def _line_cases(df: DataFrame) -> DataFrame:
+    """Lines are read as events one case at a time, as an event carries no case of its own."""
+    shown = F.concat_ws("|", F.coalesce("session_id", F.lit("-")), F.coalesce("text", F.lit("-"))).alias("out")
+    return _union([streams.parsed(df.filter(F.col("k") == k), "session_id string, text string", "text").select(F.lit(k).alias("k"), shown) for k in range(len(LINES))])
+
+
 # --------------------------------------------------------------- configurations
 
 KEY = "ghp_" + "ABCDEFabcdef1234567890abcdef12345678"
@@ -677,6 +710,8 @@ SUITES = {
     "option_cases": Suite(("config", "text"), OPTIONS, _option_cases),
     "decode_cases": Suite(("text",), DECODES, _plain(lambda: F.expr(injection.decode_tags("text")))),
     "env_cases": Suite(("text",), ENVS, lambda df: df.select("k", envfile.mask_env("text").alias("out"))),
+    "bundle_cases": Suite(("text", "answer"), BUNDLES, _bundle_cases),
+    "event_cases": Suite(("text",), LINES, _line_cases),
     "env_key_cases": Suite(("text",), KEYS, _plain(lambda: F.expr(envfile.env_key_ok("text")))),
     "config_cases": Suite(("text",), FILES, _file_cases),
     "config_leaks": Suite(("text",), LEAKS, _leaks),

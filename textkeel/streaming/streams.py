@@ -16,8 +16,13 @@ from ..operators.vault import entries
 
 
 def json_events(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Events, a JSON document a line, as they arrive in a folder; bad lines give null fields."""
-    return spark.readStream.format("text").load(folder).select(F.from_json("value", schema).alias("e")).select("e.*")
+    """Events, a JSON document a line, as they arrive in a folder."""
+    return parsed(spark.readStream.format("text").load(folder), schema)
+
+
+def parsed(lines: DataFrame, schema: str, column: str = "value") -> DataFrame:
+    """The events of JSON lines; bad, empty and null lines give null fields."""
+    return lines.select(F.from_json(column, schema).alias("e")).select("e.*")
 
 
 _LAST = "last string"
