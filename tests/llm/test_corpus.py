@@ -541,6 +541,50 @@ def test_quality(spark):
     assert rows_.tolist() == [0, x.size]
 
 
+def test_very_long_texts(spark):
+    """One text of 3 MB beside short ones, a null and an empty one: whole results from every operator."""
+    words = [f"w{i * 7919 % 100_003}" for i in range(450_000)]
+    long = " ".join(words)
+    rows = [(1, long, "en", "a"), (2, "short text here", "en", "a"), (3, None, None, None), (4, "", "en", "b"), (5, long, "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
+    n, size = len(words), len(long)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    shingles = len({tuple(words[k : k + 5]) for k in range(n - 4)})
+    assert got == {1: (shingles, 1), 2: (1, 2), 3: (0, 3), 4: (0, 4), 5: (shingles, 1)}
+    cut = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.cut_repeats(docs).collect()}
+    assert cut[5] == (size, size) and cut[1][0] == size and cut[2] == (15, 0) and cut[3] == (0, 0)
+    items = spark.createDataFrame([(9, " ".join(words[-8:]))], "item_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_items) for r in decontam.find_benchmark_words(docs, items).collect()}
+    assert found == {1: (n, 1), 2: (3, 0), 3: (0, 0), 4: (0, 0), 5: (n, 1)}
+    assert {r.doc_id: r.n_words for r in perplexity.quality_rules(docs).collect()} == {1: n, 2: 3, 3: 0, 4: 0, 5: n}
+    assert {r.doc_id: r.n_words for r in licenses.scan_licenses(docs).collect()} == {1: n, 2: 3, 3: 0, 4: 0, 5: n}
+    assert {r.doc_id: r.size for r in mixing.mix_sources(docs).collect()} == {1: n, 2: 3, 3: 0, 4: 0, 5: n}
+    assert {r.doc_id: r.shard[:1] == "x" for r in sharding.extendible_shards(docs, 1 << 20).collect()} == {1: True, 2: False, 3: False, 4: False, 5: True}
+    model = quality.fit(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, int))
+    assert all(0 <= r.score <= 1 for r in quality.score(docs, model).collect())
+
+
+def test_columns_of_the_callers_clash_with_nothing(spark, tmp_path):
+    """Extra columns named like those that operators make on their way."""
+    names = ("shard", "pos", "n", "bytes", "rows", "part", "told", "root", "node", "label", "h", "digest", "salt", "first", "refers_to", "blob", "uid", "hits", "own", "row", "__row")
+    extra = lambda df: df.select("*", *[F.lit("mine").alias(c) for c in names])
+    docs = spark.createDataFrame([(i, f"some words number {i} " * 30, "en", "a") for i in range(6)], "doc_id long, text string, lang string, source string")
+    clash = extra(docs)
+    assert jaccard.jaccard_components(clash).count() == suffixes.cut_repeats(clash).count() == perplexity.quality_rules(clash).count() == 6
+    items = extra(spark.createDataFrame([(9, "some words number 1 some words number 1")], "item_id long, text string"))
+    assert [r.doc_id for r in decontam.find_benchmark_words(clash, items).collect() if r.n_items] == [1]
+    assert licenses.scan_licenses(clash).select(*names).distinct().collect() == [("mine",) * len(names)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, label int")
+    assert quality.score(clash, quality.train(clash, labels)).count() == 6
+    pages = extra(spark.createDataFrame([(1, "u", "<p>")], "page_id long, url string, html string"))
+    assert warc.read_archives(warc.write_archives(pages, f"file://{tmp_path}/c")).count() == 1
+    scratch = Scratch(spark, "test")
+    shards = Shards(clash, scratch)
+    places = shards.read().select("shard", F.explode(F.expr("array(1L, 0L)")).alias("pos"))
+    taken = shards.take(places.filter("pos = 0"))
+    assert taken.columns == clash.columns and taken.select(*names).distinct().collect() == [("mine",) * len(names)]
+
+
 def test_quality_query(spark, tmp_path):
     """Folds, the bound of the fit, repeated ids and what a score may depend on."""
     rng = random.Random(3)

@@ -7,6 +7,7 @@ stage.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import re
@@ -20,6 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from ..shipping import ship
 
 _OWN: list[str] = []
+_MADE: list[Scratch] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    """Delete what this driver made: nothing that reads it outlives the driver."""
+    for scratch in _MADE:
+        try:
+            scratch.drop("")
+        except Exception:  # noqa: BLE001  the session may be gone already
+            return
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -42,6 +54,7 @@ class Scratch:
         self.spark = spark
         self.tag = f"{label}_{uuid.uuid4().hex[:12]}"
         self.root = f"{shared_root(spark)}/textkeel/{self.tag}"
+        _MADE.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -60,8 +73,8 @@ class Scratch:
         time.sleep(0.2)  # deletion follows collection a little later
 
     def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        """Delete a table that nothing reads any more (the whole folder, if unnamed)."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
