@@ -12,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from textkeel.llm import decontam, jaccard, license_rules, licenses, mixing, perplexity, quality, secrets, sharding, suffixes, warc
-from textkeel.llm.bytetext import U
+from textkeel.llm.bytetext import U, order_of
 from textkeel.llm.scratch import Scratch
-from textkeel.llm.shards import Shards, squeeze
+from textkeel.llm.shards import Shards, distinct, squeeze
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -261,6 +261,43 @@ def test_verdicts_do_not_depend_on_how_rows_are_dealt(spark):
     assert got["a"] == pytest.approx([0.25, 0.5, 0.75], abs=0.0011) and got[None] == pytest.approx([1.0] * 3, abs=0.0011)
 
 
+def test_order_of_values_whose_upper_bits_agree():
+    rng = np.random.default_rng(3)
+    tied = (U(1) << U(63)) + rng.integers(0, 300, 5000).astype(U)  # 64 bits, and 13 of a place
+    for x in (tied, np.append(tied, U(5)), rng.integers(0, 1 << 63, 5000).astype(U), rng.integers(0, 9, 5000), np.zeros(0, U), np.array([7], U)):
+        assert (order_of(x) == np.argsort(x, kind="stable")).all()
+        values, first, inverse, counts = distinct(x)
+        want = np.unique(x, return_index=True, return_inverse=True, return_counts=True)
+        assert all((np.asarray(a) == b).all() for a, b in zip((values, first, inverse, counts), want, strict=True))
+
+
+def test_perplexity_rounds_ask_for_their_own_keys():
+    rows = pa.table({"text": ["a b a b c", None, "", "b c d e f a", "\u00e9 \u00fc a"], "lang": ["x", "x", None, None, "y"]})
+    keys, counts = perplexity._count_keys(rows, 40)
+    assert (np.diff(keys.astype(np.int64)) > 0).all() and counts.sum() == 14 + 11 + 14  # words, pairs, words of languages
+    low, high = (1 << 40) // 3, (2 << 40) // 3
+    parts = [perplexity._count_keys(rows, 40, *x) for x in ((0, low), (low, high), (high, 1 << 40))]
+    assert all(((k >= a) & (k < b)).all() for (k, _), (a, b) in zip(parts, ((0, low), (low, high), (high, 1 << 40))))
+    assert (np.concatenate([k for k, _ in parts]) == keys).all() and (np.concatenate([c for _, c in parts]) == counts).all()
+
+
+def test_ngrams_are_sent_once_for_counts_and_scores(spark, docs):
+    scratch = Scratch(spark, "test")
+    shards = Shards(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "a")).repartition(3), scratch)
+    sent = perplexity.send_ngrams(shards)
+    got = {(r.lang, r.n, r.gram): r.c for r in perplexity.count_ngrams(shards, sent=scratch.save("sent", sent)).collect()}
+    want = Counter()
+    for r in docs.collect():
+        odd = r.doc_id is None or r.doc_id % 2
+        for w in WORD.findall(r.text or ""):
+            b = b" " + w.encode() + b" "
+            for i in range(1, len(b)):
+                g = b[max(0, i + 1 - perplexity.ORDER) : i + 1]
+                want[bool(odd), len(g), int.from_bytes(g, "big")] += 1
+    assert {(x == 0, n, g): c for (x, n, g), c in got.items()} == want  # a null language has id 0
+    scratch.drop("")
+
+
 def test_gram_scores(spark, docs):
     """The joined tables hold what the model in memory does, whatever their size."""
     scratch = Scratch(spark, "test")

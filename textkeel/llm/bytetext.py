@@ -78,6 +78,28 @@ def pieces(col: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.n
         at = to
 
 
+def order_of(x: np.ndarray) -> np.ndarray:
+    """A stable ascending order of values that are not negative. Plain values are sorted several times faster
+    than places, so each value's place stands in its low bits; where that leaves out low bits of the
+    values, those that differ in them alone are put right by a sort of what is nearly sorted."""
+    if x.size < 2:
+        return np.arange(x.size)
+    x = x.astype(U, copy=False)
+    places = (x.size - 1).bit_length()
+    cut = max(int(x.max()).bit_length() + places - 64, 0)
+    packed = x >> U(cut)
+    packed <<= U(places)
+    packed |= np.arange(x.size, dtype=U)
+    packed.sort()
+    packed &= U((1 << places) - 1)
+    order = packed.view(np.int64)
+    if cut:
+        ordered = x[order]
+        if (ordered[1:] < ordered[:-1]).any():
+            order = order[np.argsort(ordered, kind="stable")]
+    return order
+
+
 class Prefix:
     """Prefix hashes of a byte array: the hash of any [start, end) in O(1).
     Powers are made of those within a block and those of blocks, so none are kept for the whole array."""

@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import NOT_SPACE, Prefix, U, column_bytes, mix, row_of, shingles, sums_by_text, word_spans
+from .bytetext import NOT_SPACE, Prefix, U, column_bytes, mix, order_of, row_of, shingles, sums_by_text, word_spans
 from .scratch import Scratch, prepare_python
 from .shards import Shards, distinct, expand, expand_keys, squeeze, squeeze_keys, told_counts
 
@@ -89,7 +89,7 @@ def base_columns(data: np.ndarray, offs: np.ndarray, known: tuple | None = None)
     h, _ = shingles(w, words, 3, False)
     at = np.flatnonzero(rows[: max(w.size - 2, 0)] == rows[2:]) if w.size > 2 else np.zeros(0, int)
     h = _within(h, rows[at])
-    order = np.argsort(h)
+    order = order_of(h)
     same = np.zeros(at.size, bool)
     if at.size > 1:
         twin = h[order][1:] == h[order][:-1]
@@ -133,8 +133,8 @@ def _language_ids(column: pa.Array) -> np.ndarray:
 
 
 class _Tokens:
-    """The words of a shard: ``row`` of each token, its distinct ``word`` keys (even),
-    and the distinct keys (odd) of ``pair``s with the word before in the same text."""
+    """The words of a shard: ``row`` and ``key`` (even) of each token, and, when ``find_words``
+    has been called, the distinct ``word`` keys."""
 
     def __init__(self, rows: pa.Table, key_bits: int, base: bool = False):
         self.data, self.offs = column_bytes(rows.column("text"))
@@ -147,13 +147,16 @@ class _Tokens:
         salt = self.ids.astype(U) * U(0x9E3779B97F4A7C15)
         self.h = mix(prefix.spans(self.starts, self.ends) + salt[self.row])
         del prefix
-        self.word, self.first, self.of_word, self.word_count = distinct((self.h >> self.shift) & ~U(1))
+        self.key = (self.h >> self.shift) & ~U(1)
+
+    def find_words(self) -> None:
+        self.word, self.first, self.of_word, self.word_count = distinct(self.key)
         self.lang = self.ids[self.row[self.first]]
 
-    def pairs(self):
-        """Tokens with a word before, the distinct keys, each token's index among them, counts."""
+    def pair_keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens with a word before, and the key (odd) of each with it."""
         at = np.flatnonzero(self.row[1:] == self.row[:-1]) + 1
-        return at, *distinct((mix(self.h[at - 1] * U(0xD6E8FEB86659FD93) + self.h[at]) >> self.shift) | U(1))
+        return at, (mix(self.h[at - 1] * U(0xD6E8FEB86659FD93) + self.h[at]) >> self.shift) | U(1)
 
     def languages(self):
         """Keys (even) that stand for all words of a language, the language of each, counts."""
@@ -169,19 +172,51 @@ class _Tokens:
             yield x, pick, word, length << 36 | packed
 
 
-def count_ngrams(shards: Shards, order: int = ORDER) -> DataFrame:
-    """Counts of (language id, length, n-gram) over all tokens; a shard sends each of its n-grams once."""
+def _gram_part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (keys & ((1 << 36) - 1)) % parts
+
+
+def _gram_parts(shards: Shards) -> int:
+    return max(shards.count // 16, 8) | 1
+
 
-    bits = shards.key_bits
+def send_ngrams(shards: Shards, order: int = ORDER) -> DataFrame:
+    """(part, shard, lang, keys, counts): each shard's distinct n-grams and their counts over its tokens. The
+    scores it must be told are of these same n-grams, so a shard is gone over once for both."""
+    bits, parts = shards.key_bits, _gram_parts(shards)
 
-    def work(_, rows: pa.Table):
-        tokens = _Tokens(rows, bits)
+    def work(shard: int, rows: pa.Table):
+        out, tokens = [], _Tokens(rows, bits)
+        tokens.find_words()
         for x, pick, word, key in tokens.grams(order):
             keys, _, inverse, _ = distinct(key)
-            sums = np.bincount(inverse, tokens.word_count[pick][word], keys.size).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(keys.size, x)), pa.array((keys >> 36).astype(np.int32)), pa.array(keys & ((1 << 36) - 1)), pa.array(sums)], names=["lang", "n", "gram", "c"])
+            sums = np.bincount(inverse, tokens.word_count[pick][word], keys.size).astype(np.uint32)
+            where = _gram_part(keys, parts)
+            out += [(part, shard, x, squeeze_keys(keys[where == part]), squeeze(sums[where == part])) for part in np.unique(where).tolist()]
+        if out:
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names=["part", "shard", "lang", "keys", "counts"])
+
+    return shards.map(work, "part int, shard long, lang long, keys binary, counts binary")
+
+
+def _sum_ngrams(sent: pa.Table) -> pa.Table:
+    """The counts of a part's n-grams over all shards."""
+    out = []
+    for x in np.unique(sent.column("lang").to_numpy()).tolist():
+        own = sent.filter(pc.equal(sent.column("lang"), x))
+        keys, _, inverse, _ = distinct(np.concatenate([expand_keys(k) for k in own.column("keys").to_pylist()]))
+        counts = np.concatenate([expand(c, np.uint32) for c in own.column("counts").to_pylist()])
+        sums = np.bincount(inverse, counts, keys.size).astype(np.int64)
+        keys = keys.astype(np.int64)
+        out.append(pa.table([pa.array(np.full(keys.size, x)), pa.array((keys >> 36).astype(np.int32)), pa.array(keys & ((1 << 36) - 1)), pa.array(sums)], names=["lang", "n", "gram", "c"]))
+    return pa.concat_tables(out)
 
-    return shards.map(work, "lang long, n int, gram long, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+
+def count_ngrams(shards: Shards, order: int = ORDER, sent: DataFrame | None = None) -> DataFrame:
+    """Counts of (language id, length, n-gram) over all tokens; ``sent``: what ``send_ngrams`` gave, if it is written."""
+    sent = send_ngrams(shards, order) if sent is None else sent
+    return sent.groupBy("part").applyInArrow(_sum_ngrams, "lang long, n int, gram long, c long")
 
 
 # ----------------------------------------------------------------------- model
@@ -264,31 +299,23 @@ def gram_scores(counts: DataFrame, scratch: Scratch, order: int = ORDER) -> Data
 # --------------------------------------------------- what a shard asks and is told
 
 
-def _count_keys(rows: pa.Table, key_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct keys of languages, words and pairs, and their counts."""
+def _count_keys(rows: pa.Table, key_bits: int, low: int = 0, high: int = 1 << 63) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys of languages, words and pairs from ``low`` to below ``high``, and their counts."""
     tokens = _Tokens(rows, key_bits)
-    _, pair, _, _, many = tokens.pairs()
+    _, pair = tokens.pair_keys()
+    keys = np.concatenate([x[(x >= U(low)) & (x < U(high))] for x in (tokens.key, pair)])
+    keys.sort()
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if keys.size else np.zeros(0, int)
+    keys, counts = keys[at], np.diff(np.append(at, keys.size))
     lang, _, words = tokens.languages()
-    keys, _, inverse, _ = distinct(np.concatenate([tokens.word, pair, lang]))
-    return keys, np.bincount(inverse, np.concatenate([tokens.word_count, many, words]), keys.size).astype(np.int64)
-
-
-def _gram_part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (keys & ((1 << 36) - 1)) % parts
-
-
-def _ask_scores(parts: int, order: int, key_bits: int):
-    def work(shard: int, rows: pa.Table):
-        out = []
-        for lang, _, _, key in _Tokens(rows, key_bits).grams(order):
-            keys = np.unique(key)
-            where = _gram_part(keys, parts)
-            out += [(part, shard, lang, squeeze_keys(keys[where == part])) for part in np.unique(where).tolist()]
-        if out:
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), kinds)], names=["part", "shard", "lang", "keys"])
-
-    return work
+    inside = (lang >= U(low)) & (lang < U(high))
+    for x, n in zip(lang[inside], words[inside]):  # a few
+        at = np.searchsorted(keys, x)
+        if at < keys.size and keys[at] == x:
+            counts[at] += n
+        else:
+            keys, counts = np.insert(keys, at, x), np.insert(counts, at, n)
+    return keys, counts
 
 
 def _find_scores(asked: pa.Table, scores: pa.Table) -> pa.Table:
@@ -314,9 +341,11 @@ def _own(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _score(rows: pa.Table, reply: pa.Table, carried, parts: int, order: int, key_bits: int) -> list[pa.Array]:
     tokens = _Tokens(rows, key_bits, base=True)
+    tokens.find_words()
     r, n, base = tokens.row, rows.num_rows, tokens.base
     counted = reply.filter(pc.is_null(reply.column("lang")))
-    two, pair, _, of_pair, _ = tokens.pairs()
+    two, pair = tokens.pair_keys()
+    pair, _, of_pair, _ = distinct(pair)
     lang, known, _ = tokens.languages()
     _, _, inverse, _ = distinct(np.concatenate([tokens.word, pair, lang]))
     sums = told_counts(counted)[inverse].astype(np.int64)
@@ -361,12 +390,11 @@ def _quartiles(rows: DataFrame, column: str) -> DataFrame:
 def score_shards(shards: Shards, scratch: Scratch, carry: tuple[str, ...] = ("doc_id", "lang"), order: int = ORDER) -> DataFrame:
     """Per row: shard, pos, and the columns of ``quality_rules``."""
     spark, bits = shards.spark, shards.key_bits
-    counts = scratch.save("counts", count_ngrams(shards, order))
-    parts = max(shards.count // 16, 8) | 1
+    sent, parts = scratch.save("sent", send_ngrams(shards, order)), _gram_parts(shards)
+    counts = scratch.save("counts", count_ngrams(shards, order, sent))
     scores = gram_scores(counts, scratch, order).withColumn("part", F.pmod("gram", F.lit(parts)).cast("int"))
-    asked = shards.map(_ask_scores(parts, order, bits), "part int, shard long, lang long, keys binary")
-    told = scratch.save("scores", asked.groupBy("part").cogroup(scores.groupBy("part")).applyInArrow(_find_scores, "shard long, part int, lang long, told binary"))
-    counted = shards.count_keys(lambda rows: _count_keys(rows, bits), "counted", ASK_ROUNDS)
+    told = scratch.save("scores", sent.drop("counts").groupBy("part").cogroup(scores.groupBy("part")).applyInArrow(_find_scores, "shard long, part int, lang long, told binary"))
+    counted = shards.count_keys(lambda rows, *within: _count_keys(rows, bits, *within), "counted", ASK_ROUNDS)
     reply = counted.withColumn("lang", F.lit(None).cast("long")).unionByName(told)
     carried = [shards.schema[c] for c in carry]
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("pos", T.LongType()), *carried] + [T.StructField(c, T.LongType()) for c in _NUMBERS] + [T.StructField(c, T.DoubleType()) for c in ("log_ppl", "word_gain")])
@@ -376,7 +404,7 @@ def score_shards(shards: Shards, scratch: Scratch, carry: tuple[str, ...] = ("do
         return pa.table([*place, *_score(rows, reply, carry, parts, order, bits)], names=schema.fieldNames())
 
     scored = shards.answer(reply, work, schema, "scored", SCORE_ROUNDS)
-    for name in ("counts", "scores", *(f"counted{k}" for k in range(ASK_ROUNDS)), *(f"{x}{n}" for x in ("order", "scores") for n in range(1, order + 1))):
+    for name in ("sent", "counts", "scores", *(f"counted{k}" for k in range(ASK_ROUNDS)), *(f"{x}{n}" for x in ("order", "scores") for n in range(1, order + 1))):
         scratch.drop(name)
     prepare_python(spark)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))

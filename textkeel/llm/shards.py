@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import U, column_bytes
+from .bytetext import U, column_bytes, order_of
 from .scratch import Scratch, prepare_python, trim
 
 SHARD = 8 << 20
@@ -74,8 +74,8 @@ def expand_keys(blob: bytes) -> np.ndarray:
 
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ascending distinct values, the place of one of each, every value's index among them, and their counts."""
-    order = np.argsort(x)
+    """Ascending distinct values (none negative), the place of the first of each, every value's index among them, and their counts."""
+    order = order_of(x)
     ordered = x[order]
     new = np.ones(x.size, bool)
     np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
@@ -158,16 +158,18 @@ class Shards:
             out.append(self.scratch.save(f"{name}{k}", both.applyInArrow(run, schema)))
         return reduce(DataFrame.unionAll, out)
 
-    def count_keys(self, keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], name: str = "reply", rounds: int = 1) -> DataFrame:
-        """(shard, part, told): see ``told_counts``. ``keys_of(rows)``: ascending distinct
-        keys below 2**key_bits and their counts in the shard."""
+    def count_keys(self, keys_of: Callable[..., tuple[np.ndarray, np.ndarray]], name: str = "reply", rounds: int = 1) -> DataFrame:
+        """(shard, part, told): see ``told_counts``. ``keys_of(rows)``: ascending distinct keys below
+        2**key_bits and their counts in the shard; in rounds ``keys_of(rows, low, high)``, of those keys alone."""
         ranges, bits = self.ranges, self.key_bits
         edges = np.array([(k << bits) // ranges for k in range(1, ranges)], U)
         kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
 
         def send(first: int, end: int):
+            bounds = () if rounds == 1 else tuple((k << bits) // ranges for k in (first, end))
+
             def work(shard: int, rows: pa.Table):
-                keys, counts = keys_of(rows)
+                keys, counts = keys_of(rows, *bounds)
                 cut = [0, *np.searchsorted(keys, edges).tolist(), keys.size]
                 out = [(p, shard, squeeze_keys(keys[cut[p] : cut[p + 1]]), squeeze(counts[cut[p] : cut[p + 1]].astype(np.uint32))) for p in range(first, end) if cut[p] < cut[p + 1]]
                 if out:
