@@ -1,4 +1,5 @@
 import json
+import math
 import random
 import re
 import time
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textkeel.functions.fixed import PHRASES
-from textkeel.functions.text import holds, java, quoted
+from textkeel.functions.text import entropy, holds, java, matches, quoted
 from textkeel.operators import boundary, commands, credentials, envfile, injection, reports, shield, toolconfig, vault
 from textkeel.plans import cases, queries, seeds
 
@@ -346,3 +347,13 @@ def test_sources(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: r.content for r in files.read_texts(spark, str(tmp_path)).collect()}
     assert got["a.py"] == "x" and got["bad.txt"] is None and "b.py" not in got and "c.bin" not in got
     assert files.env_files(spark, str(tmp_path)).count() == 1
+
+
+def test_suites_deal_their_rows_out(spark, tmp_path):
+    """The rows of a suite reach its operator in many pieces, each row once and under one name."""
+    spark.range(4_000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    run = lambda df: df.select("k", "row", F.spark_partition_id().alias("p")).join(df.select("row", F.col("k").alias("k2")), "row").filter("k = k2").select("k", F.col("p").cast("string").alias("out"))
+    got = cases.Suite(("text",), (("a", "-"), ("b", "-")), run).query(spark, str(tmp_path)).collect()
+    assert sum(r.n for r in got) == 4_000
+    for k in (0, 1):
+        assert max(r.n for r in got if r.k == k) <= 1_000  # of 2,000

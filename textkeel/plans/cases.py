@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import entropy
+from ..functions.text import entropy, spread
 from ..operators import boundary, commands, credentials, envfile, injection, shield, toolconfig, vault
 from ..sources import files
 from ..streaming import streams
@@ -24,15 +24,15 @@ from ..streaming import streams
 class Suite:
     columns: tuple[str, ...]
     cases: tuple[tuple, ...]  # (input of each column ..., stated result)
-    run: Callable[[DataFrame], DataFrame]  # rows with k and the columns -> rows with k and out
+    run: Callable[[DataFrame], DataFrame]  # rows with k, row and the columns -> rows with k and out
 
     def query(self, spark: SparkSession, sf: str) -> DataFrame:
-        part = spark.read.parquet(f"{sf}/part.parquet").select((F.col("p_partkey") % len(self.cases)).cast("int").alias("k"))
+        # a row is named as it is read, the same whenever it is read again, and dealt out after that
+        part = spread(spark.read.parquet(f"{sf}/part.parquet").select((F.col("p_partkey") % len(self.cases)).cast("int").alias("k"), F.monotonically_increasing_id().alias("row")))
         kinds = ", ".join(f"{c} string" for c in self.columns)
         table = spark.createDataFrame([(i, *case[:-1]) for i, case in enumerate(self.cases)], f"k int, {kinds}")  # the cases, a fixed few
-        rows = part.groupBy("k").agg(F.count("*").alias("n")).join(F.broadcast(table), "k")
-        rows = rows.select("k", *self.columns, F.explode(F.expr("array_repeat(1, CAST(n AS INT))"))).drop("col")
-        return self.run(rows).groupBy("k", "out").agg(F.count("*").alias("n"))
+        rows = part.join(F.broadcast(table), "k")
+        return self.run(rows.select("k", "row", *self.columns)).groupBy("k", "out").agg(F.count("*").alias("n"))
 
     @property
     def sql(self) -> str:
@@ -304,7 +304,7 @@ FILES = (
 
 
 def _file_cases(df: DataFrame) -> DataFrame:
-    rows = df.withColumns({"path": F.concat("k", F.lit("#"), F.monotonically_increasing_id().cast("string")), "content": F.col("text")})
+    rows = df.withColumns({"path": F.concat("k", F.lit("#"), F.col("row").cast("string")), "content": F.col("text")})
     out = toolconfig.audit_files(rows, max_sites=5, max_depth=4)
     shown = F.expr(_finding_text("f.type, f.severity, f.server, f.key"))
     return out.select(F.substring_index("path", "#", 1).cast("int").alias("k"), F.concat(shown, F.lit("#"), F.concat_ws(" ", F.col("server_count").cast("string"), F.col("parsed").cast("string"), F.col("truncated").cast("string"))).alias("out"))
@@ -479,7 +479,7 @@ ALERTS = (
 
 
 def _alert_cases(df: DataFrame) -> DataFrame:
-    rows = df.withColumn("path", F.concat("k", F.lit("#"), F.monotonically_increasing_id().cast("string")))
+    rows = df.withColumn("path", F.concat("k", F.lit("#"), F.col("row").cast("string")))
     alerts = boundary.smuggled_alerts(injection.long_form(injection.scan_injection(rows), "path"))
     both = rows.select("k", "path").join(alerts, "path", "left")
     return both.select("k", F.coalesce("decoded", F.lit("-")).alias("out"))
@@ -583,7 +583,7 @@ REDACTIONS = (
 
 def _redact_cases(df: DataFrame) -> DataFrame:
     """Placeholders by the length of what they stand for; "!" where the text does not come back whole."""
-    out = credentials.redact(df.withColumn("row", F.monotonically_increasing_id()), "text", credentials.CredentialConfig(entropy=False))
+    out = credentials.redact(df, "text", credentials.CredentialConfig(entropy=False))
     pieces = "split(redacted_text, '\\\\{\\\\{SECRET_[a-z0-9]+\\\\}\\\\}', -1)"
     values = "transform(regexp_extract_all(redacted_text, '\\\\{\\\\{SECRET_[a-z0-9]+\\\\}\\\\}', 0), p -> concat('<', length(vault[p]), '>'))"
     shown = F.expr(f"array_join(zip_with({pieces}, {values}, (t, v) -> concat(t, coalesce(v, ''))), '')")
@@ -605,9 +605,8 @@ PLACES = (
 
 
 def _place_cases(df: DataFrame) -> DataFrame:
-    rows = df.withColumn("row", F.monotonically_increasing_id())
-    found = credentials.locate(rows, "text", "value").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("line", "column"))).alias("at"))
-    both = rows.select("row", "k").join(found, "row", "left")
+    found = credentials.locate(df, "text", "value").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("line", "column"))).alias("at"))
+    both = df.select("row", "k").join(found, "row", "left")
     return both.select("k", F.expr("coalesce(array_join(transform(at, x -> concat(x.line, ':', x.column)), ' '), '-')").alias("out"))
 
 
