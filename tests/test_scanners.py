@@ -382,3 +382,12 @@ def test_hidden_runs_cost_little_in_accented_texts(spark):
         assert rows.filter(both[0] != both[1]).count() == 0, family
     every = "|".join(injection.HIDDEN.values())
     assert rows.filter(F.expr(f"t RLIKE {quoted(every)} AND NOT t RLIKE {quoted(injection._HIDES)}")).count() == 0
+
+
+def test_findings_of_a_site_are_made_once(spark):
+    """A reader that explodes the findings does not have them made again to see if there are any."""
+    rows = spark.createDataFrame([("a", '{"mcpServers":{"s":{"url":"http://h.example/x"}}}')], "path string, content string")
+    out = toolconfig.audit(rows)
+    assert sorted(r.type for r in out.collect()) == ["MCP Cleartext Transport", "Remote MCP Server"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MCP Cleartext Transport") == 1

@@ -125,7 +125,7 @@ def detect(df: DataFrame, text_col: str = "text", config: CredentialConfig = Cre
         parts.append(f"if({gate}, transform(regexp_extract_all({column}, {pattern}, {g}), v -> named_struct('value', v, 'type', {quoted(t)})), CAST(array() AS {_PAIR}))")
     good = set(compiling(df, tuple(p for _, p in config.custom)))
     parts += [f"coalesce(transform(regexp_extract_all({column}, {quoted(p)}, 0), v -> named_struct('value', v, 'type', {quoted(t)})), CAST(array() AS {_PAIR}))" for t, p in config.custom if p in good]
-    df = once(df, "__named", f"concat({', '.join(parts)})")
+    df = once(df, "__named", f"if({column} IS NULL, CAST(array() AS {_PAIR}), concat({', '.join(parts)}))")
     if config.entropy:
         token, run = quoted(java(_TOKEN % config.minimum_length, False)), quoted(_RUN % config.minimum_length)
         plain = " OR ".join(f"v RLIKE {quoted(p)}" for p in _PLAIN)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CONFIG_BELOW, CONFIG_FILES, CREDENTIAL_BLOCKS, INDIRECT, MODEL_FACING
-from ..functions.text import host_of, loopback, quoted
+from ..functions.text import host_of, loopback, once, quoted
 from ..shipping import ship
 from .credentials import CredentialConfig, detect
 from .injection import ScanConfig, scan_injection
@@ -139,7 +139,7 @@ def _judged(configs: DataFrame, guard: ScanConfig = ScanConfig(), scanner: Crede
     url = "regexp_replace(text, '^\\\\s+|\\\\s+\\\\z', '')"
     authority = f"regexp_extract({url}, '(?i)^[a-z][a-z0-9+.-]*://([^/?#]+)', 1)"
     host = F.expr(f"CASE WHEN {authority} <> '' THEN nullif({host_of(authority)}, '') END")
-    found = found.withColumn("__host", F.when(F.col("kind") == "transport", host))
+    found = once(found, "__host", F.when(F.col("kind") == "transport", host))
     remote = F.col("__host").isNotNull() & ~loopback(F.col("__host"))
 
     def one(kind: str, severity: str, detail: Column | str) -> Column:
@@ -169,7 +169,7 @@ def _judged(configs: DataFrame, guard: ScanConfig = ScanConfig(), scanner: Crede
         .when(kind == "description", poison)
         .otherwise(none)
     )
-    return found.select("path", "ord", "kind", "server", "key", "n_servers", what.alias("what"))
+    return once(found, "what", what).select("path", "ord", "kind", "server", "key", "n_servers", "what")  # once: a reader that explodes it asks first if it is empty
 
 
 def audit(configs: DataFrame, **options) -> DataFrame:

@@ -339,7 +339,7 @@ _CONFIG = """concat('{"mcpServers":{"s', event_id, '":{"command":"run","url":"',
 
 
 def _configs(spark, sf) -> DataFrame:
-    return spread(_read(spark, sf, "events").select(F.col("event_id").cast("string").alias("path"), F.expr(_CONFIG).alias("content")))
+    return spread(_read(spark, sf, "events").select("event_id")).select(F.col("event_id").cast("string").alias("path"), F.expr(_CONFIG).alias("content"))
 
 
 def config_audit(spark, sf):
