@@ -391,3 +391,22 @@ def test_findings_of_a_site_are_made_once(spark):
     assert sorted(r.type for r in out.collect()) == ["MCP Cleartext Transport", "Remote MCP Server"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MCP Cleartext Transport") == 1
+
+
+def _counted(spark, n, text):
+    """``n`` texts, and a count of how often any of them is made."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def make(i):
+        made.add(1)
+        return text.replace("#", str(i))
+
+    return spark.range(n).select("id", (F.col("id") % 2).alias("odd"), make("id").alias("text")), made
+
+
+def test_counters_scan_once(spark):
+    rows, made = _counted(spark, 40, f"# <|im_start|> token = {cases.KEY} a‮b")
+    out = reports.session_counters(credentials.redact(rows), injection.long_form(injection.scan_injection(rows)))
+    assert tuple(out.first()) == (40, 40, 40, 80, 40)
+    assert made.value == 80  # once to redact, once to scan

@@ -57,8 +57,8 @@ def dashboard(report: DataFrame, n: int = 8) -> DataFrame:
 def session_counters(redacted: DataFrame, findings: DataFrame) -> DataFrame:
     """One row: scans, secrets found, texts redacted, injection findings and the critical ones."""
     a = redacted.agg(F.count("*").alias("scans"), F.coalesce(F.sum("n_secrets"), F.lit(0)).alias("secrets_found"), F.count_if(F.col("n_secrets") > 0).alias("redactions"))
-    counts = {"injections": F.count("*"), "critical": F.count_if(F.col("severity") == "critical")}
-    return a.withColumns({name: findings.agg(what.alias(name)).scalar() for name, what in counts.items()})
+    b = findings.agg(F.count("*").alias("injections"), F.count_if(F.col("severity") == "critical").alias("critical"))
+    return a.crossJoin(b)  # a row each, so the texts are scanned once
 
 
 def rollup(findings: DataFrame, *keys: str) -> DataFrame:
