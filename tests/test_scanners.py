@@ -410,3 +410,21 @@ def test_counters_scan_once(spark):
     out = reports.session_counters(credentials.redact(rows), injection.long_form(injection.scan_injection(rows)))
     assert tuple(out.first()) == (40, 40, 40, 80, 40)
     assert made.value == 80  # once to redact, once to scan
+
+
+def test_vault_works_texts_out_once(spark):
+    """All parts of a vault's upkeep, and both sides of restoring, read the redacted texts of one pass."""
+    rows, made = _counted(spark, 40, f"key {cases.KEY} token = abcdefghijklmnop#")
+    out = credentials.redact(rows)
+    both = vault.marked(out, F.col("odd") == 1)
+    odd, every = both.filter("entry.marked").select("entry.placeholder", "entry.value"), both.select("entry.placeholder", "entry.value")
+    full = vault.upsert(odd, every)
+    left = vault.rollback(full, odd)
+    counts = odd.groupBy().count().unionAll(full.groupBy().count()).unionAll(vault.upsert(full, every).groupBy().count()).unionAll(left.groupBy().count())
+    assert [r[0] for r in counts.collect()] == [21, 41, 41, 20] and made.value == 40
+    known = vault.entries(out).cache()
+    assert known.count() == 41 and made.value == 80
+    back = vault.restore(out.drop("vault").select("id", "redacted_text"), known, "id", "redacted_text")
+    assert {(r.id, r.restored_text, r.n_missing) for r in back.collect()} == {(i, f"key {cases.KEY} token = abcdefghijklmnop{i}", 0) for i in range(40)}
+    assert made.value == 120
+    known.unpersist()

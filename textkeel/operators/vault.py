@@ -6,10 +6,10 @@ restored as null; repeated rows give equal results; an empty vault restores noth
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import holds, matches, quoted
+from ..functions.text import holds, matches, once, quoted
 from .credentials import PLACEHOLDER
 
 
@@ -18,6 +18,14 @@ def entries(redacted: DataFrame) -> DataFrame:
     return redacted.select(F.explode("vault").alias("placeholder", "value")).dropDuplicates(["placeholder"])
 
 
+def marked(redacted: DataFrame, mark: Column) -> DataFrame:
+    """An ``entry`` (marked, placeholder, value) for each placeholder of redacted rows: is one of
+    its rows marked. It is one column, so whatever is taken of it Catalyst reads the same: plans
+    over the marked entries, over all and over their names share one exchange."""
+    rows = redacted.withColumn("marked", F.coalesce(mark, F.lit(False))).select("marked", F.explode("vault").alias("placeholder", "value"))
+    return rows.groupBy("placeholder").agg(F.max(F.struct("marked", "placeholder", "value")).alias("entry")).select("entry")
+
+
 def upsert(vault: DataFrame, new: DataFrame) -> DataFrame:
     """``vault`` with the entries of ``new`` it lacks."""
     return vault.unionByName(new.join(vault, "placeholder", "left_anti").dropDuplicates(["placeholder"]))
@@ -35,16 +43,22 @@ def cleared(spark: SparkSession) -> DataFrame:
 
 def placeholders(df: DataFrame, text_col: str) -> DataFrame:
     """``df`` with placeholders: the distinct ones of the text; null of a null text."""
-    return df.withColumn("placeholders", F.expr(f"array_distinct(regexp_extract_all(`{text_col}`, '{PLACEHOLDER.replace(chr(92), chr(92) * 2)}', 0))"))
+    return once(df, "placeholders", f"array_distinct(regexp_extract_all(`{text_col}`, '{PLACEHOLDER.replace(chr(92), chr(92) * 2)}', 0))")
 
 
 def restore(df: DataFrame, vault: DataFrame, key: str, text_col: str) -> DataFrame:
     """``df`` with restored_text, n_restored (instances) and n_missing; unknown
-    placeholders stay. ``key`` names a row. Catalyst picks the join by the vault's size."""
-    found = placeholders(df, text_col)
+    placeholders stay. ``key`` names a row. Catalyst picks the join by the vault's size.
+
+    Rows are dealt out by key, as the last join asks for anyway, before placeholders are looked
+    for, so what made the texts is worked out once and both sides of that join read it. Rows
+    whose key is null meet nothing in it and go beside it: the join would ask them of one side."""
+    kind = "array<struct<placeholder:string,value:string>>"
+    found = placeholders(df.filter(F.col(key).isNotNull()).repartition(key), text_col)
     wanted = found.select(key, F.explode("placeholders").alias("placeholder"))
     known = wanted.join(vault, "placeholder").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("placeholder", "value"))).alias("__known"))
-    out = found.join(known, key, "left").withColumn("__known", F.expr("coalesce(__known, CAST(array() AS array<struct<placeholder:string,value:string>>))"))
+    beside = placeholders(df.filter(F.col(key).isNull()), text_col).withColumn("__known", F.lit(None).cast(kind))
+    out = found.join(known, key, "left").unionByName(beside).withColumn("__known", F.expr(f"coalesce(__known, CAST(array() AS {kind}))"))
     pattern = quoted(PLACEHOLDER)
     # one pass: what is put in is never looked into again
     filled = f"array_join(zip_with(split(`{text_col}`, {pattern}, -1), regexp_extract_all(`{text_col}`, {pattern}, 0), (t, p) -> concat(t, if(p IS NULL, '', coalesce(__values[p], p)))), '')"

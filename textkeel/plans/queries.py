@@ -282,7 +282,8 @@ COUNTERS_SQL = f"""WITH {FOUND} SELECT (SELECT count(*) FROM turns) AS scans, (S
 def vault_upkeep(spark, sf):
     """A vault of the English documents: all others' entries put in, the English ones rolled back, then cleared."""
     out = _redacted(spark, sf)
-    english, every = vault.entries(out.filter("lang = 'en'")), vault.entries(out)
+    both = vault.marked(out, F.col("lang") == "en")
+    english, every = both.filter("entry.marked").select("entry.placeholder", "entry.value"), both.select("entry.placeholder", "entry.value")
     full = vault.upsert(english, every)
     steps = {"english": english, "upsert": full, "upsert again": vault.upsert(full, every), "rollback": vault.rollback(full, english), "cleared": vault.cleared(spark)}
     parts = [v.agg(F.count("*").alias("entries"), F.count_distinct("value").alias("n_values")).select(F.lit(name).alias("step"), "entries", "n_values") for name, v in steps.items()]
