@@ -428,3 +428,13 @@ def test_vault_works_texts_out_once(spark):
     assert {(r.id, r.restored_text, r.n_missing) for r in back.collect()} == {(i, f"key {cases.KEY} token = abcdefghijklmnop{i}", 0) for i in range(40)}
     assert made.value == 120
     known.unpersist()
+
+
+def test_entropies_are_dealt_out(spark, tmp_path):
+    tokens = ["a", "aab", "\U0001f600\U0001f600é", ".*a.*", "x" * 50 + "\\E", "".join(chr(0x4E00 + i % 97) for i in range(1_000))]
+    got = [r.h for r in spark.createDataFrame([(t,) for t in tokens], "t string").select(F.expr(entropy("t")).alias("h")).collect()]
+    for t, h in zip(tokens, got, strict=True):
+        assert abs(h + sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t))) < 1e-9
+    spark.range(400).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    pieces = queries.entropies(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in pieces) == 400 and max(r["count"] for r in pieces) <= 100

@@ -305,7 +305,8 @@ TOTALS_SQL = f"WITH {_SECRETS} SELECT CAST(sum(len(found)) AS BIGINT) AS secrets
 
 
 def entropies(spark, sf):
-    p = _read(spark, sf, "part").select("p_partkey", F.sha2(F.col("p_partkey").cast("string"), 256).alias("t"))
+    p = spread(_read(spark, sf, "part").select("p_partkey"))
+    p = once(p, "t", F.sha2(F.col("p_partkey").cast("string"), 256))
     return p.select("p_partkey", F.round(F.expr(entropy("t")), 6).alias("bits"))
 
 
